@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One or more ASCII white-space characters, as Java and RE2 both read it.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
+#: Python steps that need a block of rows together take about so many bytes of text.
+BLOCK_BYTES = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
@@ -71,3 +76,32 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], key: str | None = None) -> Iterator[list]:
+    """Consecutive rows of about BLOCK_BYTES of body; with a key (equal values of it adjoin), none of its runs is cut."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        off = column_bytes(batch.column("body"))[1] + 64 * np.arange(n + 1)
+        edges = np.arange(n)
+        if key:
+            v = batch.column(key).to_numpy()
+            edges = np.flatnonzero(np.r_[last is None or v[0] != last, v[1:] != v[:-1]])
+            last = v[-1]
+        start = 0
+        while True:
+            full = max(int(np.searchsorted(off, off[start] + BLOCK_BYTES - size)), start + (not held))
+            at = int(np.searchsorted(edges, full))
+            if at == len(edges):
+                break
+            if edges[at] > start:
+                held.append(batch.slice(start, edges[at] - start))
+            yield held
+            held, size, start = [], 0, int(edges[at])
+        held.append(batch.slice(start))
+        size += int(off[n] - off[start])
+    if held:
+        yield held

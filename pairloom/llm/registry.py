@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_output
+from . import exact_dedup, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+}
+ORACLE: dict = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
-ORACLE: dict = {}
