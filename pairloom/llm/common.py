@@ -78,8 +78,8 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], key: str | None = None) -> Iterator[list]:
-    """Consecutive rows of about BLOCK_BYTES of body; with a key (equal values of it adjoin), none of its runs is cut."""
+def blocks(batches: Iterator[pa.RecordBatch], key: str | None = None, limit: int = BLOCK_BYTES) -> Iterator[list]:
+    """Consecutive rows of about limit bytes of body; with a key (equal values of it adjoin), none of its runs is cut."""
     held, size, last = [], 0, None
     for batch in batches:
         n = batch.num_rows
@@ -93,7 +93,7 @@ def blocks(batches: Iterator[pa.RecordBatch], key: str | None = None) -> Iterato
             last = v[-1]
         start = 0
         while True:
-            full = max(int(np.searchsorted(off, off[start] + BLOCK_BYTES - size)), start + (not held))
+            full = max(int(np.searchsorted(off, off[start] + limit - size)), start + (not held))
             at = int(np.searchsorted(edges, full))
             if at == len(edges):
                 break

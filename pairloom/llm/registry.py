@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_output
+from . import exact_dedup, minhash, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLE: dict = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
