@@ -93,9 +93,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count += n
         low, keep, total = _merged(rep, doc.fill_null(NONE).to_numpy(), rid, np.ones(n, np.int64))
         own = pa.array(rep == np.arange(n))
+        own_body = body.take(pa.array(np.arange(n), mask=rep != np.arange(n)))
         only = lambda v, own=own: pc.if_else(own, v, pa.scalar(None, v.type))
         yield pa.record_batch(
-            [doc, pa.array(rid), pa.array(rid[rep]), t["text_sha256"].chunk(0), only(pa.array(total)), only(pa.array(low)), only(pa.array(keep)), only(pa.array(np.diff(off))), only(pc.binary_slice(body, 0, WIDTHS[0])), only(body)],
+            [doc, pa.array(rid), pa.array(rid[rep]), t["text_sha256"].chunk(0), only(pa.array(total)), only(pa.array(low)), only(pa.array(keep)), only(pa.array(np.diff(off))), pc.binary_slice(own_body, 0, WIDTHS[0]), own_body],
             names=[f.split()[0] for f in LOCAL.split(", ")],
         )
 
