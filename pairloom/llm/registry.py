@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, minhash, pii, secrets, token_output
+from . import decontam, exact_dedup, minhash, mixing, pii, secrets, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_pii": pii.op2_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_mixing": mixing.op6_mixing,
     "op9_decontam": decontam.op9_decontam,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLE: dict = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }
