@@ -13,9 +13,10 @@ the candidates: two sets at similarity 0.8 share no band with probability (1 - 0
    the sketch comparison and are confirmed on their full sets (LIMIT percent of the union).
 3. Connected components of the confirmed links, by contraction over written tables.
 4. Buckets that still hold two components or more are compared in full, in tiles of at most TILE sets a
-   side, by sketch in memory; only pairs across components whose sketches agree enough
-   (CLOSE of T coordinates, five standard deviations under 0.8) are emitted and then
-   confirmed. So no link between different texts is lost to the choice of a bucket's first.
+   side: pairs across components whose sketches agree enough (CLOSE of T coordinates, five standard
+   deviations under 0.8) are confirmed there and then on their full sets. A tile emits a forest of
+   confirmed links, never its pairs. So no link that joins components is lost to the choice of a
+   bucket's first.
 
 Defined results. No words or null text: n_shingles 0, linked with nothing. Fewer words than WORDS:
 the whole sequence is the only shingle. Repeated rows are members of their class; component_id is
@@ -66,11 +67,10 @@ def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return common.mix64(h)
 
 
-def shingles(col, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the word shingles of each text of an Arrow string array, sorted and distinct within a text; n + 1 offsets."""
+def word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text of an Arrow string array, A-Z lower-cased; n + 1 offsets of the texts into them."""
     data, off = common.column_bytes(col)
     data = _LOWER[data]
-    n = len(off) - 1
     solid = ~_WHITE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -80,9 +80,13 @@ def shingles(col, words: int) -> tuple[np.ndarray, np.ndarray]:
     first[inner] = solid[inner]  # a text begins a word, and the one before it ends
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = _hash_spans(data, start, end)
-    w_off = np.searchsorted(start, off)
-    count = np.diff(w_off)
+    return _hash_spans(data, start, end), np.searchsorted(start, off)
+
+
+def shingles(col, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word shingles of each text of an Arrow string array, sorted and distinct within a text; n + 1 offsets."""
+    h, w_off = word_hashes(col)
+    n, count = len(w_off) - 1, np.diff(w_off)
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     s = np.full(len(h), _A)
@@ -222,54 +226,75 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tiles (rows adjoin by tile; side 0 is the left, 1 the right, 2 both) the pairs across components whose sketches agree."""
-    held: list = []
-
-    def pairs(rows: list):
-        t = pa.Table.from_batches(rows).combine_chunks()
-        sk = common.column_bytes(t["sketch"].chunk(0))[0].reshape(-1, T)
-        rid, comp, n, side = (t[c].to_numpy() for c in ("rid", "comp", "n", "side"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for k in left:
-            near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= LIMIT * np.maximum(n[right], n[k]))]
-            if side[k] == 2:
-                near = near[rid[near] > rid[k]]
-            near = near[(sk[near] == sk[k]).sum(axis=1) >= CLOSE]
-            if len(near):
-                yield pa.record_batch([pa.array(np.minimum(rid[near], rid[k])), pa.array(np.maximum(rid[near], rid[k]))], names=["a", "b"])
-
-    last = None
-    for b in batches:
-        tile = b.column("tile").to_numpy()
-        cuts = np.flatnonzero(np.r_[tile[:1] != last if last is not None and len(tile) else False, tile[1:] != tile[:-1]])
-        start = 0
-        for c in cuts:
-            if c > start:
-                held.append(b.slice(start, c - start))
-            if held:
-                yield from pairs(held)
-            held, start = [], int(c)
-        held.append(b.slice(start))
-        last = tile[-1] if len(tile) else last
-    if held and sum(x.num_rows for x in held):
-        yield from pairs(held)
-
-
-def across_components(shared: DataFrame, tile: int = TILE) -> DataFrame:
-    """Candidate pairs (a, b) between the components of each bucket; shared has key, rid, comp, n, sketch.
+def _tile_links(rows: list, words: int) -> list[tuple[int, int]]:
+    """Of one tile, links between components that full sets confirm; no more than join what the tile holds (a forest).
+
+    A pair is compared only in the bucket of the first band that the two share, and only while nothing
+    in this tile has joined their components yet.
+    """
+    t = pa.Table.from_batches(rows).combine_chunks()
+    sk = common.column_bytes(t["sketch"].chunk(0))[0].reshape(-1, T)
+    bands = t["bands"].chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+    rid, n, side, band = (t[c].to_numpy() for c in ("rid", "n", "side", "band"))
+    _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+    h, off = shingles(t["body"].chunk(0), words)
+    left, right, out = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
+    for k in left:
+        near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= LIMIT * np.maximum(n[right], n[k]))]
+        near = near[rid[near] > rid[k]] if side[k] == 2 else near
+        near = near[(sk[near] == sk[k]).sum(axis=1) >= CLOSE]
+        near = near[(bands[near] == bands[k]).argmax(axis=1) == band[k]]
+        if not len(near):
+            continue
+        own, size = h[off[k] : off[k + 1]], off[near + 1] - off[near]
+        others = np.concatenate([h[off[m] : off[m + 1]] for m in near])
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others, np.cumsum(size) - size, dtype=np.int64)
+        for m in near[100 * both >= LIMIT * (len(own) + size - both)]:
+            if comp[m] != comp[k]:
+                out.append((int(rid[k]), int(rid[m])))
+                comp[comp == comp[m]] = comp[k]
+    return out
+
+
+def _across(words: int):
+    """Of tiles (rows adjoin by tile; side 0 is the left, 1 the right, 2 both) their links."""
+
+    def links(held: list) -> pa.RecordBatch:
+        got = _tile_links(held, words)
+        return pa.record_batch([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], names=["a", "b"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            tile, start = b.column("tile").to_numpy(), 0
+            for c in np.flatnonzero(np.r_[tile[:1] != last, tile[1:] != tile[:-1]] if last is not None else np.r_[tile[:1] != tile[:1], tile[1:] != tile[:-1]]):
+                if c > start:
+                    held.append(b.slice(start, c - start))
+                yield links(held)
+                held, start = [], int(c)
+            if b.num_rows:
+                held.append(b.slice(start))
+                last = tile[-1]
+        if held:
+            yield links(held)
+
+    return step
+
+
+def across_components(shared: DataFrame, words: int, tile: int = TILE) -> DataFrame:
+    """Confirmed links (a, b) between the components of each bucket; shared has key, band, rid, comp, n, sketch, bands, body.
 
     A bucket of m sets is dealt into ceil(m / tile) parts by hash; each pair of parts is one tile, so a
-    large bucket spreads over many tasks, and what a task holds is bounded.
+    large bucket spreads over many tasks, and what a task holds is bounded. Only confirmed links
+    leave a tile, fewer than it has rows.
     """
     size = common.written(shared.groupBy("key").agg(F.count("*").alias("m")), "sizes")
     parts = F.ceil(F.col("m") / tile).cast("long")
     dealt = shared.join(size, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    tiles = dealt.select("key", "rid", "comp", "n", "sketch", "own", other)
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    tiles = tiles.select("rid", "comp", "n", "sketch", side.alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across, PAIR).distinct()
+    tiles = tiles.select("rid", "comp", "n", "band", "sketch", "bands", "body", side.alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across(words), PAIR)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFrame:
@@ -282,19 +307,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFr
     same = reps.select("rid", *keys).join(firsts, keys).select("rid", "first")
     same = common.written(same, "same")
     alone = reps.join(same.where("rid = first").select("rid"), "rid", "left_semi")
-    bands = common.written(alone.select("rid", F.explode("bands").alias("key")), "bands")
+    bands = common.written(alone.select("rid", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = bands.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("m")).where("m > 1")
     buckets = common.written(buckets.select("key", "a"), "buckets")
-    shared = common.written(bands.join(buckets, "key").select("key", "rid", "a"), "shared")
+    shared = common.written(bands.join(buckets, "key").select("key", "band", "rid", "a"), "shared")
     stars = shared.where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
     links = common.written(confirm(stars, reps, words), "stars")
     comp = common.written(components(links), "components")
-    labelled = shared.select("key", "rid").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
+    labelled = shared.select("key", "band", "rid").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "band", "rid", F.coalesce("root", "rid").alias("comp"))
     labelled = common.written(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = labelled.join(open_, "key", "left_semi").join(reps.select("rid", "n", "sketch"), "rid")
-    more = across_components(common.written(left, "open"), tile).join(stars, ["a", "b"], "left_anti")
-    found = common.written(confirm(common.written(more, "across"), reps, words), "found")
+    left = labelled.join(open_, "key", "left_semi").join(reps.select("rid", "n", "sketch", "bands", "body"), "rid")
+    found = common.written(across_components(common.written(left, "open"), words, tile), "found")
     if not found.isEmpty():
         comp = common.written(components(links.unionByName(found)), "components")
     of_first = same.join(comp.select(F.col("v").alias("first"), "root"), "first", "left").select(F.col("rid").alias("rep"), F.coalesce("root", "first").alias("comp"))
