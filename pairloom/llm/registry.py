@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, minhash, mixing, pii, quality, secrets, token_output
+from . import decontam, exact_dedup, minhash, mixing, pii, quality, secrets, token_output, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_nbsvm": quality.op7_quality_nbsvm,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontam": decontam.op9_decontam,
     "op10_minhash": minhash.op10_minhash,
 }
