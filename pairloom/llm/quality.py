@@ -178,17 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(sets, np.array(got["quality"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, and score."""
-    whole = docs.select(*keep, common.whole_text(text).alias("__text"))
-    schema = docs.select(*keep).schema.add("score", "double")
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with a column score; only texts go to Python, in Arrow batches."""
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [model.score(g) for s in range(0, b.num_rows, 256) for g in gram_sets(b.column("__text").slice(s, 256))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+    @F.arrow_udf("double")
+    def of(col: pa.Array) -> pa.Array:
+        return pa.array([model.score(g) for s in range(0, len(col), 256) for g in gram_sets(col.slice(s, 256))], pa.float64())
 
-    return whole.mapInArrow(step, schema)
+    return docs.withColumn("score", of(common.whole_text(text)))
 
 
 def held_out():
@@ -201,5 +198,5 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = train(docs, labels.where(~held_out()))
-    got = score(docs, model, ["doc_id"])
+    got = score(docs, model)
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, minhash, mixing, pii, quality, secrets, token_output, url_filter
+from . import decontam, exact_dedup, license_scan, minhash, mixing, pii, quality, secrets, token_output, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_pii": pii.op2_pii,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_nbsvm": quality.op7_quality_nbsvm,
