@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -43,7 +44,7 @@ LIMIT = 80
 #: Coordinates that must agree before full sets are compared: 128 * 0.8 less five standard deviations.
 CLOSE = 79
 TILE = 1_024
-LOCAL = "doc_id long, rid long, rep long, n long, k1 long, k2 long, sketch binary, bands array<bigint>, body string"
+LOCAL = "doc_id long, tag long, rid long, rep long, n long, k1 long, k2 long, sketch binary, bands array<bigint>, body string"
 PAIR = "a long, b long"
 
 _MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)
@@ -67,11 +68,14 @@ def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return common.mix64(h)
 
 
-def word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each text of an Arrow string array, A-Z lower-cased; n + 1 offsets of the texts into them."""
+def word_hashes(col, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text of an Arrow string array, A-Z lower-cased; n + 1 offsets of the texts into them.
+
+    solid marks the bytes that words are made of; by default all but white space.
+    """
     data, off = common.column_bytes(col)
     data = _LOWER[data]
-    solid = ~_WHITE[data]
+    solid = ~_WHITE[data] if solid is None else solid[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
@@ -157,7 +161,7 @@ def _local(words: int):
             at[own] = np.arange(len(own))
             pick = pa.array(at, mask=at < 0)
             yield pa.record_batch([
-                t["doc_id"].chunk(0), pa.array(rid), pa.array(rid[rep]), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                t["doc_id"].chunk(0), t["tag"].chunk(0), pa.array(rid), pa.array(rid[rep]), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                 pa.array([r.tobytes() for r in small], pa.binary()).take(pick), pa.array(list(band), pa.list_(pa.int64())).take(pick), body.take(pa.array(np.where(at < 0, 0, np.arange(n)), mask=at < 0)),
             ], names=[f.split()[0] for f in LOCAL.split(", ")])
 
@@ -256,36 +260,6 @@ def _tile_links(rows: list, words: int) -> list[tuple[int, int]]:
     return out
 
 
-def _tile_links(rows: list, words: int) -> list[tuple[int, int]]:
-    """Of one tile, links between components that full sets confirm; no more than join what the tile holds (a forest).
-
-    A pair is compared only in the bucket of the first band that the two share, and only while nothing
-    in this tile has joined their components yet.
-    """
-    t = pa.Table.from_batches(rows).combine_chunks()
-    sk = common.column_bytes(t["sketch"].chunk(0))[0].reshape(-1, T)
-    bands = t["bands"].chunk(0).flatten().to_numpy().reshape(-1, BANDS)
-    rid, n, side, band = (t[c].to_numpy() for c in ("rid", "n", "side", "band"))
-    _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
-    h, off = shingles(t["body"].chunk(0), words)
-    left, right, out = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
-    for k in left:
-        near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= LIMIT * np.maximum(n[right], n[k]))]
-        near = near[rid[near] > rid[k]] if side[k] == 2 else near
-        near = near[(sk[near] == sk[k]).sum(axis=1) >= CLOSE]
-        near = near[(bands[near] == bands[k]).argmax(axis=1) == band[k]]
-        if not len(near):
-            continue
-        own, size = h[off[k] : off[k + 1]], off[near + 1] - off[near]
-        others = np.concatenate([h[off[m] : off[m + 1]] for m in near])
-        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others, np.cumsum(size) - size, dtype=np.int64)
-        for m in near[100 * both >= LIMIT * (len(own) + size - both)]:
-            if comp[m] != comp[k]:
-                out.append((int(rid[k]), int(rid[m])))
-                comp[comp == comp[m]] = comp[k]
-    return out
-
-
 def _across(words: int):
     """Of tiles (rows adjoin by tile; side 0 is the left, 1 the right, 2 both) their links."""
 
@@ -327,9 +301,24 @@ def across_components(shared: DataFrame, words: int, tile: int = TILE) -> DataFr
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across(words), PAIR)
 
 
+def tag_of():
+    """A 64-bit digest of a row's doc_id and text, by which a chosen row is found again."""
+    return F.xxhash64("doc_id", "text")
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id; same columns."""
+    found = near_duplicates(docs, words)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "tag")).alias("k")
+    kept = common.written(found.groupBy("comp").agg(best).select(F.col("k.tag").alias("tag")), "kept")
+    got = docs.withColumn("tag", tag_of()).join(kept.distinct(), "tag", "left_semi")
+    first = F.row_number().over(W.partitionBy("tag").orderBy("tag"))  # rows that repeat another in doc_id and text
+    return got.withColumn("k", first).where("k = 1").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and rid, the row's own number."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("body"))
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept; and of the row: tag_of(), its number rid, its component's number comp."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), common.whole_text().alias("body"))
     local = common.written(rows.mapInArrow(_local(words), LOCAL), "sets")
     reps = local.where("sketch is not null")
     keys = ["n", "k1", "k2"]
@@ -352,12 +341,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFr
     if not found.isEmpty():
         comp = common.written(components(links.unionByName(found)), "components")
     of_first = same.join(comp.select(F.col("v").alias("first"), "root"), "first", "left").select(F.col("rid").alias("rep"), F.coalesce("root", "first").alias("comp"))
-    members = local.select("doc_id", "rid", "rep", "n").join(of_first, "rep", "left").select("doc_id", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
+    members = local.select("doc_id", "tag", "rid", "rep", "n").join(of_first, "rep", "left").select("doc_id", "tag", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
     members = common.written(members, "members")
     least = common.written(members.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    return members.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
+    return members.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tag", "rid", "comp")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of all documents at four words."""
-    return near_duplicates(common.read_table(spark, sf_dir, "documents"), words=4).drop("rid")
+    return near_duplicates(common.read_table(spark, sf_dir, "documents"), words=4).drop("tag", "rid", "comp")
