@@ -1,17 +1,64 @@
-"""The corpus pipeline: stages over documents, each written before the next reads it."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, token output.
+
+STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Rows with null columns, repeated rows and empty tables pass as the operators' docstrings define.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: No SQL expresses the trained classifier or the tokenizer; tests compare the stages with brute force.
+from pyspark.sql import DataFrame, SparkSession
+
+from pairloom.llm import common, decontam, minhash, mixing, quality, token_output
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, model).where(f"score >= {quality.THRESHOLD}").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8 or more)."""
+    return minhash.one_of_each(docs, words=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = decontam.contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
+    leaks = common.written(found.select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the written token files hold: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    path = common.table_path(spark, "tokens")
+    token_output.write_tokens(docs, path, public_tokenizers.path(token_output.TOKENIZER))
+    return token_output.read_tokens(spark, path)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_stage),
+]
+#: No SQL expresses the trained classifier, the components or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
-    from pairloom.llm import common
-
     docs = common.read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
