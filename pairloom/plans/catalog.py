@@ -1,6 +1,561 @@
-"""The registered queries of the linkage operators, each with its DuckDB counterpart."""
+"""The registered queries of the linkage operators, each with its DuckDB counterpart where SQL can express it.
+
+The tables hold no business records, so fixtures stand in: orders are the query records (s1), parts the
+candidates (cand), scores and labels follow from the keys by integer arithmetic (the same numbers in
+every engine), benchmark items and documents give texts, customers and suppliers names.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as T
+from ..operators import blocking as B
+from ..operators import context as C
+from ..operators import decision as D
+from ..operators import evaluate as E
+from ..operators import features as X
+from ..operators import learn, models
+from ..sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """s1, cand, p, y: one row for each order and part."""
+    keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("s1"), F.col("l_partkey").alias("cand")).distinct()
+    df = keys.withColumn("p", F.round((F.col("s1") * 7919 + F.col("cand") * 104729) % 1000003 / 1000003.0, 6))
+    return df.withColumn("y", ((F.col("s1") * 271 + F.col("cand") * 433) % 1000 < 1000 * F.col("p")).cast("int"))
+
+
+def ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderstatus").alias("grp"))
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(spark, d).where("y = 1").select("s1", "cand")
+
+
+def predicted(spark: SparkSession, d: str, t: float = 0.6) -> DataFrame:
+    return D.select_threshold(D.one_to_one(pairs(spark, d)), t).select("s1", "cand")
+
+
+PAIRS = """keys AS (SELECT DISTINCT l_orderkey AS s1, l_partkey AS cand FROM lineitem),
+pp AS (SELECT s1, cand, round(((s1 * 7919 + cand * 104729) % 1000003)::DOUBLE / 1000003.0::DOUBLE, 6) AS p FROM keys),
+pairs AS (SELECT *, CASE WHEN (s1 * 271 + cand * 433) % 1000 < 1000 * p THEN 1 ELSE 0 END AS y FROM pp),
+truth AS (SELECT s1, cand FROM pairs WHERE y = 1),
+ids AS (SELECT o_orderkey AS s1, o_orderstatus AS grp FROM orders),
+owned AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM pairs) WHERE r = 1),
+pred AS (SELECT s1, cand FROM owned WHERE p >= 0.6),
+counts AS (
+  SELECT i.s1, i.grp, coalesce(n.tp, 0) AS tp, coalesce(n.nt, 0) AS nt, coalesce(n.np, 0) AS np,
+         CASE WHEN coalesce(n.nt, 0) = 0 AND coalesce(n.np, 0) = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * coalesce(n.tp, 0) / (0.25::DOUBLE * coalesce(n.nt, 0) + coalesce(n.np, 0)) END AS f
+  FROM ids i LEFT JOIN (
+    SELECT s1, count(*) FILTER (WHERE it AND ip) AS tp, count(*) FILTER (WHERE it) AS nt, count(*) FILTER (WHERE ip) AS np
+    FROM (SELECT coalesce(a.s1, b.s1) AS s1, a.s1 IS NOT NULL AS ip, b.s1 IS NOT NULL AS it FROM pred a FULL JOIN truth b ON a.s1 = b.s1 AND a.cand = b.cand) GROUP BY s1) n ON i.s1 = n.s1)"""
+
+
+def grams_sql(source: str, name: str) -> str:
+    """CTEs for the trigram counts of a (id, part, text) relation."""
+    return f"""{name}_w AS (SELECT id, part, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM {source}),
+{name}_g AS (SELECT id, part, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram FROM {name}_w WHERE w <> ''),
+{name} AS (SELECT id, part, gram, count(*) AS tf FROM {name}_g GROUP BY ALL)"""
+
+
+LEG = """n AS (SELECT (SELECT count(*) FROM qs) + (SELECT count(*) FROM cs) AS n),
+df AS (SELECT gram, count(*) AS df FROM (SELECT gram FROM qc UNION ALL SELECT gram FROM cc) GROUP BY gram),
+idf AS (SELECT gram, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= 0.5::DOUBLE * n),
+qr AS (SELECT id, part, gram, (1 + ln(tf)) * idf AS w FROM qc JOIN idf USING (gram)),
+cr AS (SELECT id, part, gram, (1 + ln(tf)) * idf AS w FROM cc JOIN idf USING (gram)),
+qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qr GROUP BY id), cn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM cr GROUP BY id),
+sims AS (SELECT a.id AS q, b.id AS c, round(sum(a.w / qn.norm * b.w / cn.norm), 6) AS sim FROM qr a JOIN cr b ON a.gram = b.gram AND a.part = b.part JOIN qn ON qn.id = a.id JOIN cn ON cn.id = b.id GROUP BY ALL)"""
+BENCH = "qs AS (SELECT item_id AS id, 'all' AS part, coalesce(text, '') AS text FROM benchmark)"
+DOCS = "cs AS (SELECT doc_id AS id, 'all' AS part, coalesce(text, '') AS text FROM documents)"
+
+
+def bench_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def doc_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def leg_sql(side: str, k: int) -> str:
+    key = "q" if side == "q" else "c"
+    return f"""WITH {BENCH}, {DOCS}, {grams_sql("qs", "qc")}, {grams_sql("cs", "cc")}, {LEG}
+SELECT q, c, sim, CAST(rk AS BIGINT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sim DESC, q, c) AS rk FROM sims WHERE sim >= 0.05) WHERE rk <= {k}"""
+
+
+@query()
+def linkage_flagship(spark, d):
+    """Which documents hold which benchmark item: sparse leg, one owner for each document, best first."""
+    leg = B.sparse_leg(bench_rows(spark, d), doc_rows(spark, d), "q", 10, max_df=0.5).select(F.col("q").alias("s1"), F.col("c").alias("cand"), F.col("sim").alias("p"))
+    return D.one_to_one(leg)
+
+
+ORACLE["linkage_flagship"] = f"""SELECT s1, cand, p FROM (SELECT q AS s1, c AS cand, sim AS p, row_number() OVER (PARTITION BY c ORDER BY sim DESC, q) AS r FROM ({leg_sql("q", 10)})) WHERE r = 1"""
+
+
+@query(leg_sql("q", 10))
+def tfidf_topk_forward(spark, d):
+    return _long(B.sparse_leg(bench_rows(spark, d), doc_rows(spark, d), "q", 10, max_df=0.5))
+
+
+@query(leg_sql("c", 3))
+def tfidf_topk_reverse(spark, d):
+    return _long(B.sparse_leg(bench_rows(spark, d), doc_rows(spark, d), "c", 3, max_df=0.5))
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    """Ranks and counts as longs."""
+    return df.withColumns({c: F.col(c).cast("long") for c in (names or ("rk",))})
+
+
+@query(f"WITH {BENCH}, {grams_sql('qs', 'qc')} SELECT id, part, gram, tf FROM qc")
+def trigram_counts(spark, d):
+    return B.term_counts(bench_rows(spark, d))
+
+
+@query(f"""WITH {BENCH}, {DOCS}, {grams_sql("qs", "qc")}, {grams_sql("cs", "cc")}, {LEG}
+SELECT qr.id, part, gram, round(w / norm, 6) AS w FROM qr JOIN qn USING (id)""")
+def tfidf_postings(spark, d):
+    a, b = B.term_counts(bench_rows(spark, d)), B.term_counts(doc_rows(spark, d))
+    n = bench_rows(spark, d).select("id").unionByName(doc_rows(spark, d).select("id")).agg(F.count("*").alias("n"))
+    idf = B.fit_idf(a.select("gram").unionByName(b.select("gram")), n, 2, 0.5)
+    return B.postings(a, idf).withColumn("w", F.round("w", 6))
+
+
+@query(f"""WITH f AS ({leg_sql("q", 10)}), r AS ({leg_sql("c", 3)})
+SELECT coalesce(f.q, r.q) AS s1, coalesce(f.c, r.c) AS cand, f.sim AS sim_f, f.rk AS rk_f, r.sim AS sim_r, r.rk AS rk_r FROM f FULL JOIN r ON f.q = r.q AND f.c = r.c""")
+def merge_legs(spark, d):
+    return B.merge_legs({"f": tfidf_topk_forward(spark, d), "r": tfidf_topk_reverse(spark, d)})
+
+
+@query(f"""WITH f AS ({leg_sql("q", 10)}), r AS ({leg_sql("c", 3)}), m AS (SELECT coalesce(f.q, r.q) AS s1, coalesce(f.c, r.c) AS cand, f.sim AS sim_f, r.sim AS sim_r FROM f FULL JOIN r ON f.q = r.q AND f.c = r.c),
+bw AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), dw AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents),
+t AS (SELECT DISTINCT item_id AS s1, doc_id AS cand FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM bw)
+JOIN (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM dw) USING (g)),
+x AS (SELECT t.*, m.s1 IS NOT NULL AS u, sim_f IS NOT NULL AS f, sim_r IS NOT NULL AS r FROM t LEFT JOIN m ON t.s1 = m.s1 AND t.cand = m.cand)
+SELECT leg, found, total, round(found::DOUBLE / total, 6) AS recall FROM (
+SELECT 'union' AS leg, count(*) FILTER (WHERE u) AS found, count(*) AS total FROM x UNION ALL SELECT 'sim_f', count(*) FILTER (WHERE f), count(*) FROM x UNION ALL SELECT 'sim_r', count(*) FILTER (WHERE r), count(*) FROM x)""")
+def blocking_recall(spark, d):
+    """True pairs share ten words in a row."""
+
+    def runs(name, key):
+        w = table(spark, d, name).select(key, F.split(F.lower("text"), " ").alias("w")).where(F.size("w") >= 10)
+        return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.array_join(F.slice("w", i, 10), " "))).alias("g"))
+
+    true = runs("benchmark", "item_id").join(runs("documents", "doc_id"), "g").select(F.col("item_id").alias("s1"), F.col("doc_id").alias("cand"))
+    return E.blocking_recall(true, merge_legs(spark, d), ["sim_f", "sim_r"])
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+s AS (SELECT a.id AS q, b.id AS c, round(list_inner_product(a.vec, b.vec), 6) AS sim FROM v a, v b)
+SELECT q, c, sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, q, c) AS rk FROM s) WHERE rk <= 10""")
+def dense_topk_forward(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return _long(B.dense_topk(v, v, 10))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
+s AS (SELECT a.id AS q, b.id AS c, round(list_inner_product(a.vec, b.vec), 6) AS sim FROM v a, v b WHERE a.label < 5 AND b.label >= 5),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, q, c) AS rk FROM s) WHERE rk <= 10),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sim DESC, c, q) AS rk FROM s) WHERE rk <= 3)
+SELECT coalesce(f.q, r.q) AS s1, coalesce(f.c, r.c) AS cand, coalesce(f.sim, r.sim) AS sim_dense, f.rk AS rk_dense_f, r.rk AS rk_dense_r FROM f FULL JOIN r ON f.q = r.q AND f.c = r.c""")
+def dense_merge_full_outer(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    a, b = v.where("label < 5").drop("label"), v.where("label >= 5").drop("label")
+    return _long(B.dense_pairs(B.dense_topk(a, b, 10), B.dense_topk(b, a, 3)), "rk_dense_f", "rk_dense_r")
+
+
+@query("""WITH r AS (SELECT source AS city, lang AS state FROM documents), n AS (SELECT city, state, count(*) AS n FROM r WHERE city <> '' AND state <> '' GROUP BY ALL),
+v AS (SELECT *, sum(n) OVER (PARTITION BY city) AS total FROM n), g AS (SELECT city, state AS guess FROM v WHERE n >= 0.5::DOUBLE * total AND total >= 3)
+SELECT d.doc_id AS id, coalesce(g.guess, '?') AS key FROM documents d LEFT JOIN g ON g.city = d.source""")
+def state_infer(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("city"), F.col("lang").alias("state"))
+    return B.partition_keys(docs, docs.withColumn("state", F.lit("")), share=0.5).select("id", "key")
+
+
+@query("""SELECT l_orderkey AS s1, CAST(x AS VARCHAR) AS match FROM (SELECT o_orderkey AS l_orderkey, unnest(CASE WHEN m IS NULL THEN [NULL] ELSE m END) AS x FROM orders LEFT JOIN
+(SELECT l_orderkey, list(DISTINCT l_partkey) AS m FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON o_orderkey = l_orderkey)""")
+def truth_long(spark, d):
+    some = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("s1"), F.col("l_partkey").alias("cand"))
+    wide = D.match_lists(table(spark, d, "orders").select(F.col("o_orderkey").alias("s1")), some)
+    return io.load_truth(wide, "s1", "matched")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, 2::TINYINT AS src FROM supplier UNION ALL SELECT c_custkey, c_name, 3::TINYINT FROM customer")
+def union_sources(spark, d):
+    return io.union_sources({2: table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), 3: table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))})
+
+
+@query(f"""WITH {PAIRS} SELECT i.s1, coalesce(m.matched, '') AS matched FROM ids i LEFT JOIN
+(SELECT s1, array_to_string(list_sort(list(DISTINCT CAST(cand AS VARCHAR))), ',') AS matched FROM pred GROUP BY s1) m ON i.s1 = m.s1""")
+def match_lists(spark, d):
+    return D.match_lists(ids(spark, d), predicted(spark, d))
+
+
+@query(f"""WITH {PAIRS} SELECT s1, cand, p, row_number() OVER a AS c_rank_s1, max(p) OVER (PARTITION BY s1) AS c_pmax_s1, round(sum(p) OVER (PARTITION BY s1), 6) AS c_psum_s1,
+count(*) FILTER (WHERE p >= 0.5) OVER (PARTITION BY s1) AS c_n05_s1, count(*) FILTER (WHERE p >= 0.2) OVER (PARTITION BY s1) AS c_n02_s1, count(*) OVER (PARTITION BY s1) AS c_ncand_s1,
+row_number() OVER b AS c_rank_cand, count(*) OVER (PARTITION BY cand) AS c_nclaim, max(p) OVER (PARTITION BY cand) AS c_pmax_cand, round(sum(p) OVER (PARTITION BY cand) - p, 6) AS c_pother_cand
+FROM pairs WINDOW a AS (PARTITION BY s1 ORDER BY p DESC, s1, cand), b AS (PARTITION BY cand ORDER BY p DESC, s1, cand)""")
+def ctx_window_features(spark, d):
+    df = C.context_features(pairs(spark, d)).drop("y", "c_gap_s1", "c_margin_cand")
+    return _long(df, "c_rank_s1", "c_rank_cand").withColumns({c: F.round(c, 6) for c in ("c_psum_s1", "c_pother_cand")})
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, max(p) OVER (PARTITION BY s1) AS ms, max(p) OVER (PARTITION BY cand) AS mc FROM pairs)
+SELECT s1, cand, round(ms - p, 6) AS gap, round(CASE WHEN r = 1 THEN p - coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) ELSE p - mc END, 6) AS margin FROM r""")
+def ctx_margin(spark, d):
+    return C.context_features(pairs(spark, d)).select("s1", "cand", F.round("c_gap_s1", 6).alias("gap"), F.round("c_margin_cand", 6).alias("margin"))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT s1, cand, CASE WHEN (s1 + cand) % 3 > 0 THEN p END AS m FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY m DESC NULLS LAST, s1, cand) AS rs, row_number() OVER (PARTITION BY cand ORDER BY m DESC NULLS LAST, s1, cand) AS rc FROM x)
+SELECT s1, cand, m, CASE WHEN m IS NOT NULL THEN rs END AS m_rank_s1, round(max(m) OVER (PARTITION BY s1) - m, 6) AS m_gap_s1, CASE WHEN m IS NOT NULL THEN rc END AS m_rank_cand,
+round(CASE WHEN m IS NULL THEN NULL WHEN rc = 1 THEN m - max(CASE WHEN rc = 2 THEN m END) OVER (PARTITION BY cand) ELSE m - max(m) OVER (PARTITION BY cand) END, 6) AS m_margin_cand FROM r""")
+def score_channel(spark, d):
+    x = pairs(spark, d).select("s1", "cand", F.when((F.col("s1") + F.col("cand")) % 3 > 0, F.col("p")).alias("m"))
+    return _long(C.score_context(x, "m", "m"), "m_rank_s1", "m_rank_cand").withColumns({c: F.round(c, 6) for c in ("m_gap_s1", "m_margin_cand")})
+
+
+ATTRS = "attrs AS (SELECT p_partkey AS cand, p_name AS name, p_type AS addr, CAST(p_size AS VARCHAR) AS house, (p_partkey % 2 + 2)::INT AS src FROM part)"
+JACC = "coalesce(len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' '))))::DOUBLE / nullif(len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' ')))), 0), 0)"
+
+
+def attrs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.col("p_name").alias("name"), F.col("p_type").alias("addr"), F.col("p_size").cast("string").alias("house"), (F.col("p_partkey") % 2 + 2).cast("int").alias("src"))
+
+
+@query(f"""WITH {PAIRS}, {ATTRS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s1, cand) AS rk FROM pairs),
+b AS (SELECT m.s1, m.cand, o.p AS po, {JACC.format(a="x.name", b="z.name")} AS ns, {JACC.format(a="x.addr", b="z.addr")} AS asim, CASE WHEN x.house = z.house THEN 1.0 ELSE 0.0 END AS h
+FROM pairs m JOIN attrs x ON x.cand = m.cand JOIN r o ON o.s1 = m.s1 AND o.rk <= 4 AND o.cand <> m.cand JOIN attrs z ON z.cand = o.cand)
+SELECT m.s1, m.cand, round(max(ns), 6) AS t_name_max, round(sum(ns * po) / greatest(sum(po), 1e-6), 6) AS t_name_mean, round(max(asim), 6) AS t_addr_max,
+round(sum(CASE WHEN b.s1 IS NULL THEN NULL WHEN ns >= 0.8 AND asim >= 0.8 THEN po ELSE 0 END), 6) AS t_support, max(h)::DOUBLE AS t_house_agree, CASE WHEN count(b.s1) > 0 THEN count(b.s1) END AS t_n_others
+FROM pairs m LEFT JOIN b ON b.s1 = m.s1 AND b.cand = m.cand GROUP BY m.s1, m.cand""")
+def group_support(spark, d):
+    got = C.group_support(pairs(spark, d), attrs(spark, d).drop("src"), S.jaccard)
+    return got.select("s1", "cand", *[F.round(c, 6).alias(c) for c in ("t_name_max", "t_name_mean", "t_addr_max", "t_support")], "t_house_agree", "t_n_others")
+
+
+@query()
+def peer_support(spark, d):
+    """Rows only: SQL would repeat the operator's four windows; tests compare with brute force."""
+    got = C.peer_support(pairs(spark, d), attrs(spark, d).select("cand", "name", "src"), S.jaccard)
+    return got.select("s1", "cand", F.round("peer_max", 6).alias("peer_max"), F.round("peer_support", 6).alias("peer_support"), "peer_sources")
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, count(*) OVER (PARTITION BY cand) - 1 AS n_rivals FROM pairs)
+SELECT s1, cand, n_rivals, round(CASE WHEN n_rivals = 0 THEN 1.0::DOUBLE WHEN r = 1 THEN p - max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand) ELSE p - max(p) OVER (PARTITION BY cand) END, 6) AS name_margin FROM r""")
+def name_margin(spark, d):
+    return C.name_margin(pairs(spark, d), "p").select("s1", "cand", "n_rivals", F.round("name_margin", 6).alias("name_margin"))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s1, cand) AS r FROM pairs),
+t AS (SELECT *, max(p) OVER (PARTITION BY s1) AS top, max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY s1) AS second FROM r)
+SELECT s1, cand, (p BETWEEN 0.05 AND 0.95) OR cand % 10 = 0 OR coalesce(top - second <= 0.15::DOUBLE AND top - p <= 0.15::DOUBLE, FALSE) AS repair FROM t""")
+def repair_scope(spark, d):
+    return C.repair_scope(pairs(spark, d), F.col("cand") % 10 == 0).select("s1", "cand", "repair")
+
+
+@query(f"WITH {PAIRS} SELECT s1, cand, p FROM pairs WHERE CAST(('0x' || substr(md5('drop' || CAST(s1 AS VARCHAR)), 1, 8)) AS BIGINT) % 100 >= 20")
+def owner_dropout(spark, d):
+    return C.owner_dropout(pairs(spark, d), 20).select("s1", "cand", "p")
+
+
+@query(f"WITH {PAIRS} SELECT s1, cand, p FROM owned")
+def one_to_one(spark, d):
+    return D.one_to_one(pairs(spark, d)).select("s1", "cand", "p")
+
+
+GRID = [k / 20 for k in range(4, 20)]
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT unnest({GRID})::DOUBLE AS t), nt AS (SELECT s1, count(*) AS nt FROM truth GROUP BY s1),
+x AS (SELECT g.t, o.s1, count(*) AS np, count(*) FILTER (WHERE o.y = 1) AS tp FROM owned o JOIN g ON o.p >= g.t GROUP BY ALL)
+SELECT g.t, round(avg(CASE WHEN coalesce(nt, 0) = 0 AND coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * coalesce(tp, 0) / (0.25::DOUBLE * coalesce(nt, 0) + coalesce(np, 0)) END), 6) AS macro_f05
+FROM ids i CROSS JOIN g LEFT JOIN nt ON nt.s1 = i.s1 LEFT JOIN x ON x.s1 = i.s1 AND x.t = g.t GROUP BY g.t""")
+def threshold_sweep(spark, d):
+    return E.threshold_sweep(ids(spark, d), D.one_to_one(pairs(spark, d)), truth(spark, d), GRID)
+
+
+@query(f"WITH {PAIRS} SELECT s1, cand, p FROM pairs WHERE s1 IN (SELECT s1 FROM (SELECT s1, max(p) AS gate FROM pairs GROUP BY s1) WHERE gate >= 0.9)")
+def gated(spark, d):
+    x = pairs(spark, d)
+    return D.gated(x, x.groupBy("s1").agg(F.max("p").alias("gate")), 0.9).select("s1", "cand", "p")
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS o FROM pairs)
+SELECT s1, max(CASE WHEN r = 1 THEN p END) AS g_p1, max(CASE WHEN r = 2 THEN p END) AS g_p2, max(CASE WHEN r = 3 THEN p END) AS g_p3, round(sum(p), 6) AS g_sum, count(*) FILTER (WHERE p >= 0.5) AS g_n05,
+count(*) FILTER (WHERE p >= 0.2) AS g_n02, count(*) AS g_n, count(*) FILTER (WHERE o > 1) AS g_lost FROM r GROUP BY s1""")
+def s1_gate_table(spark, d):
+    return D.s1_table(pairs(spark, d))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT *, row_number() OVER w AS k, sum(p) OVER (PARTITION BY s1 ORDER BY p DESC, cand ROWS UNBOUNDED PRECEDING) AS run, sum(p) OVER (PARTITION BY s1) AS total,
+CASE WHEN max(p) OVER (PARTITION BY s1) >= 1 THEN 0 ELSE exp(sum(ln(1 - least(p, 1 - 1e-12::DOUBLE))) OVER (PARTITION BY s1)) END AS none FROM pairs WHERE p >= 0.05 WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, cand)),
+v AS (SELECT *, round(1.25::DOUBLE * run / (0.25::DOUBLE * total + k), 9) AS value FROM x), b AS (SELECT *, max(value) OVER (PARTITION BY s1) AS top FROM v),
+c AS (SELECT *, min(CASE WHEN value = top THEN k END) OVER (PARTITION BY s1) AS best_k FROM b) SELECT s1, cand, p, best_k FROM c WHERE k <= best_k AND top > none""")
+def expected_f_approx(spark, d):
+    return D.expected_f_approx(pairs(spark, d))
+
+
+@query()
+def expected_f_exact(spark, d):
+    """No counterpart: the recurrence's sums round differently; tests enumerate all outcomes instead."""
+    return _long(D.expected_f_exact(pairs(spark, d)).withColumn("expected", F.round("expected", 6)), "best_k")
+
+
+@query(f"WITH {PAIRS} SELECT s1, cand, round(p / greatest(1.0::DOUBLE, sum(p) OVER (PARTITION BY cand)), 6) AS q FROM pairs")
+def ownership_normalised(spark, d):
+    return D.normalised_by_owner(pairs(spark, d)).select("s1", "cand", F.round("q", 6).alias("q"))
+
+
+@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(f), 6) AS macro_f05 FROM counts")
+def macro_f05(spark, d):
+    return E.macro_f05(ids(spark, d), predicted(spark, d), truth(spark, d))
+
+
+@query(f"""WITH {PAIRS} SELECT grp, count(*) AS n, round(avg(f), 6) AS f05, round(sum(1 - f) / nullif((SELECT sum(1 - f) FROM counts), 0), 6) AS loss_share FROM counts GROUP BY grp""")
+def f05_by_group(spark, d):
+    return E.by_group(ids(spark, d), predicted(spark, d), truth(spark, d), "grp")
+
+
+F_SQL = "CASE WHEN {t} = 0 AND {p} = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * {tp} / (0.25::DOUBLE * {t} + {p}) END"
+
+
+def _f(tp: str, t: str, p: str, name: str) -> str:
+    return f"round(avg({F_SQL.format(tp=tp, t=t, p=p)}), 6) AS {name}"
+
+
+@query(f"""WITH {PAIRS}, k AS (SELECT s1, cand FROM pairs WHERE p >= 0.2),
+x AS (SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.cand, b.cand) AS cand, a.s1 IS NOT NULL AS ip, b.s1 IS NOT NULL AS it FROM pred a FULL JOIN truth b ON a.s1 = b.s1 AND a.cand = b.cand),
+z AS (SELECT x.*, k.s1 IS NOT NULL AS ic FROM x LEFT JOIN k ON k.s1 = x.s1 AND k.cand = x.cand),
+m AS (SELECT s1, count(*) FILTER (WHERE ip AND it) AS tp, count(*) FILTER (WHERE it) AS nt, count(*) FILTER (WHERE ip) AS np, count(*) FILTER (WHERE it AND ic AND NOT ip) AS missed, count(*) FILTER (WHERE it AND NOT ic AND NOT ip) AS unseen FROM z GROUP BY s1),
+n AS (SELECT coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np, coalesce(missed, 0) AS missed, coalesce(unseen, 0) AS unseen FROM ids LEFT JOIN m ON m.s1 = ids.s1)
+SELECT {_f("tp", "nt", "np", "f_now")}, {_f("tp", "nt", "tp", "f_without_fp")}, {_f("(tp + missed + unseen)", "nt", "(np + missed + unseen)", "f_without_fn")},
+{_f("(tp + unseen)", "nt", "(np + unseen)", "f_without_blocking_miss")}, {_f("(tp + missed)", "nt", "(tp + missed)", "f_ceiling")} FROM n""")
+def error_decomposition(spark, d):
+    return E.decomposition(ids(spark, d), predicted(spark, d), truth(spark, d), pairs(spark, d).where("p >= 0.2"))
+
+
+@query(f"""WITH {PAIRS} SELECT CASE WHEN nt = 0 AND np = 0 THEN 'singleton_ok' WHEN nt = 0 THEN 'singleton_fp' WHEN np = 0 THEN 'matched_empty' WHEN tp = nt AND tp = np THEN 'exact' WHEN tp < np THEN 'has_fp' ELSE 'only_fn' END AS bucket,
+count(*) AS n, round(sum(1 - f), 6) AS loss FROM counts GROUP BY 1""")
+def loss_buckets(spark, d):
+    return E.entity_buckets(ids(spark, d), predicted(spark, d), truth(spark, d))
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT t.*, p.p, o.s1 IS NOT NULL AS own, q.s1 IS NOT NULL AS pred FROM truth t JOIN pairs p ON p.s1 = t.s1 AND p.cand = t.cand LEFT JOIN owned o ON o.s1 = t.s1 AND o.cand = t.cand LEFT JOIN pred q ON q.s1 = t.s1 AND q.cand = t.cand)
+SELECT 'retrieval' AS stage, count(*) FILTER (WHERE p < 0.05) AS n FROM t UNION ALL SELECT 'prefilter', count(*) FILTER (WHERE p >= 0.05 AND p < 0.2) FROM t UNION ALL SELECT 'ownership', count(*) FILTER (WHERE p >= 0.2 AND NOT own) FROM t
+UNION ALL SELECT 'decision', count(*) FILTER (WHERE p >= 0.2 AND own AND NOT pred) FROM t UNION ALL SELECT 'false_positive', count(*) FROM pred q WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = q.s1 AND t.cand = q.cand)""")
+def error_funnel(spark, d):
+    x = pairs(spark, d)
+    return E.error_funnel(truth(spark, d), x.where("p >= 0.05"), x.where("p >= 0.2"), D.one_to_one(x), predicted(spark, d))
+
+
+def _macro(case: str) -> str:
+    return f"""(SELECT round(avg({F_SQL.format(tp="coalesce(tp, 0)", t="coalesce(nt, 0)", p="coalesce(np, 0)")}), 6) FROM ids LEFT JOIN (SELECT s1, count(*) AS nt FROM truth GROUP BY s1) a ON a.s1 = ids.s1
+LEFT JOIN (SELECT c.s1, count(*) AS np, count(t.s1) AS tp FROM ({case}) c LEFT JOIN truth t ON t.s1 = c.s1 AND t.cand = c.cand GROUP BY c.s1) b ON b.s1 = ids.s1)"""
+
+
+@query(f"""WITH {PAIRS} SELECT 'none' AS intervention, {_macro("SELECT * FROM pred")} AS macro_f05 UNION ALL SELECT 'drop_false_positives', {_macro("SELECT * FROM pred INTERSECT SELECT * FROM truth")}
+UNION ALL SELECT 'add_seen_misses', {_macro("SELECT * FROM pred UNION SELECT s1, cand FROM pairs WHERE y = 1 AND p >= 0.2")} UNION ALL SELECT 'add_all_misses', {_macro("SELECT * FROM pred UNION SELECT * FROM truth")}""")
+def oracle_interventions(spark, d):
+    return E.interventions(ids(spark, d), predicted(spark, d), truth(spark, d), pairs(spark, d).where("p >= 0.2"))
+
+
+@query(f"""WITH {PAIRS} SELECT (p >= 0.01)::BIGINT + (p >= 0.05)::BIGINT + (p >= 0.2)::BIGINT + (p >= 0.5)::BIGINT + (p >= 0.9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS match_rate FROM pairs GROUP BY 1""")
+def score_bins(spark, d):
+    return E.score_bins(pairs(spark, d))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT y, p, greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS q FROM pairs)
+SELECT count(*) AS n, round(avg(CASE WHEN y = 1 THEN -ln(q) ELSE -ln(1 - q) END), 6) AS log_loss, round(avg(CASE WHEN (p >= 0.5)::INT = y THEN 1 ELSE 0 END), 6) AS accuracy FROM c""")
+def log_loss(spark, d):
+    return E.log_loss(pairs(spark, d))
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT i.s1, coalesce(list(cand) FILTER (WHERE cand IS NOT NULL), []) AS o FROM ids i LEFT JOIN pred q ON q.s1 = i.s1 GROUP BY i.s1),
+b AS (SELECT i.s1, coalesce(list(cand) FILTER (WHERE cand IS NOT NULL), []) AS n FROM ids i LEFT JOIN (SELECT * FROM owned WHERE p >= 0.8) q ON q.s1 = i.s1 GROUP BY i.s1),
+x AS (SELECT len(list_filter(n, lambda v: NOT list_contains(o, v))) AS plus, len(list_filter(o, lambda v: NOT list_contains(n, v))) AS minus, len(o) AS lo, len(n) AS ln FROM a JOIN b USING (s1))
+SELECT count(*) FILTER (WHERE plus > 0 OR minus > 0) AS changed, sum(plus)::BIGINT AS added, sum(minus)::BIGINT AS removed, count(*) FILTER (WHERE lo > 0 AND ln = 0) AS emptied, count(*) FILTER (WHERE lo = 0 AND ln > 0) AS filled FROM x""")
+def submission_diff(spark, d):
+    return E.submission_diff(D.match_lists(ids(spark, d), predicted(spark, d)), D.match_lists(ids(spark, d), predicted(spark, d, 0.8)))
+
+
+@query("""SELECT lower(split_part(d.text, ' ', 1)) AS key, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_positive FROM documents d JOIN labels USING (doc_id) GROUP BY 1 HAVING sum(quality) > 0 AND sum(quality) < count(*)""")
+def text_conflicts(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("key"), F.col("quality").alias("label"))
+    return E.text_conflicts(rows)
+
+
+@query(f"""WITH {PAIRS} SELECT t.s1, t.cand, o.s1 AS winner FROM truth t JOIN owned o ON o.cand = t.cand AND o.s1 <> t.s1 WHERE o.p < 0.98""")
+def stranded_owners(spark, d):
+    return E.stranded_owners(truth(spark, d), pairs(spark, d), predicted(spark, d, 0.98))
+
+
+@query(f"WITH {PAIRS} SELECT count(*) AS n, 0::BIGINT AS null_keys, 0::BIGINT AS bad_labels, 0::BIGINT AS bad_scores, 0::BIGINT AS duplicates FROM pairs")
+def verify_pairs(spark, d):
+    return E.verify_pairs(pairs(spark, d))
+
+
+@query()
+def grouped_bootstrap(spark, d):
+    a = E.entity_counts(ids(spark, d), predicted(spark, d), truth(spark, d)).select("s1", "f")
+    b = E.entity_counts(ids(spark, d), predicted(spark, d, 0.5), truth(spark, d)).select("s1", F.col("f").alias("g"))
+    diffs = a.join(b, "s1").join(ids(spark, d), "s1").groupBy(F.col("grp").alias("stratum"), (F.col("s1") % 97).alias("grp")).agg(F.count("*").alias("n"), F.sum(F.col("g") - F.col("f")).alias("diff"))
+    return E.paired_bootstrap(diffs)
+
+
+@query("""WITH s AS (SELECT 'all' AS country, CAST(c_nationkey AS VARCHAR) AS state, count(*) AS n FROM customer GROUP BY 2),
+h AS (SELECT *, md5('sample|' || country || '|' || state) AS h FROM s WHERE n <= 1000000), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY country ORDER BY h, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT country, state, n FROM r WHERE before < 500""")
+def holdout_partition(spark, d):
+    s = table(spark, d, "customer").groupBy(F.lit("all").alias("country"), F.col("c_nationkey").cast("string").alias("state")).agg(F.count("*").alias("n"))
+    return E.whole_state_sample(s, 500, 1_000_000)
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part) SELECT token, round(ln(((SELECT count(*) FROM part) + 1)::DOUBLE / (count(*) + 1)) + 1, 6) AS idf FROM t GROUP BY token""")
+def token_idf(spark, d):
+    return X.token_idf(table(spark, d, "part"), "p_name").withColumn("idf", F.round("idf", 6))
+
+
+NAMES = "x AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size)"
+
+
+def name_pairs(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_name", "p_brand", "p_size")
+    return part.select(F.col("p_name").alias("a"), "p_brand", "p_size").join(part.select(F.col("p_name").alias("b"), "p_brand", "p_size"), ["p_brand", "p_size"]).select("a", "b").distinct()
+
+
+@query(f"""WITH {NAMES}, t AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part),
+i AS (SELECT token, ln(((SELECT count(*) FROM part) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM t GROUP BY token),
+u AS (SELECT a, b, unnest(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS token FROM x),
+w AS (SELECT u.a, u.b, idf, list_contains(string_split(a, ' '), u.token) AS ia, list_contains(string_split(b, ' '), u.token) AS ib FROM u JOIN i USING (token))
+SELECT a || '|' || b AS key, round(coalesce(sum(idf) FILTER (WHERE ia AND ib), 0) / sum(idf), 6) AS w_jacc, round(coalesce(sum(idf) FILTER (WHERE ia AND ib), 0) / sum(idf) FILTER (WHERE ia), 6) AS w_cover_a,
+round(coalesce(sum(idf) FILTER (WHERE ia AND ib), 0) / sum(idf) FILTER (WHERE ib), 6) AS w_cover_b, round(max(idf) FILTER (WHERE ia AND ib), 6) AS w_rarest FROM w GROUP BY a, b""")
+def weighted_jaccard(spark, d):
+    return X.weighted_name_compare(name_pairs(spark, d).select(F.concat_ws("|", "a", "b").alias("key"), "a", "b"), X.token_idf(table(spark, d, "part"), "p_name"), 20.0)
+
+
+@query(f"""WITH {NAMES}, y AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(b, ' ')) AS tb FROM x)
+SELECT a, b, round(len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))), 6) AS jacc, round(len(list_intersect(ta, tb))::DOUBLE / len(ta), 6) AS cont_ab, round(len(list_intersect(ta, tb))::DOUBLE / len(tb), 6) AS cont_ba,
+(len(ta) - len(tb))::BIGINT AS ntok_diff, CASE WHEN split_part(a, ' ', 1) = split_part(b, ' ', 1) THEN 1 ELSE 0 END::BIGINT AS first_eq FROM y""")
+def set_similarities(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return name_pairs(spark, d).select("a", "b", F.round(S.jaccard(a, b), 6).alias("jacc"), F.round(S.containment(a, b), 6).alias("cont_ab"), F.round(S.containment(b, a), 6).alias("cont_ba"), S.token_count_difference(a, b).cast("long").alias("ntok_diff"), S.first_equal(a, b).cast("long").alias("first_eq"))
+
+
+@query(f"WITH {NAMES} SELECT a, b, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS lev FROM x")
+def edit_similarity(spark, d):
+    return name_pairs(spark, d).select("a", "b", F.round(S.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("lev"))
+
+
+@query("""WITH x AS (SELECT s_suppkey, c_custkey, CAST(s_suppkey AS VARCHAR) AS a, CAST(c_custkey AS VARCHAR) AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey)
+SELECT s_suppkey, c_custkey, (a = b)::BIGINT AS h_eq, (a <> b AND (starts_with(a, b) OR starts_with(b, a) OR ends_with(a, b) OR ends_with(b, a)))::BIGINT AS h_pref, abs(s_suppkey - c_custkey) AS h_diff, CASE WHEN a = b THEN 1 ELSE 2 END::BIGINT AS state FROM x""")
+def number_agreement(spark, d):
+    x = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")).join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n")), "n")
+    a, b = F.col("s_suppkey").cast("string"), F.col("c_custkey").cast("string")
+    h = S.house_features(a, b, b)
+    return x.select("s_suppkey", "c_custkey", h["h_eq"].cast("long").alias("h_eq"), h["h_pref"].cast("long").alias("h_pref"), h["h_diff"].alias("h_diff"), S.presence_state(a, b).cast("long").alias("state"))
+
+
+@query(f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM x")
+def jaro_winkler(spark, d):
+    return name_pairs(spark, d).select("a", "b", F.round(S.scored("jaro_winkler", F.col("a"), F.col("b")), 6).alias("jw"))
+
+
+@query()
+def string_ratios(spark, d):
+    """Indel ratios; SQL has none, tests compare with dynamic programming."""
+    kinds = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
+    return name_pairs(spark, d).select("a", "b", *[F.round(S.scored(k, F.col("a"), F.col("b")), 6).alias(k) for k in kinds])
+
+
+@query()
+def normalised_names(spark, d):
+    """Name normalisation over suppliers, customers and the hosts of pages; tests hold expected values."""
+    hosts = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("raw"))
+    raw = hosts.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("raw"))).unionByName(table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.lit("Pvt. Ltd.")).alias("raw"))).distinct()
+    return raw.select("raw", T.norm_name(F.col("raw")).alias("n")).select("raw", "n.*")
+
+
+@query()
+def normalised_addresses(spark, d):
+    """Address normalisation over composed addresses of customers; tests hold expected values."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = F.concat(F.col("c_custkey"), F.lit(" Main Street, "), F.col("n_name"), F.lit(" City, Texas"))
+    return c.select("c_custkey", T.norm_address(raw, F.lit("us")).alias("a")).select("c_custkey", "a.*")
+
+
+@query()
+def pair_features(spark, d):
+    """The forty features over parts of one brand and size as records."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", T.norm_name(F.col("p_name")).alias("n"), T.norm_address(F.concat(F.col("p_size"), F.lit(" "), F.col("p_type"), F.lit(" Road, "), F.col("p_brand")), F.lit("us")).alias("a"))
+    flat = part.select("p_partkey", "p_brand", "p_size", "n.*", "a.*")
+    side = lambda x, key: flat.select(F.col("p_partkey").alias(key), "p_brand", "p_size", *[F.col(c).alias(f"{x}_{c}") for c in flat.columns[3:]])
+    return X.pair_features(side("a", "s1").join(side("b", "cand"), ["p_brand", "p_size"]).where("s1 < cand"))
+
+
+@query()
+def dictionary_learned(spark, d):
+    """Non-ASCII tokens of titles learned from pages of one host; no counterpart, tests hold expected values."""
+    pages = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
+    a, b = pages.where("lang = 'en'").select("host", F.col("t").alias("a")), pages.where("lang <> 'en'").select("host", F.col("t").alias("b"))
+    return learn.cooccurring_tokens(a.join(b, "host").select("a", "b"), 2)
+
+
+@query()
+def isotonic_calibration(spark, d):
+    x = pairs(spark, d)
+    return models.calibrate(models.fit_isotonic(x), x).select("s1", "cand", "p", F.round("q", 6).alias("q"))
+
+
+def _feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    df = C.context_features(pairs(spark, d))
+    return df.withColumn("fold", models.group_fold(F.col("s1")))
+
+
+FEATURES = ("p", "c_rank_s1", "c_gap_s1", "c_ncand_s1", "c_margin_cand")
+
+
+@query()
+def gbt_stage1(spark, d):
+    rows = _feature_rows(spark, d).cache()
+    model = models.fit_gbt(rows.where("fold = 0"), FEATURES, rounds=8, depth=4)
+    return models.score_gbt([model], rows.where("fold = 1"), FEATURES, "score").select("s1", "cand", "y", F.round("score", 6).alias("score"))
+
+
+@query()
+def oof_scores(spark, d):
+    rows = _feature_rows(spark, d).withColumnRenamed("p", "p1").cache()
+    return models.out_of_fold(rows, ("p1", *FEATURES[1:]), rounds=5, depth=3).select("s1", "cand", "fold", F.round("p", 6).alias("p"))
+
+
+@query()
+def gate_model(spark, d):
+    x = pairs(spark, d)
+    gate = D.s1_table(x).join(x.groupBy("s1").agg(F.max("y").alias("y")), "s1")
+    feats = ("g_p1", "g_p2", "g_p3", "g_sum", "g_n05", "g_n")
+    model = models.fit_gbt(gate, feats, rounds=5, depth=3)
+    return models.score_gbt([model], gate, feats, "gate").select("s1", "y", F.round("gate", 6).alias("gate"))
