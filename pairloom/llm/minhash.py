@@ -311,9 +311,10 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     found = near_duplicates(docs, words)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "tag")).alias("k")
     kept = common.written(found.groupBy("comp").agg(best).select(F.col("k.tag").alias("tag")), "kept")
-    got = docs.withColumn("tag", tag_of()).join(kept.distinct(), "tag", "left_semi")
-    first = F.row_number().over(W.partitionBy("tag").orderBy("tag"))  # rows that repeat another in doc_id and text
-    return got.withColumn("k", first).where("k = 1").select(*docs.columns)
+    kept = kept.distinct().withColumnRenamed("tag", "__pairloom_tag")
+    got = docs.withColumn("__pairloom_tag", tag_of()).join(kept, "__pairloom_tag", "left_semi")
+    first = F.row_number().over(W.partitionBy("__pairloom_tag").orderBy("__pairloom_tag"))  # rows that repeat another in doc_id and text
+    return got.withColumn("__pairloom_k", first).where("__pairloom_k = 1").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFrame:

@@ -13,7 +13,7 @@ each source, as the weights that a mix is given have.
 
 Defined results. Null text has size 0; a null source is a source, last in order. Rows of equal doc_id and key in a
 source are taken together. Null doc_ids draw the key of the empty string. Sources without words
-have target 0. An empty table gives no rows. Extra columns pass through mix() untouched.
+have target 0. An empty table gives no rows. Extra columns pass through mix() untouched; names that begin with __mix_ are reserved.
 """
 
 from __future__ import annotations
@@ -66,10 +66,10 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
 
 
 def keyed(docs: DataFrame, weight: Column | None = None, seed: str = "mix") -> DataFrame:
-    """docs with mix_size, mix_key and mix_bucket; weight may use the column mix_size."""
-    rows = docs.withColumn("mix_size", size_of(F.col("text")))
-    rows = rows.withColumn("mix_key", key_of(F.col("doc_id"), shape_weight(F.col("text"), F.col("mix_size")) if weight is None else weight, seed))
-    return rows.withColumn("mix_bucket", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    """docs with __mix_size, __mix_key and __mix_bucket (reserved names); weight may use the first."""
+    rows = docs.withColumn("__mix_size", size_of(F.col("text")))
+    rows = rows.withColumn("__mix_key", key_of(F.col("doc_id"), shape_weight(F.col("text"), F.col("__mix_size")) if weight is None else weight, seed))
+    return rows.withColumn("__mix_bucket", F.least(F.floor((1 - F.exp(-F.col("__mix_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -78,7 +78,7 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     Sources are in code point order, null last; weights repeat over them.
     """
     spark = rows.sparkSession
-    sums = common.written(rows.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("n")), "ranges")
+    sums = common.written(rows.groupBy("source", "__mix_bucket").agg(F.sum("__mix_size").alias("n")), "ranges")
     sizes = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     total = [r.n for r in sizes]
     goal = targets(total, [weights[k % len(weights)] for k in range(len(total))]) if total else []
@@ -87,45 +87,47 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     goals = spark.createDataFrame(made, "source string, source_size long, target double, epochs int, rest double")
     goals = F.broadcast(goals) if len(made) <= BROADCAST_SOURCES else goals
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    before = W.partitionBy("source").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("source").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    met = ranges.join(goals, same(ranges, goals)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))).select(goals["source"].alias("s"), F.col("mix_bucket").alias("b"), "before", "rest")
+    met = ranges.join(goals, same(ranges, goals)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))).select(goals["source"].alias("s"), F.col("__mix_bucket").alias("b"), "before", "rest")
     met = common.written(met, "met")
-    edge = rows.select("source", "mix_bucket", "mix_key", "doc_id", "mix_size").join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_bucket") == F.col("b")))
-    edge = edge.groupBy("source", "b", "before", "rest", "mix_key", "doc_id").agg(F.sum("mix_size").alias("n"))
-    own = W.partitionBy("source").orderBy("mix_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    edge = rows.select("source", "__mix_bucket", "__mix_key", "doc_id", "__mix_size").join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("__mix_bucket") == F.col("b")))
+    edge = edge.groupBy("source", "b", "before", "rest", "__mix_key", "doc_id").agg(F.sum("__mix_size").alias("n"))
+    own = W.partitionBy("source").orderBy("__mix_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     edge = edge.withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(own), F.lit(0)))
-    out = edge.where(F.col("at") + F.col("n") / 2 > F.col("rest")).groupBy("source").agg(F.min(F.struct("mix_key", "doc_id")).alias("cut"))
+    out = edge.where(F.col("at") + F.col("n") / 2 > F.col("rest")).groupBy("source").agg(F.min(F.struct("__mix_key", "doc_id")).alias("cut"))
     cuts = {r.s: r.b for r in met.collect()}
     first = {r.source: r.cut for r in out.collect()}
-    full = [(s, n, g, e, cuts.get(s, -1), first[s].mix_key if s in first else None, first[s].doc_id if s in first else None) for s, n, g, e, _ in made]
+    full = [(s, n, g, e, cuts.get(s, -1), first[s]["__mix_key"] if s in first else None, first[s]["doc_id"] if s in first else None) for s, n, g, e, _ in made]
     return spark.createDataFrame(full, "source string, source_size long, target double, epochs int, cut_bucket int, cut_key double, cut_doc long")
 
 
 def apply_plan(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """Keyed rows with source_size, target and mix_copies, how often the mix takes the row."""
+    """Keyed rows with __mix_source_size, __mix_target and __mix_copies, how often the mix takes the row."""
     small = made.count() <= BROADCAST_SOURCES
-    made = made.withColumnRenamed("source", "mix_source")
-    got = rows.join(F.broadcast(made) if small else made, F.col("source").eqNullSafe(F.col("mix_source")))
-    under = F.col("cut_key").isNull() | (F.col("mix_key") < F.col("cut_key")) | ((F.col("mix_key") == F.col("cut_key")) & F.coalesce(F.col("doc_id") < F.col("cut_doc"), F.col("doc_id").isNull() & F.col("cut_doc").isNotNull()))
-    taken = (F.col("mix_bucket") < F.col("cut_bucket")) | ((F.col("mix_bucket") == F.col("cut_bucket")) & under)
-    return got.withColumn("mix_copies", F.col("epochs") + taken.cast("int")).drop("mix_source", "epochs", "cut_bucket", "cut_key", "cut_doc")
+    made = made.select(*[F.col(c).alias(f"__mix_{c}") for c in made.columns])
+    got = rows.join(F.broadcast(made) if small else made, F.col("source").eqNullSafe(F.col("__mix_source")))
+    key, cut, doc = F.col("__mix_key"), F.col("__mix_cut_key"), F.col("__mix_cut_doc")
+    before = F.coalesce(F.col("doc_id") < doc, F.col("doc_id").isNull() & doc.isNotNull())
+    under = cut.isNull() | (key < cut) | ((key == cut) & before)
+    taken = (F.col("__mix_bucket") < F.col("__mix_cut_bucket")) | ((F.col("__mix_bucket") == F.col("__mix_cut_bucket")) & under)
+    return got.withColumn("__mix_copies", F.col("__mix_epochs") + taken.cast("int")).drop("__mix_source", "__mix_epochs", "__mix_cut_bucket", "__mix_cut_key", "__mix_cut_doc")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, weight: Column | None = None) -> DataFrame:
     """docs (doc_id, text, source, ...) as the mix takes them: each row as often as it is taken, same columns."""
     names = docs.columns
-    keys = common.written(keyed(docs, weight).select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "keys")
+    keys = common.written(keyed(docs, weight).select("doc_id", "source", "__mix_size", "__mix_key", "__mix_bucket"), "keys")
     got = apply_plan(keyed(docs, weight), plan(keys, weights))
-    return got.where("mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    return got.where("__mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: how the mix takes each of all documents."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    keys = common.written(keyed(docs).select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "keys")
+    keys = common.written(keyed(docs).select("doc_id", "source", "__mix_size", "__mix_key", "__mix_bucket"), "keys")
     got = apply_plan(keys, plan(keys))
-    return got.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return got.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"))
 
 
 OP6_SQL = r"""

@@ -178,14 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(sets, np.array(got["quality"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column score; only texts go to Python, in Arrow batches."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column name, the score; only texts go to Python, in Arrow batches."""
 
     @F.arrow_udf("double")
     def of(col: pa.Array) -> pa.Array:
         return pa.array([model.score(g) for s in range(0, len(col), 256) for g in gram_sets(col.slice(s, 256))], pa.float64())
 
-    return docs.withColumn("score", of(common.whole_text(text)))
+    return docs.withColumn(name, of(common.whole_text(text)))
 
 
 def held_out():

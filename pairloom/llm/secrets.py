@@ -98,11 +98,11 @@ def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> Dat
     digits = whole.rlike("[0-9]")
     hexes = F.when(digits | whole.rlike("[a-f]{24}"), spans.find(whole, HEX)).otherwise(none)
     base = F.concat(*[spans.labelled(x, k, o) for o, (k, x) in enumerate(zip(KINDS, (assign, access, hexes)))])
-    got = docs.withColumn("base_spans", base)
+    got = docs.withColumn("__pairloom_base", base)
     runs = F.filter(F.when(digits, spans.find(whole, RUN)).otherwise(none), lambda x: x["v"].rlike("[0-9]"))
-    fresh = F.filter(runs, lambda x: ~F.exists("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    fresh = F.filter(runs, lambda x: ~F.exists("__pairloom_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     random = F.filter(fresh, lambda x: llr(x["v"], model) >= F.greatest(F.lit(MIN_LLR), MIN_RATE * (F.length(x["v"]) - 1)))
-    return got.withColumn("secrets", F.array_sort(F.concat("base_spans", spans.labelled(random, "markov", 3)))).drop("base_spans")
+    return got.withColumn("secrets", F.array_sort(F.concat("__pairloom_base", spans.labelled(random, "markov", 3)))).drop("__pairloom_base")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
