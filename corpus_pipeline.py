@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier does not reject."""
     labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs, labels.where(~quality.held_out()))
-    return quality.score(docs, model).where(f"score >= {quality.THRESHOLD}").select(*docs.columns)
+    return quality.score(docs, model, name="__pairloom_score").where(f"__pairloom_score >= {quality.THRESHOLD}").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
