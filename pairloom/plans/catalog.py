@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import audit as A
 from ..operators import blocking as B
 from ..operators import context as C
 from ..operators import decision as D
@@ -559,3 +560,72 @@ def gate_model(spark, d):
     feats = ("g_p1", "g_p2", "g_p3", "g_sum", "g_n05", "g_n")
     model = models.fit_gbt(gate, feats, rounds=5, depth=3)
     return models.score_gbt([model], gate, feats, "gate").select("s1", "y", F.round("gate", 6).alias("gate"))
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), '\\b(apt|apartment|suite|ste|unit|floor|room)\\b')) AS unit_marker,
+count(*) FILTER (WHERE regexp_matches(lower(text), '\\b[0-9]+\\s*[-/]\\s*[0-9a-z]+\\b')) AS compound_number, count(*) FILTER (WHERE regexp_matches(lower(text), '\\b[0-9]{5}(-[0-9]{4})?\\b')) AS us_zip,
+count(*) FILTER (WHERE NOT regexp_matches(text, '[0-9]')) AS no_number, count(*) FILTER (WHERE trim(text) = '') AS blank FROM documents GROUP BY lang""")
+def pattern_audit(spark, d):
+    return A.pattern_audit(table(spark, d, "documents"), "lang", "text")
+
+
+@query("SELECT p_partkey, CAST(('0x' || substr(sha256(p_name), 1, 12)) AS BIGINT) % 100 AS bucket FROM part")
+def hash_bucket(spark, d):
+    return table(spark, d, "part").select("p_partkey", A.hash_bucket(F.col("p_name")).alias("bucket"))
+
+
+ALPHAS, STEPS = [0.0, 0.25, 0.5, 1.0], [0.3, 0.5, 0.7, 0.9]
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT a.alpha, s1, cand, y, round((1 - a.alpha) * round(p * p, 6) + a.alpha * p, 9) AS b FROM pairs, (SELECT unnest({ALPHAS})::DOUBLE AS alpha) a),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha, cand ORDER BY b DESC, s1) AS r FROM b) WHERE r = 1), g AS (SELECT a.alpha, t.t FROM (SELECT unnest({ALPHAS})::DOUBLE AS alpha) a, (SELECT unnest({STEPS})::DOUBLE AS t) t),
+nt AS (SELECT s1, count(*) AS nt FROM truth GROUP BY s1), x AS (SELECT g.alpha, g.t, o.s1, count(*) AS np, sum(y) AS tp FROM o JOIN g ON g.alpha = o.alpha AND o.b >= g.t GROUP BY ALL)
+SELECT g.alpha, g.t, round(avg({F_SQL.format(tp="coalesce(tp, 0)", t="coalesce(nt, 0)", p="coalesce(np, 0)")}), 6) AS macro_f05 FROM ids i CROSS JOIN g LEFT JOIN nt ON nt.s1 = i.s1 LEFT JOIN x ON x.s1 = i.s1 AND x.alpha = g.alpha AND x.t = g.t GROUP BY ALL""")
+def blend_sweep(spark, d):
+    x = pairs(spark, d).withColumn("p2", F.round(F.col("p") * F.col("p"), 6))
+    return A.blend_sweep(ids(spark, d), x, truth(spark, d), ALPHAS, STEPS)
+
+
+POINTS = ((0.1, 0.0), (0.4, 0.25), (0.9, 0.95))
+
+
+@query(f"""WITH {PAIRS} SELECT s1, cand, round(CASE WHEN p <= 0.1 THEN 0.0::DOUBLE WHEN p <= 0.4 THEN 0.0 + (p - 0.1::DOUBLE) * (0.25::DOUBLE / 0.3::DOUBLE) WHEN p <= 0.9 THEN 0.25 + (p - 0.4::DOUBLE) * (0.7::DOUBLE / 0.5::DOUBLE) ELSE 0.95::DOUBLE END, 9) AS q FROM pairs""")
+def calibration_interpolated(spark, d):
+    return A.interpolated(pairs(spark, d), "p", POINTS).select("s1", "cand", F.round("q", 9).alias("q"))
+
+
+@query(f"""WITH {PAIRS}, l AS (SELECT s1, cand, s1 % 3 AS fold, ln(greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) / (1 - greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE))) AS lo FROM pairs),
+f AS (SELECT s1, cand, unnest([0, 1]) AS k, lo FROM l)
+SELECT l.s1, l.cand, round(CASE WHEN fold = 2 THEN lo + 0.5 ELSE lo + fold END, 5) AS logit FROM l""")
+def fold_routing(spark, d):
+    base = pairs(spark, d).select("s1", "cand", models.logit(F.col("p")).alias("lo"), F.when(F.col("s1") % 3 < 2, (F.col("s1") % 3).cast("int")).alias("fold"))
+    by_fold = base.select("s1", "cand", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), "lo").withColumn("logit", F.col("lo") + F.col("fold"))
+    return A.routed(base.select("s1", "cand", "fold"), by_fold.drop("lo")).select("s1", "cand", F.round("logit", 5).alias("logit"))
+
+
+@query("SELECT unnest(['repeated', 'missing', 'unknown', 'shared']) AS \"check\", 0::BIGINT AS n")
+def submission_invariants(spark, d):
+    return A.invariants(ids(spark, d).select("s1"), D.match_lists(ids(spark, d), predicted(spark, d)))
+
+
+@query()
+def orphan_reassign(spark, d):
+    """Greedy within each s1; tests compare with a plain loop."""
+    x = pairs(spark, d)
+    chosen = predicted(spark, d, 0.9)
+    mass = x.join(chosen.withColumn("ip", F.lit(1)), ["s1", "cand"], "left").groupBy("s1").agg(F.count("ip").alias("n_pred"), F.sum(F.when(F.col("ip") == 1, F.col("p")).otherwise(0.0)).alias("mass_pred"), F.sum("p").alias("mass_all"))
+    free = x.join(chosen.select("cand"), "cand", "left_anti").select("s1", "cand", F.col("p").alias("q"))
+    return A.orphan_reassign(mass, free, 0.01).withColumn("gain", F.round("gain", 6))
+
+
+@query()
+def holdout_greedy(spark, d):
+    groups = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("country"), F.col("c_nationkey").alias("grp")).agg(F.count("*").alias("n"))
+    return A.greedy_partition(groups, (0.2, 0.3, 0.5))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, CASE WHEN y = 1 THEN 'positive' WHEN p >= 0.3 THEN 'hard' ELSE 'easy' END AS st, md5('strata|' || s1 || '|' || cand) AS h FROM pairs),
+k AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, s1, cand) AS n FROM r) SELECT s1, cand, st FROM k WHERE n <= CASE st WHEN 'positive' THEN 500 WHEN 'hard' THEN 350 ELSE 150 END""")
+def stratified_sample(spark, d):
+    st = F.when(F.col("y") == 1, "positive").when(F.col("p") >= 0.3, "hard").otherwise("easy")
+    return models.stratified_sample(pairs(spark, d).withColumn("st", st), F.col("st"), {"positive": 500, "hard": 350, "easy": 150}).select("s1", "cand", "st")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
-from pairloom.operators import blocking, context, decision, evaluate, features, learn, models
+from pairloom.operators import audit, blocking, context, decision, evaluate, features, learn, models
 from pairloom.plans import catalog
 from pairloom.sources import io
 
@@ -211,3 +211,32 @@ def test_labels_and_nulls(spark):
     assert {r.cand: r.y for r in features.with_labels(pairs, true).collect()} == {2: 0, 3: 1}
     x = spark.createDataFrame([("", "a"), (None, None), ("a b", "b c")], "a string, b string")
     assert [r.j for r in x.select(S.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [0.0, None, pytest.approx(1 / 3)]
+
+
+def test_orphans_equal_a_plain_loop(spark):
+    owned = [(1, 0, 0.0, 1.4), (2, 2, 1.6, 2.0)]
+    rivals = [(1, 10, 0.9), (2, 10, 0.8), (1, 11, 0.5), (2, 12, 0.3), (2, 13, 0.05)]
+    got = {(r.s1, r.cand) for r in audit.orphan_reassign(spark.createDataFrame(owned, "s1 long, n_pred long, mass_pred double, mass_all double"), spark.createDataFrame(rivals, "s1 long, cand long, q double")).collect()}
+    want = set()
+    for s, n, mass, whole in owned:
+        for q, c in sorted(((q, c) for t, c, q in rivals if t == s and q == max(x for _, d, x in rivals if d == c)), reverse=True):
+            f = lambda n, m, whole=whole: 1.25 * m / (0.25 * whole + n) if n or whole else 0.0
+            if f(n + 1, mass + q) > f(n, mass):
+                want.add((s, c))
+                n, mass = n + 1, mass + q
+    assert got == want
+
+
+def test_greedy_partition_keeps_groups(spark):
+    rows = [("in", f"g{k}", n) for k, n in enumerate((1000, 8, 7, 4, 3))] + [("us", f"h{k}", n) for k, n in enumerate((500, 300, 200, 150, 90, 3))]
+    got = audit.greedy_partition(spark.createDataFrame(rows, "country string, grp string, n long"), (0.2, 0.3, 0.5)).collect()
+    assert sorted((r.country, r.grp, r.n) for r in got) == sorted(rows)
+    us = {p: sum(r.n for r in got if r.country == "us" and r.part == p) / 1243 for p in range(3)}
+    assert us[2] > us[1] > us[0] > 0.1
+
+
+def test_text_split_has_no_leak(spark):
+    rows = [(f"t{k % 60}", "b", int(k % 120 != 7), "train" if k % 3 else "extra") for k in range(200)]
+    got = audit.paired_text_sample(spark.createDataFrame(rows, "a string, b string, label int, origin string"), 20, 20).collect()
+    assert len({r.a for r in got}) == len(got) and "t7" not in {r.a for r in got}
+    assert all(r.origin == "train" for r in got if r.part in ("dev", "audit")) and {r.part for r in got} == {"dev", "audit", "train"}
