@@ -55,11 +55,11 @@ _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes, eight bytes at a time."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     view = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, strides=(1,))
-    h = (end - start).astype(np.uint64) * _A
+    h = (end - start).astype(np.uint64) * _A ^ np.uint64(seed)
     live, at, left = np.arange(len(start)), start.copy(), end - start
     while len(live):
         h[live] = common.mix64(h[live] ^ (view[at] & _MASK[np.minimum(left, 8)])) * _B
@@ -84,7 +84,7 @@ def word_hashes(col, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.nd
     first[inner] = solid[inner]  # a text begins a word, and the one before it ends
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return _hash_spans(data, start, end), np.searchsorted(start, off)
+    return hash_spans(data, start, end), np.searchsorted(start, off)
 
 
 def shingles(col, words: int) -> tuple[np.ndarray, np.ndarray]:

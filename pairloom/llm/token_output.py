@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import common
+from . import common, minhash
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
@@ -85,48 +85,64 @@ class _Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int32)
-        self.used = 0
-
-    def _learn(self, words: list) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-            ids, n = e.ids, len(self.slot)
-            if n == len(self.begin):
-                self.begin, self.size = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.size, self.size * 0])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.slot[w] = n
+        """Forget all words. They are kept by two hashes, ordered by the first, and not as strings: 36 bytes each."""
+        self.hash, self.proof = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16)
+
+    def _learn(self, words: list, hashes: np.ndarray, proofs: np.ndarray) -> None:
+        """Add new words, given with their hashes in ascending order."""
+        got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.array([len(g) for g in got], np.int32)
+        begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        ids = np.concatenate(got)
+        if ids.size and ids.max() > np.iinfo(self.flat.dtype).max:
+            self.flat = self.flat.astype(np.uint32)
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.proof, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.hash, hashes), (self.proof, proofs), (self.begin, begin), (self.size, size)))
+
+    def _slots(self, words) -> np.ndarray | None:
+        """Where the words of an Arrow array (all different) are kept; unknown ones are learned first. None if two share a hash."""
+        data, off = common.column_bytes(words)
+        h, proof = (minhash.hash_spans(data, off[:-1], off[1:], s) for s in (0, 0x5EED))
+        if len(self.hash) + len(words) > CACHE_WORDS:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        new = self.hash[at] != h if len(self.hash) else np.ones(len(h), bool)
+        if new.any():
+            own = np.flatnonzero(new)
+            own = own[np.argsort(h[own], kind="stable")]
+            self._learn(words.take(pa.array(own)).to_pylist(), h[own], proof[own])
+            at = np.searchsorted(self.hash, h)
+        return None if (self.proof[at] != proof).any() else at
+
+    def _plainly(self, col) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.tok.encode(t, add_special_tokens=False).ids for t in col.to_pylist()]
+        lens = np.array([len(e) for e in each], np.int64)
+        return np.concatenate([np.array(e, np.uint32) for e in each]), np.concatenate([[0], np.cumsum(lens)])
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow string array, and the n + 1 offsets of the texts into them."""
         data, off = common.column_bytes(col)
         raw = data.tobytes()
         if any(s in raw for s in self.special):  # such strings are tokens of their own in a raw text: no short cut
-            each = [self.tok.encode(t, add_special_tokens=False).ids for t in col.to_pylist()]
-            lens = np.array([len(e) for e in each], np.int64)
-            return np.concatenate([np.array(e, np.uint32) for e in each]), np.concatenate([[0], np.cumsum(lens)])
+            return self._plainly(col)
         cuts = _pieces(data, off)
         low = pa.py_buffer(_LOWER[data].tobytes())
         words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64).tobytes()), low)
         coded = words.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        if len(self.slot) + len(own) > CACHE_WORDS:
-            self.clear()
-        self._learn([w for w in own if w not in self.slot])
-        at = np.fromiter((self.slot[w] for w in own), np.int64, len(own))[coded.indices.to_numpy()]
+        slots = self._slots(coded.dictionary)
+        if slots is None:
+            return self._plainly(col)
+        at = slots[coded.indices.to_numpy()]
         lens, begin = self.size[at], self.begin[at]
         ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         shift = begin - (ends - lens)
         ids = self.flat[np.arange(total, dtype=np.int64) + np.repeat(shift, lens)]
         before = np.concatenate([[0], ends])
-        return ids, before[np.searchsorted(cuts, off)]
+        return ids.astype(np.uint32), before[np.searchsorted(cuts, off)]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -135,11 +151,9 @@ def _encoder(path: str) -> _Encoder:
     return _held[path]
 
 
-def _slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about max_bytes of text each, one row at least."""
-    ends = batch.column("text").offset
     _, off = common.column_bytes(batch.column("text"))
-    del ends
     start, n = 0, batch.num_rows
     while start < n:
         stop = max(start + 1, int(np.searchsorted(off, off[start] + max_bytes, side="right")) - 1)
