@@ -24,6 +24,32 @@ def context_features(pairs: DataFrame, p: str = "p") -> DataFrame:
     return df.withColumn("c_gap_s1", F.col("c_pmax_s1") - x).withColumn("c_margin_cand", F.when(F.col("c_rank_cand") == 1, x - second).otherwise(x - F.col("c_pmax_cand")))
 
 
+def top_agreement(pairs: DataFrame, attrs: DataFrame, similarity) -> DataFrame:
+    """pairs with each candidate's agreement with the best candidate of its s1: c_top_name, c_top_addr (null for the best
+    itself), c_top_house (-2 itself, -1 a house is missing, else 0 or 1). attrs: cand, name, addr, house."""
+    fields = ("name", "addr", "house")
+    best = pairs.withColumn("_r", F.row_number().over(_ranked("s1", "p"))).where("_r = 1").select("s1", F.col("cand").alias("_top"))
+    best = best.join(attrs.select(F.col("cand").alias("_top"), *[F.col(c).alias(f"_t_{c}") for c in fields]), "_top", "left")
+    own = attrs.select("cand", *[F.col(c).alias(f"_o_{c}") for c in fields])
+    df = pairs.join(best, "s1", "left").join(own, "cand", "left")
+    self, house = F.col("cand") == F.col("_top"), F.col("_o_house") == F.col("_t_house")
+    missing = (F.coalesce("_o_house", F.lit("")) == "") | (F.coalesce("_t_house", F.lit("")) == "")
+    return df.withColumns({
+        "c_top_name": F.when(~self, similarity(F.col("_o_name"), F.col("_t_name"))), "c_top_addr": F.when(~self, similarity(F.col("_o_addr"), F.col("_t_addr"))),
+        "c_top_house": F.when(self, -2).when(missing, -1).otherwise(house.cast("int")),
+    }).drop("_top", *[f"_{k}_{c}" for k in "to" for c in fields])
+
+
+def build_context(pairs: DataFrame, attrs: DataFrame, similarity, channels: DataFrame | None = None, least: float = 0.01) -> DataFrame:
+    """All context of the pairs with p of at least `least`: c_ and t_ columns, and the model scores of channels
+    (s1, cand, one column for each score), null where a channel lacks the pair. Repeated pairs raise an error."""
+    key = W.partitionBy("s1", "cand")
+    once = F.when(F.count("*").over(key) > 1, F.raise_error(F.lit("repeated pair"))).otherwise(F.lit(True))
+    kept = pairs.where(F.col("p") >= least).withColumn("_once", once).where("_once").drop("_once")
+    out = group_support(top_agreement(context_features(kept), attrs, similarity), attrs, similarity)
+    return out if channels is None else out.join(channels, ["s1", "cand"], "left")
+
+
 def score_context(pairs: DataFrame, score: str, prefix: str) -> DataFrame:
     """Rank, gap and margin of any score; null scores keep null features, and a candidate without a scored rival a null margin."""
     x, have = F.col(score), F.col(score).isNotNull()

@@ -62,6 +62,19 @@ def calibrate(model, df: DataFrame, score: str = "p", name: str = "q") -> DataFr
     return model.transform(df.withColumn("x", F.col(score).cast("double"))).withColumnRenamed("prediction", name).drop("x")
 
 
+def calibrate_by_group(train: DataFrame, df: DataFrame, group: str, score: str = "p", label: str = "y", least: int = 200, name: str = "q") -> DataFrame:
+    """df calibrated separately where the boolean `group` holds and where it does not, each part by its own fit if train has
+    `least` rows and both labels there, else by the fit on all of train. Null counts as not holding."""
+    flag = F.coalesce(F.col(group), F.lit(False))
+    counts = {r["g"]: r for r in train.groupBy(flag.alias("g")).agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).collect()}
+    whole, out = fit_isotonic(train, score, label), None
+    for g in (False, True):
+        own = g in counts and counts[g]["n"] >= least and counts[g]["k"] == 2
+        part = calibrate(fit_isotonic(train.where(flag == g), score, label) if own else whole, df.where(flag == g), score, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def logit(p: Column, eps: float = 1e-6) -> Column:
     c = F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
     return F.ln(c / (1 - c))

@@ -16,11 +16,12 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import audit as A
 from ..operators import blocking as B
+from ..operators import candidates
 from ..operators import context as C
 from ..operators import decision as D
 from ..operators import evaluate as E
 from ..operators import features as X
-from ..operators import learn, models
+from ..operators import learn, models, rules
 from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -629,3 +630,49 @@ k AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, s1, cand) AS n FR
 def stratified_sample(spark, d):
     st = F.when(F.col("y") == 1, "positive").when(F.col("p") >= 0.3, "hard").otherwise("easy")
     return models.stratified_sample(pairs(spark, d).withColumn("st", st), F.col("st"), {"positive": 500, "hard": 350, "easy": 150}).select("s1", "cand", "st")
+
+
+@query(f"""WITH {PAIRS}, {ATTRS}, r AS (SELECT s1, cand FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, s1, cand) AS rk FROM pairs) WHERE rk = 1)
+SELECT m.s1, m.cand, CASE WHEN r.cand <> m.cand THEN round({JACC.format(a="x.name", b="z.name")}, 6) END AS c_top_name, CASE WHEN r.cand <> m.cand THEN round({JACC.format(a="x.addr", b="z.addr")}, 6) END AS c_top_addr,
+CASE WHEN r.cand = m.cand THEN -2 WHEN x.house = z.house THEN 1 ELSE 0 END AS c_top_house FROM pairs m JOIN r ON r.s1 = m.s1 JOIN attrs x ON x.cand = m.cand JOIN attrs z ON z.cand = r.cand""")
+def top_agreement(spark, d):
+    got = C.top_agreement(pairs(spark, d), attrs(spark, d).drop("src"), S.jaccard)
+    return got.select("s1", "cand", F.round("c_top_name", 6).alias("c_top_name"), F.round("c_top_addr", 6).alias("c_top_addr"), "c_top_house")
+
+
+@query()
+def context_composed(spark, d):
+    """All context columns at once; its parts have their own counterparts."""
+    channel = pairs(spark, d).where("(s1 + cand) % 3 > 0").select("s1", "cand", (1 - F.col("p")).alias("model"))
+    return C.build_context(pairs(spark, d), attrs(spark, d).drop("src"), S.jaccard, channel)
+
+
+def _places(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Customers or suppliers as records: nations are states of their regions; every third supplier lacks its state, every sixth its city too."""
+    k = name[0]
+    nation = table(spark, d, "nation").selectExpr("n_nationkey AS nk", "lower(n_name) AS state", "n_regionkey AS country")
+    rows = table(spark, d, name).select(F.col(f"{k}_{'cust' if k == 'c' else 'supp'}key").alias("id"), F.col(f"{k}_name").alias("name_core"), F.col(f"{k}_nationkey").alias("nk"), F.round(f"{k}_acctbal").cast("string").alias("house")).join(nation, "nk")
+    rows = rows.withColumns({"city": F.concat(F.lit("city"), "nk"), "addr_clean": F.concat_ws(" ", "house", "state"), "street": F.lit("")})
+    if k == "s":
+        rows = rows.withColumn("city", F.when(F.col("id") % 6 == 0, "").otherwise(F.col("city"))).withColumn("state", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("state")))
+    return rows.drop("nk")
+
+
+@query()
+def build_candidates(spark, d):
+    """All legs over all countries; tests compare with brute force."""
+    return candidates.build_candidates(_places(spark, d, "customer"), _places(spark, d, "supplier"))
+
+
+@query()
+def rule_tuned(spark, d):
+    """What the best of four rules chooses."""
+    x = pairs(spark, d).cache()
+    fold = ids(spark, d).select("s1", models.group_fold(F.col("grp")).alias("fold"))
+    return rules.apply(rules.tune(x, ids(spark, d), truth(spark, d), fold, rounds=4, depth=3), x)
+
+
+@query()
+def grouped_calibration(spark, d):
+    x = pairs(spark, d).withColumn("blank", F.col("cand") % 5 == 0)
+    return models.calibrate_by_group(x.where("s1 % 2 = 0"), x, "blank").select("s1", "cand", "blank", F.round("q", 6).alias("q"))

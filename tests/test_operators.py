@@ -1,6 +1,7 @@
 """Linkage operators: the catalogue against DuckDB, and what SQL cannot express against brute force."""
 
 import itertools
+import math
 import os
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
-from pairloom.operators import audit, blocking, context, decision, evaluate, features, learn, models
+from pairloom.operators import audit, blocking, candidates, context, decision, evaluate, features, learn, models, rules
 from pairloom.plans import catalog
 from pairloom.sources import io
 
@@ -240,3 +241,90 @@ def test_text_split_has_no_leak(spark):
     got = audit.paired_text_sample(spark.createDataFrame(rows, "a string, b string, label int, origin string"), 20, 20).collect()
     assert len({r.a for r in got}) == len(got) and "t7" not in {r.a for r in got}
     assert all(r.origin == "train" for r in got if r.part in ("dev", "audit")) and {r.part for r in got} == {"dev", "audit", "train"}
+
+
+def _brute_leg(s1, pool, view, match, side, k):
+    """{(q, c): (sim, rk)} of one leg by plain loops; records are dicts."""
+    grams = lambda r: [f" {w} "[i : i + 3] for w in " ".join(r[c] for c in blocking.VIEWS[view].columns).lower().split() for i in range(len(w))]
+
+    def vector(r):
+        mine = [x for x in pool if x["country"] == r["country"]]
+        df = {g: sum(g in grams(x) for x in mine) for g in set(grams(r))}
+        most = blocking.VIEWS[view].max_df * len(mine)
+        v = {g: (1 + math.log(grams(r).count(g))) * (math.log((1 + len(mine)) / (1 + n)) + 1) for g, n in df.items() if blocking.VIEWS[view].min_df <= n <= most}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    q, c = {r["id"]: vector(r) for r in s1}, {r["id"]: vector(r) for r in pool}
+    sims = {(a["id"], b["id"]): round(sum(w * c[b["id"]].get(g, 0) for g, w in q[a["id"]].items()), 6) for a in s1 for b in pool if match(a, b)}
+    out, at = {}, 0 if side == "q" else 1
+    for one in {p[at] for p in sims}:
+        best = sorted((p for p, v in sims.items() if p[at] == one and v >= blocking.MIN_SIM), key=lambda p: (-sims[p], p))[:k]
+        out |= {p: (sims[p], i + 1) for i, p in enumerate(best)}
+    return out
+
+
+def test_candidates_equal_brute_force(spark, monkeypatch):
+    for name, view in list(blocking.VIEWS.items()):
+        monkeypatch.setitem(blocking.VIEWS, name, blocking.View(view.columns, 1, 1.0))
+    for name in blocking.FORWARD_K:
+        monkeypatch.setitem(blocking.FORWARD_K, name, 2)
+    rnd, words = random.Random(5), ["blue", "river", "stone", "oak", "mill", "lake"]
+    cols = ("id", "country", "state", "city", "name_core", "addr_clean", "house", "street")
+
+    def record(i, known):
+        country, name = rnd.choice(["us", "in"]), " ".join(rnd.sample(words, 2))
+        state = rnd.choice(["tg", "ap"] if country == "in" else ["dc", "ny"])
+        return dict(zip(cols, (i, country, state if known else "", f"town of {state}" if known or i % 2 else "", name, f"{i % 7} {rnd.choice(words)} st", str(i % 7), rnd.choice(words))))
+
+    s1, pool = [record(i, True) for i in range(16)], [record(i, i % 3 > 0) for i in range(24)]
+    group = lambda s: {"tg": "ap", "dc": "wa"}.get(s, s)
+    votes = {}
+    for r in s1 + pool:
+        if r["state"] and r["city"]:
+            votes.setdefault((r["country"], r["city"]), []).append(group(r["state"]))
+    for r in pool:
+        v = votes.get((r["country"], r["city"]), [])
+        r["key"] = group(r["state"]) if r["state"] else v[0] if len(v) >= 3 else "?"
+    same = lambda a, b: a["country"] == b["country"] and group(a["state"]) == b["key"]
+    want = {f"f_{v}": _brute_leg(s1, pool, v, same, "q", 2) for v in blocking.VIEWS}
+    want["r_name_addr"] = _brute_leg(s1, pool, "name_addr", same, "c", 3)
+    want["o_name"] = _brute_leg(s1, pool, "name", lambda a, b: a["country"] == b["country"] and b["key"] == "?", "c", 5)
+    assert want["o_name"] and want["r_name_addr"]
+    frame = lambda rows: spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in cols))
+    asked = {r["id"] for r in s1[:10]}
+    got = candidates.build_candidates(frame(s1), frame(pool), spark.createDataFrame([(i,) for i in asked], "s1 long")).collect()
+    for leg, pairs in want.items():
+        assert {(r.s1, r.cand): r[f"rk_{leg}"] for r in got if r[f"rk_{leg}"]} == {p: rk for p, (_, rk) in pairs.items() if p[0] in asked}, leg
+        assert all(abs(r[f"sim_{leg}"] - pairs[r.s1, r.cand][0]) < 2e-6 for r in got if r[f"rk_{leg}"])
+
+
+def test_tuned_rule_survives_saving(spark, data, tmp_path):
+    pairs = catalog.pairs(spark, data).where("s1 % 4 = 0").cache()
+    ids, truth = pairs.select("s1").distinct(), pairs.where("y = 1").select("s1", "cand")
+    fold = ids.select("s1", models.group_fold(F.col("s1")).alias("fold"))
+    rule = rules.tune(pairs, ids, truth, fold, rounds=2, depth=2)
+    assert rule.values[rule.name] == max(rule.values.values()) and len(rule.values) == 4
+    sweep = {t: evaluate.macro_f05(ids, decision.select_threshold(decision.one_to_one(pairs), t), truth).first()["macro_f05"] for t in (0.3, 0.5, 0.7)}
+    assert rule.values["threshold"] >= max(sweep.values())
+    rule.save(spark, f"file://{tmp_path}/rule")
+    again = rules.Rule.load(spark, f"file://{tmp_path}/rule")
+    for name in rule.values:
+        rule.name = again.name = name
+        a, b = (sorted(map(tuple, rules.apply(r, pairs).collect())) for r in (rule, again))
+        assert a == b and len({c for _, c in a}) == len(a)
+
+
+def test_repeated_pairs_are_refused(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.6)], "s1 int, cand int, p double")
+    attrs = spark.createDataFrame([(2, "a", "b", "1")], "cand int, name string, addr string, house string")
+    with pytest.raises(Exception, match="repeated pair"):
+        context.build_context(pairs, attrs, S.jaccard).collect()
+
+
+def test_grouped_calibration_needs_enough_rows(spark):
+    rows = [(float(i % 10) / 10, int(i % 10 > 4), i < 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "p double, y int, blank boolean")
+    nulls = spark.createDataFrame([(0.5, 1, None)], "p double, y int, blank boolean")
+    got = models.calibrate_by_group(df, df.unionByName(nulls), "blank")
+    assert got.count() == 401 and got.where("q is null").count() == 0
