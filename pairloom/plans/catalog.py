@@ -648,20 +648,47 @@ def context_composed(spark, d):
 
 
 def _places(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Customers or suppliers as records: nations are states of their regions; every third supplier lacks its state, every sixth its city too."""
+    """Suppliers or customers as records: nations are states of their regions; every third customer lacks its state, every sixth its city too."""
     k = name[0]
     nation = table(spark, d, "nation").selectExpr("n_nationkey AS nk", "lower(n_name) AS state", "n_regionkey AS country")
-    rows = table(spark, d, name).select(F.col(f"{k}_{'cust' if k == 'c' else 'supp'}key").alias("id"), F.col(f"{k}_name").alias("name_core"), F.col(f"{k}_nationkey").alias("nk"), F.round(f"{k}_acctbal").cast("string").alias("house")).join(nation, "nk")
+    rows = table(spark, d, name).select(F.col(f"{k}_{'cust' if k == 'c' else 'supp'}key").alias("id"), F.col(f"{k}_name").alias("name_core"), F.col(f"{k}_nationkey").alias("nk"), F.round(f"{k}_acctbal").cast("long").cast("string").alias("house")).join(nation, "nk")
     rows = rows.withColumns({"city": F.concat(F.lit("city"), "nk"), "addr_clean": F.concat_ws(" ", "house", "state"), "street": F.lit("")})
-    if k == "s":
+    if k == "c":
         rows = rows.withColumn("city", F.when(F.col("id") % 6 == 0, "").otherwise(F.col("city"))).withColumn("state", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("state")))
     return rows.drop("nk")
 
 
-@query()
+def _view_sql(view: str, text: str, max_df: float) -> str:
+    """CTEs <view>_s (q, c, sim within country and state) and <view>_o (with rows of unknown state)."""
+    v = view
+    return f"""{v}_q AS (SELECT id, country || '|' || state AS part, {text} AS text FROM s), {v}_c AS (SELECT id, country || '|' || key AS part, {text} AS text FROM pk),
+{grams_sql(v + "_q", v + "_qt")}, {grams_sql(v + "_c", v + "_ct")}, {v}_n AS (SELECT split_part(part, '|', 1) AS country, count(*) AS n FROM {v}_c GROUP BY 1),
+{v}_df AS (SELECT split_part(part, '|', 1) AS country, gram, count(*) AS df FROM {v}_ct GROUP BY ALL),
+{v}_idf AS (SELECT country, gram, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM {v}_df JOIN {v}_n USING (country) WHERE df >= 2 AND df <= {max_df}::DOUBLE * n),
+{v}_qr AS (SELECT id, part, country, gram, (1 + ln(tf)) * idf AS w FROM {v}_qt t JOIN {v}_idf i USING (gram) WHERE i.country = split_part(t.part, '|', 1)),
+{v}_cr AS (SELECT id, part, country, gram, (1 + ln(tf)) * idf AS w FROM {v}_ct t JOIN {v}_idf i USING (gram) WHERE i.country = split_part(t.part, '|', 1)),
+{v}_qw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM {v}_qr), {v}_cw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM {v}_cr),
+{v}_s AS (SELECT a.id AS q, b.id AS c, round(sum(a.u * b.u), 6) AS sim FROM {v}_qw a JOIN {v}_cw b ON a.part = b.part AND a.gram = b.gram GROUP BY ALL HAVING sim >= 0.05),
+{v}_o AS (SELECT a.id AS q, b.id AS c, round(sum(a.u * b.u), 6) AS sim FROM {v}_qw a JOIN {v}_cw b ON a.country = b.country AND a.gram = b.gram AND b.part LIKE '%|?' GROUP BY ALL HAVING sim >= 0.05)"""
+
+
+def _rank_sql(leg: str, source: str, side: str, k: int) -> str:
+    return f"SELECT q AS s1, c AS cand, sim AS sim_{leg}, rk AS rk_{leg} FROM (SELECT *, row_number() OVER (PARTITION BY {side} ORDER BY sim DESC, q, c) AS rk FROM {source}) WHERE rk <= {k}"
+
+
+_LEGS = {"f_name": ("name_s", "q", 10), "f_addr": ("addr_s", "q", 15), "f_name_addr": ("name_addr_s", "q", 20), "r_name_addr": ("name_addr_s", "c", 3), "o_name": ("name_o", "c", 5)}
+
+
+@query(f"""WITH nat AS (SELECT n_nationkey AS nk, lower(n_name) AS state, CAST(n_regionkey AS VARCHAR) AS country FROM nation),
+s AS (SELECT s_suppkey AS id, s_name AS name, CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR) AS house, state, country, 'city' || nk AS city, state AS addr FROM supplier JOIN nat ON nk = s_nationkey),
+p AS (SELECT c_custkey AS id, c_name AS name, CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR) AS house, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE state END AS state, country, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'city' || nk END AS city, state AS addr FROM customer JOIN nat ON nk = c_nationkey),
+votes AS (SELECT country, city, any_value(state) AS guess FROM (SELECT country, city, state FROM s UNION ALL SELECT country, city, state FROM p) WHERE city <> '' AND state <> '' GROUP BY ALL HAVING count(*) >= 3),
+pk AS (SELECT p.*, CASE WHEN state <> '' THEN state ELSE coalesce(guess, '?') END AS key FROM p LEFT JOIN votes ON votes.country = p.country AND votes.city = p.city),
+{_view_sql("name", "name", 0.05)}, {_view_sql("addr", "house || ' ' || addr", 0.01)}, {_view_sql("name_addr", "name || ' ' || house || ' ' || city", 0.01)}
+SELECT s1, cand, {", ".join(f"max({c}_{leg}) AS {c}_{leg}" for leg in _LEGS for c in ("sim", "rk"))} FROM ({" UNION ALL BY NAME ".join("(" + _rank_sql(leg, *o) + ")" for leg, o in _LEGS.items())}) GROUP BY s1, cand""")
 def build_candidates(spark, d):
-    """All legs over all countries; tests compare with brute force."""
-    return candidates.build_candidates(_places(spark, d, "customer"), _places(spark, d, "supplier"))
+    """All legs over all countries; a city has one state here, so that one vote decides."""
+    return _long(candidates.build_candidates(_places(spark, d, "supplier"), _places(spark, d, "customer")), *[f"rk_{leg}" for leg in _LEGS])
 
 
 @query()
