@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,3 +83,43 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], kind: str =
         if not df.groupBy(*on).count().where("count > 1").isEmpty():
             raise ValueError(f"the {side} side has repeated keys")
     return left.join(right, on, how)
+
+
+def scan_zip_tsv(spark: SparkSession, path: str, member: str, columns: tuple[str, ...] = RECORD, batch: int = 10_000) -> DataFrame:
+    """The TSV member of each zip archive at path, tab-separated without quoting, its first line a header; missing fields are
+    null. An archive is one task, read in batches of lines; repartition the result where archives are few and large."""
+
+    def lines(tables):
+        for t in tables:
+            for content in t.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open(member) as f:
+                    text = io.TextIOWrapper(f, "utf-8", newline="\n")
+                    header = next(text, "").rstrip("\r\n").split("\t")
+                    at = [header.index(c) if c in header else None for c in columns]
+                    while rows := [line.rstrip("\r\n").split("\t") for line in itertools.islice(text, batch)]:
+                        yield pa.RecordBatch.from_pydict({c: pa.array([r[k] if k is not None and k < len(r) else None for r in rows], pa.string()) for c, k in zip(columns, at)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, strings(*columns))
+
+
+def truth_sets(long: DataFrame) -> DataFrame:
+    """s1, matches: the sorted set of matches of each s1 of a long ground truth, empty for singletons."""
+    return long.groupBy("s1").agg(F.array_sort(F.collect_set("match")).alias("matches"))
+
+
+def restricted(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is among the only column of ids; a semi join, so repeated and null ids do no harm."""
+    return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
+
+
+def split_by_ids(pairs: DataFrame, subsets: dict[str, DataFrame], column: str = "s1") -> dict[str, DataFrame]:
+    """pairs restricted to each subset of ids."""
+    return {name: restricted(pairs, ids, column) for name, ids in subsets.items()}
+
+
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, built and written first unless an earlier run finished writing it (its commit marker is there)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

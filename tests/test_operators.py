@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import zipfile
 
 import duckdb
 import pytest
@@ -328,3 +329,27 @@ def test_grouped_calibration_needs_enough_rows(spark):
     nulls = spark.createDataFrame([(0.5, 1, None)], "p double, y int, blank boolean")
     got = models.calibrate_by_group(df, df.unionByName(nulls), "blank")
     assert got.count() == 401 and got.where("q is null").count() == 0
+
+
+def test_zip_scan(spark, tmp_path):
+    rows = [f"e{i}\tname \"{i}\tstreet {i}\tus" for i in range(25)] + ["e25\tshort"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/s1.tsv", "\n".join(["entity_id\tbusiness_name\tbusiness_address\tcountry", *rows]) + "\n")
+        z.writestr("in/none.tsv", "")
+    got = {r[0]: tuple(r[1:]) for r in io.scan_zip_tsv(spark, str(tmp_path / "a.zip"), "in/s1.tsv", batch=10).collect()}
+    assert len(got) == 26 and got["e7"] == ('name "7', "street 7", "us") and got["e25"] == ("short", None, None)
+    assert io.scan_zip_tsv(spark, str(tmp_path / "a.zip"), "in/none.tsv").count() == 0
+
+
+def test_sets_and_splits(spark):
+    long = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", None)], "s1 string, match string")
+    assert {r[0]: r[1] for r in io.truth_sets(long).collect()} == {"a": ["x", "y"], "b": []}
+    pairs = spark.createDataFrame([(1, "p"), (2, "q"), (2, "q"), (None, "r")], "s1 int, cand string")
+    ids = spark.createDataFrame([(2,), (2,), (None,)], "id int")
+    assert [tuple(r) for r in io.split_by_ids(pairs, {"val": ids})["val"].collect()] == [(2, "q")] * 2
+
+
+def test_stage_is_built_once(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/t", []
+    build = lambda: calls.append(1) or spark.range(3)
+    assert io.stage(spark, path, build).count() == io.stage(spark, path, build).count() == 3 and len(calls) == 1
