@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.io import written
 from .evaluate import f05
 
 
@@ -108,27 +109,36 @@ def paired_text_sample(rows: DataFrame, dev: int = 2, audit: int = 2) -> DataFra
 def orphan_reassign(owned: DataFrame, rivals: DataFrame, margin: float = 0.0) -> DataFrame:
     """Unused candidates to the rival whose expected F0.5 gains most, if by more than margin: s1, cand, gain.
 
-    owned: s1, n_pred, mass_pred (sum of chosen q), mass_all (sum of all q). rivals: s1, cand, q. Of each s1 the
-    candidates are tried by descending q, each against what it has taken so far; a candidate goes to its best
-    taker. The greedy order lies within an s1, so groups are independent and small.
-    """
-
-    def take(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (-r["q"], str(r["cand"])))
-        out, n, mass = [], None, None
-        for r in rows:
-            n, mass = (r["n_pred"], r["mass_pred"]) if n is None else (n, mass)
-            before = 1.25 * mass / (0.25 * r["mass_all"] + n) if n or r["mass_all"] else 0.0
-            after = 1.25 * (mass + r["q"]) / (0.25 * r["mass_all"] + n + 1)
-            if after - before > margin:
-                out.append((r["s1"], r["cand"], after - before))
-                n, mass = n + 1, mass + r["q"]
-        kinds = [t.schema.field("s1").type, t.schema.field("cand").type, pa.float64()]
-        return pa.table([pa.array([o[k] for o in out], kinds[k]) for k in range(3)], names=["s1", "cand", "gain"])
+    owned: s1, n_pred, mass_pred (sum of chosen q), mass_all (sum of all q). rivals: s1, cand, q. Candidates are
+    tried by descending q of their best rival, then cand; each compares the gains of all its rivals against what
+    those have taken so far, and equal gains go to the smaller s1.
 
+    That sequence runs in rounds over written tables: a candidate is decided once it comes first among the
+    undecided ones of every rival it has, so nothing undecided can change its gains. A gain above 0 only falls as
+    its s1 takes more, so with margin >= 0 a rival that falls to margin or below is dropped for good.
+    """
+    size = 0.25 * F.col("mass_all") + F.col("n_pred")
+    before = F.when(size > 0, 1.25 * F.col("mass_pred") / size).otherwise(0.0)
+    gain = 1.25 * (F.col("mass_pred") + F.col("q")) / (size + 1) - before
     kinds = dict(rivals.dtypes)
-    best = rivals.withColumn("r", F.row_number().over(W.partitionBy("cand").orderBy(F.desc("q"), "s1"))).where("r = 1").drop("r")
-    return best.join(owned, "s1").groupBy("s1").applyInArrow(take, f"s1 {kinds['s1']}, cand {kinds['cand']}, gain double")
+    edges = rivals.where("cand is not null").join(owned.select("s1", "n_pred", "mass_pred", "mass_all"), "s1").withColumn("top", F.max("q").over(W.partitionBy("cand")))
+    live = lambda df: df.withColumn("gain", gain).where(F.col("gain") > margin) if margin >= 0 else df.withColumn("gain", gain)
+    edges, taken = written(live(edges), "rivals"), None
+    while not edges.isEmpty():
+        place = F.struct((-F.col("top")).alias("t"), "cand")
+        first = edges.withColumn("first", F.min(place).over(W.partitionBy("s1")) == place)
+        ready = first.groupBy("cand").agg(F.min("first").alias("ready"), F.min(F.struct((-F.col("gain")).alias("g"), "s1", "q")).alias("best")).where("ready")
+        # an s1 has one first candidate, so it takes one of a round at most
+        ready = written(ready.select("cand", "best.s1", "best.q", (-F.col("best.g")).alias("gain")), "decided")
+        new = ready.where(F.col("gain") > margin)
+        taken = new if taken is None else taken.unionByName(new)
+        more = new.select("s1", F.col("q").alias("more"))
+        left = edges.join(ready.select("cand"), "cand", "left_anti").join(more, "s1", "left")
+        left = left.withColumns({"n_pred": F.col("n_pred") + F.col("more").isNotNull().cast("int"), "mass_pred": F.col("mass_pred") + F.coalesce("more", F.lit(0.0))})
+        edges = written(live(left.drop("more", "gain")), "rivals")
+    if taken is None:
+        taken = edges
+    return taken.select(F.col("s1").cast(kinds["s1"]).alias("s1"), F.col("cand").cast(kinds["cand"]).alias("cand"), F.col("gain").cast("double").alias("gain"))
 
 
 def greedy_partition(groups: DataFrame, shares: Sequence[float]) -> DataFrame:

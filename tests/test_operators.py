@@ -229,6 +229,31 @@ def test_orphans_equal_a_plain_loop(spark):
     assert got == want
 
 
+def _orphans(spark, owned, rivals, margin=0.0):
+    got = audit.orphan_reassign(spark.createDataFrame(owned, "s1 long, n_pred long, mass_pred double, mass_all double"), spark.createDataFrame(rivals, "s1 long, cand long, q double"), margin)
+    return {(r.s1, r.cand): r.gain for r in got.collect()}
+
+
+def test_orphans_go_to_the_largest_gain(spark):
+    """The rival of the highest q would lose, another one gains."""
+    assert _orphans(spark, [(2, 2, 1.6, 2.0), (1, 0, 0.0, 0.5)], [(2, 10, 0.6), (1, 10, 0.5)]) == {(1, 10): pytest.approx(1.25 * 0.5 / 1.125)}
+    rng = random.Random(5)
+    owned = [(s, n := rng.randrange(3), round(0.7 * n, 2), round(0.7 * n + rng.random() * 2, 2)) for s in range(12)]
+    rivals = [(s, c, round(rng.random(), 2)) for c in range(40) for s in rng.sample(range(12), 3)]
+    for margin in (0.0, 0.05):
+        held, want = {s: [n, m, a] for s, n, m, a in owned}, {}
+        groups = {c: [(s, q) for s, d, q in rivals if d == c] for c in range(40)}
+        for c, alternatives in sorted(groups.items(), key=lambda x: (-max(q for _, q in x[1]), x[0])):
+            f = lambda n, m, a: 1.25 * m / (0.25 * a + n) if n or a else 0.0
+            gains = [(f(n + 1, m + q, a) - f(n, m, a), -s, q) for s, q in alternatives for n, m, a in [held[s]]]
+            gain, s, q = max(gains)
+            if gain > margin:
+                want[-s, c] = pytest.approx(gain)
+                held[-s][0] += 1
+                held[-s][1] += q
+        assert _orphans(spark, owned, rivals, margin) == want and want
+
+
 def test_greedy_partition_keeps_groups(spark):
     rows = [("in", f"g{k}", n) for k, n in enumerate((1000, 8, 7, 4, 3))] + [("us", f"h{k}", n) for k, n in enumerate((500, 300, 200, 150, 90, 3))]
     got = audit.greedy_partition(spark.createDataFrame(rows, "country string, grp string, n long"), (0.2, 0.3, 0.5)).collect()
