@@ -4,9 +4,11 @@ Method. Words become templates: numbers, names (capitalised words inside a sente
 number) turn into typed placeholders. Windows of WINDOW template words of every document are
 hash-joined with those of the benchmark; windows without placeholders match literally. Literal
 windows (lower case, no placeholders) are joined as well, so a change of case hides nothing. A
-window with placeholders counts only if MIN_LITERALS of its words are literal, and if on its
+window with placeholders, MIN_LITERALS of whose words are literal, counts if on its
 diagonal (document position less item position) each slot value of the item stands for one value of
 the document and the reverse: a re-parameterised question keeps its numbers' and names' roles.
+Windows of fewer literal words are decided by the run of consecutive windows that they stand in: it
+counts if it has MIN_LITERALS literal words as a whole and its slot values stand for each other in the same way.
 
 A (document, item) pair is contaminated if MIN_WINDOWS consecutive windows of the item (ten words), or all of
 them if it has fewer, stand consecutively in the document. Such a run has a window at a multiple
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -58,7 +61,8 @@ def _slotted(template: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """All windows of rows (key, text): key, n (literal windows of the text), pos (from 0), h, slots (null: a literal window)."""
+    """All windows of rows (key, text): key, n (literal windows of the text), pos (from 0), h, slots (null: a literal window),
+    n_lit (literal words) and lead (the first word is literal)."""
     t = rows.select(key, _plain(F.col("text")).alias("plain")).withColumn("tpl", _template(F.col("plain")))
     w = t.select(key, _words(F.col("plain")).alias("lit"), F.when(_slotted(F.col("tpl")), _words(F.col("tpl"))).alias("tpl"))
     w = w.withColumn("n", F.greatest(F.size("lit") - WINDOW + 1, F.lit(1)))
@@ -71,10 +75,10 @@ def windows(rows: DataFrame, key: str) -> DataFrame:
         pairs = F.filter(F.zip_with(kinds, lits, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda s: s["k"].isin(NUMBER, NAME, UNIT))
         return F.struct((i - 1).alias("pos"), kinds.alias("w"), pairs.alias("slots"))
 
-    held = F.filter(F.transform(at, template), lambda s: F.size(s["slots"]).between(1, F.size(s["w"]) - MIN_LITERALS))
+    held = F.filter(F.transform(at, template), lambda s: F.size(s["slots"]) > 0)
     both = F.when(F.size("lit") == 0, None).when(F.col("tpl").isNull(), literal).otherwise(F.concat(literal, held))
     x = w.select(key, "n", F.explode(both).alias("x"))
-    return x.select(key, "n", "x.pos", _hash([F.get("x.w", F.lit(j)) for j in range(WINDOW)]).alias("h"), "x.slots")
+    return x.select(key, "n", "x.pos", _hash([F.get("x.w", F.lit(j)) for j in range(WINDOW)]).alias("h"), "x.slots", (F.size("x.w") - F.coalesce(F.size("x.slots"), F.lit(0))).alias("n_lit"), (~F.get("x.w", F.lit(0)).isin(NUMBER, NAME, UNIT)).alias("lead"))
 
 
 def _hash(words: list[Column]) -> Column:
@@ -96,29 +100,43 @@ def _candidates(docs: DataFrame, index: DataFrame, stride: int) -> DataFrame:
     return spots.join(index, "h", "left_semi").select("doc_id").distinct()
 
 
+def _sound(hits: DataFrame, by: list[str]) -> DataFrame:
+    """The groups of hits with placeholders in which each slot value of the item stands for one of the document and the reverse."""
+    pair = hits.select(*by, F.explode(F.arrays_zip("si", "sd")).alias("z")).select(*by, F.col("z.si.k").alias("k"), F.col("z.si.v").alias("vi"), F.col("z.sd.v").alias("vd")).distinct()
+    return pair.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("k", "vi").alias("ni"), F.count_distinct("k", "vd").alias("nd")).where("n = ni and n = nd").select(*by)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs: doc_id, item_id, n_windows (of the item, found in the document), n_literal, coverage (share of the item's windows)."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     index = common.written(windows(benchmark.where("item_id is not null").select("item_id", "text"), "item_id"), "bench")
     size = index.agg(F.count("*").alias("n"), F.coalesce(F.min("n"), F.lit(1)).alias("least")).first()
     keys = index.select("h").distinct()
-    index = index.select("item_id", "h", F.col("pos").alias("pi"), F.col("slots").alias("si"), F.col("n").alias("n_item"))
+    index = index.select("item_id", "h", F.col("pos").alias("pi"), F.col("slots").alias("si"), F.col("n").alias("n_item"), "n_lit", "lead")
     if size["n"] <= BROADCAST_WINDOWS:
         keys, index = F.broadcast(keys), F.broadcast(index)
     some = common.written(_candidates(docs, keys, min(MIN_WINDOWS, size["least"])), "suspects")
     found = windows(docs.join(some, "doc_id", "left_semi"), "doc_id").select("doc_id", "h", F.col("pos").alias("pd"), F.col("slots").alias("sd")).join(index, "h")
-    found = found.where(F.col("sd").isNull() == F.col("si").isNull()).select("doc_id", "item_id", "n_item", "pi", (F.col("pd") - F.col("pi")).alias("diagonal"), F.col("sd").isNull().alias("literal"), "si", "sd")
+    found = found.where(F.col("sd").isNull() == F.col("si").isNull()).select("doc_id", "item_id", "n_item", "pi", (F.col("pd") - F.col("pi")).alias("diagonal"), F.col("sd").isNull().alias("literal"), "n_lit", "lead", "si", "sd")
     hits = common.written(found.distinct(), "hits")
     line = ["doc_id", "item_id", "diagonal"]
-    slotted = hits.where("not literal")
-    pair = slotted.select(*line, F.explode(F.arrays_zip("si", "sd")).alias("z")).select(*line, F.col("z.si.k").alias("k"), F.col("z.si.v").alias("vi"), F.col("z.sd.v").alias("vd")).distinct()
-    sound = pair.groupBy(*line).agg(F.count("*").alias("n"), F.count_distinct("k", "vi").alias("ni"), F.count_distinct("k", "vd").alias("nd")).where("n = ni and n = nd")
-    kept = hits.where("literal").unionByName(slotted.join(sound, line, "left_semi")).select(*line, "n_item", "pi", "literal")
-    # a diagonal holds at most the item's windows
-    lines = kept.groupBy(*line, "n_item").agg(F.sort_array(F.collect_set("pi")).alias("all"), F.collect_set(F.when(F.col("literal"), F.col("pi"))).alias("plain"))
+    dense = ~F.col("literal") & (F.col("n_lit") < MIN_LITERALS)
+    slotted = hits.where(~F.col("literal") & ~dense)
+    kept = hits.where("literal").unionByName(slotted.join(_sound(slotted, line), line, "left_semi")).select(*line, "n_item", "pi", "literal", F.lit(False).alias("proven"))
+    # runs with dense windows are decided as a whole: their words are the first ones of their windows and the rest of the last window
     need = F.least(F.lit(MIN_WINDOWS), F.col("n_item"))
+    runs = hits.withColumn("first", F.col("pi") - F.dense_rank().over(W.partitionBy(*line).orderBy("pi")))
+    own = [*line, "first"]
+    spots = runs.groupBy(*own, "n_item", "pi").agg(F.max(F.col("lead").cast("int")).alias("lead"), F.max("n_lit").alias("n_lit"), F.max(dense).alias("dense"))
+    whole = spots.groupBy(*own, "n_item").agg(F.count("*").alias("n"), (F.sum("lead") + F.max_by(F.col("n_lit") - F.col("lead"), "pi")).alias("n_lit"), F.max("dense").alias("dense"))
+    good = whole.where(F.col("dense") & (F.col("n") >= need) & (F.col("n_lit") >= MIN_LITERALS)).select(*own)
+    runs = runs.join(good, own, "left_semi")
+    runs = runs.join(_sound(runs.where("not literal"), own), own, "left_semi")
+    kept = kept.unionByName(runs.select(*line, "n_item", "pi", "literal", F.lit(True).alias("proven")))
+    # a diagonal holds at most the item's windows
+    lines = kept.groupBy(*line, "n_item").agg(F.sort_array(F.collect_set("pi")).alias("all"), F.collect_set(F.when(F.col("literal"), F.col("pi"))).alias("plain"), F.max("proven").alias("proven"))
     run = F.exists("all", lambda x: F.size(F.filter("all", lambda y: y.between(x, x + need - 1))) == need)
-    lines = lines.withColumn("run", run)
+    lines = lines.withColumn("run", F.col("proven") | run)
     total = lines.groupBy("doc_id", "item_id", "n_item").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_set("all")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).cast("long").alias("n_literal"))
     return total.where("run").select("doc_id", "item_id", "n_windows", "n_literal", F.round(F.col("n_windows") / F.col("n_item"), 4).alias("coverage"))
 

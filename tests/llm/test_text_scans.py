@@ -155,6 +155,17 @@ def test_decontamination_cases(spark):
     assert got[1, 7].coverage == 1.0 and got[3, 7].n_literal < got[3, 7].n_windows
 
 
+def test_decontamination_dense_quantities(spark):
+    """Every window of the first item has four or five placeholders among its eight words."""
+    bench = spark.createDataFrame([(1, "A car drives 60 km in 2 hours and then 90 km in 3 hours"), (2, "3 km 4 km 5 km 6 km 7 km 8 km")], "item_id long, text string")
+    docs = [
+        (1, "so: a car drives 75 km in 4 hours and then 110 km in 5 hours, it seems"), (2, "a car drives 75 km in 75 hours and then 75 km in 75 hours"),
+        (3, "we saw 13 km 14 km 15 km 16 km 17 km 18 km"), (4, "a bus drives 75 km in 4 hours but then 110 km in 5 hours"), (5, "A CAR drives 60 km in 2 hours and then 90 km in 3 hours"),
+    ]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.coverage) for r in got} == {(1, 1): (8, 1.0), (5, 1): (8, 1.0)}
+
+
 def test_decontamination_equals_brute_force(spark, data):
     docs, bench = common.read_table(spark, data, "documents"), common.read_table(spark, data, "benchmark")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
