@@ -8,6 +8,7 @@ Rows with null columns, repeated rows and empty tables pass as the operators' do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import common, decontam, minhash, mixing, quality, token_output
 
@@ -26,9 +27,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontam.contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
-    leaks = common.written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    # rows go by their own tag: a null doc_id hides nothing, and a clean row stays whatever shares its doc_id
+    found = decontam.contaminated(docs.select(minhash.tag_of().alias("doc_id"), "text"), common.read_table(spark, sf_dir, "benchmark"))
+    leaks = common.written(found.select(F.col("doc_id").alias("__pairloom_tag")).distinct(), "leaks")
+    return docs.withColumn("__pairloom_tag", minhash.tag_of()).join(leaks, "__pairloom_tag", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

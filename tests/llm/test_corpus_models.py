@@ -229,6 +229,15 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_decontamination_stage_judges_rows(spark):
+    """A copy without a doc_id goes; a clean row that shares its doc_id with a copy stays."""
+    d = "/root/testdata/sf0.001"
+    item = common.read_table(spark, d, "benchmark").where("text is not null").orderBy("item_id").first().text
+    rows = [(None, item), (5, item), (5, "a clean row of the same id"), (None, "a clean row without an id")]
+    got = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), d)
+    assert {tuple(r) for r in got.collect()} == set(rows[2:])
+
+
 def test_pipeline_odd_rows(spark, odd, none, tmp_path):
     for name, rows in (("odd", odd), ("none", none)):
         docs = rows
