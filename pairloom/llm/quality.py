@@ -8,7 +8,7 @@ coordinate descent. A logistic curve, fitted on labelled rows that the model has
 
 Training takes at most TRAIN_ROWS labelled rows (those of the smallest digests of their doc_id), and only
 labels and texts; the largest thing that reaches the driver is their n-gram sets, at most
-TRAIN_ROWS * TRAIN_GRAMS numbers. Scoring is one pass without a shuffle.
+TRAIN_ROWS * DIMENSIONS numbers. Scoring is one pass without a shuffle.
 
 Defined results. Null and empty texts have no n-grams: their score is the model's bias alone. Labels of
 other values than 0 and 1 are ignored; of a doc_id with several labels the smallest counts. With one
@@ -33,7 +33,7 @@ CLASSES = 64
 #: A word that follows itself gives n-grams of one word; the longest such run is indicated at these lengths.
 RUNS = (2, 3, 4, 6, 8, 12)
 DIMENSIONS = sum(CLASSES**n for n in ORDERS) + len(RUNS)
-TRAIN_ROWS, TRAIN_GRAMS = 6_000, 3_000
+TRAIN_ROWS = 6_000
 COST, EPOCHS, SMOOTH = 1.0, 12, 1.0
 THRESHOLD = 0.3
 
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     own = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = docs.select("doc_id", common.whole_text().alias("text")).join(common.written(own, "labels"), "doc_id")
-    got = picked.select("quality", "text").mapInArrow(_gram_rows, "quality int, grams array<int>").select("quality", F.slice("grams", 1, TRAIN_GRAMS).alias("grams"), F.xxhash64("grams").alias("h")).orderBy("h", "quality").drop("h").toArrow()
+    got = picked.select("quality", "text").mapInArrow(_gram_rows, "quality int, grams array<int>").select("quality", "grams", F.xxhash64("grams").alias("h")).orderBy("h", "quality").drop("h").toArrow()
     col = got["grams"].combine_chunks()
     flat, off = col.flatten().to_numpy(), np.r_[0, np.cumsum(col.value_lengths().to_numpy())].astype(np.int64)
     sets = [flat[off[k] : off[k + 1]] for k in range(len(col))]

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -229,6 +230,17 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_quality_trains_on_whole_gram_sets(spark, monkeypatch):
+    """A text of more than 3,000 n-grams, the last of which is a run of one word."""
+    kinds = np.array(list("aB7b \n!#$%&()*+,-./:;<=>?@[]^_{|}~"))
+    text = "".join(kinds[np.random.default_rng(3).integers(0, len(kinds), 40_000)]) + " again again again"
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda sets, labels: seen.extend(sets))
+    quality.train(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    whole = quality.gram_sets(pa.array([text]))[0]
+    assert len(whole) > 3_000 and np.array_equal(seen[0], whole)
+
+
 def test_decontamination_stage_judges_rows(spark):
     """A copy without a doc_id goes; a clean row that shares its doc_id with a copy stays."""
     d = "/root/testdata/sf0.001"
