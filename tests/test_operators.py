@@ -262,6 +262,18 @@ def test_greedy_partition_keeps_groups(spark):
     assert us[2] > us[1] > us[0] > 0.1
 
 
+def test_partition_of_few_groups_is_the_best(spark):
+    """Against all assignments in a plain loop."""
+    rows = [("us", g, n) for g, n in zip("abcdef", (40, 30, 12, 9, 6, 3))]
+    got = {r.grp: r.part for r in audit.greedy_partition(spark.createDataFrame(rows, "country string, grp string, n long"), (0.2, 0.3, 0.5)).collect()}
+    best = (math.inf, ())
+    for a in itertools.product(range(3), repeat=6):
+        sizes = [sum(n for (_, _, n), k in zip(rows, a) if k == j) for j in range(3)]
+        if a.count(0) >= 1 and a.count(1) >= 2 and a.count(2) >= 2 and sizes[0] >= 10 and sizes[1] >= 10 and sizes[2] >= 25:
+            best = min(best, (round(sum((x / 100 - t) ** 2 for x, t in zip(sizes, (0.2, 0.3, 0.5))), 12), a))
+    assert tuple(got[g] for g in "abcdef") == best[1]
+
+
 def test_text_split_has_no_leak(spark):
     rows = [(f"t{k % 60}", "b", int(k % 120 != 7), "train" if k % 3 else "extra") for k in range(200)]
     got = audit.paired_text_sample(spark.createDataFrame(rows, "a string, b string, label int, origin string"), 20, 20).collect()
