@@ -17,6 +17,8 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLE: dict = {
+    "op2_pii": pii.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_secret_scan": secrets.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
