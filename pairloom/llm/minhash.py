@@ -12,11 +12,16 @@ the candidates: two sets at similarity 0.8 share no band with probability (1 - 0
 2. In every band bucket each set is paired with the bucket's first: linear in the bucket. Pairs pass
    the sketch comparison and are confirmed on their full sets (LIMIT percent of the union).
 3. Connected components of the confirmed links, by contraction over written tables.
-4. Buckets that still hold two components or more are compared in full, in tiles of at most TILE sets a
-   side: pairs across components whose sketches agree enough (CLOSE of T coordinates, five standard
-   deviations under 0.8) are confirmed there and then on their full sets. A tile emits a forest of
-   confirmed links, never its pairs. So no link that joins components is lost to the choice of a
-   bucket's first.
+4. Buckets that still hold two components or more are compared in full: the sets outside the bucket's
+   largest component with one another and with that component's, in tiles of at most TILE sets and
+   about TILE_BYTES of text a side. Pairs across components whose sketches agree enough (CLOSE of T
+   coordinates, five standard deviations under 0.8) are confirmed there and then on their full sets. A
+   tile emits a forest of confirmed links, never its pairs. So no link that joins components is
+   lost to the choice of a bucket's first.
+
+A bucket, a bucket's first or a component may hold any share of all rows: what is joined on them is
+dealt into parts (common.hot_join). Texts are only moved for sets whose sketches agree with another's.
+All tables of a run but its result are deleted at its end.
 
 Defined results. No words or null text: n_shingles 0, linked with nothing. Fewer words than WORDS:
 the whole sequence is the only shingle. Repeated rows are members of their class; component_id is
@@ -30,10 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -43,8 +46,8 @@ BANDS = T // ROWS
 LIMIT = 80
 #: Coordinates that must agree before full sets are compared: 128 * 0.8 less five standard deviations.
 CLOSE = 79
-TILE = 1_024
-LOCAL = "doc_id long, tag long, rid long, rep long, n long, k1 long, k2 long, sketch binary, bands array<bigint>, body string"
+TILE, TILE_BYTES = 256, 8 << 20
+LOCAL = "doc_id long, rid long, rep long, n long, k1 long, k2 long, size int, sketch binary, bands array<bigint>, body string"
 PAIR = "a long, b long"
 
 _MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)
@@ -136,14 +139,11 @@ def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _local(words: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, count = TaskContext.get().partitionId() << 33, 0
         for part in common.blocks(batches, limit=8 << 20):
             t = pa.Table.from_batches(part).combine_chunks()
-            body = t["body"].chunk(0)
+            body, rid = t["body"].chunk(0), t["rid"].to_numpy()
             h, off = shingles(body, words)
             n, size = t.num_rows, np.diff(off)
-            rid = base + count + np.arange(n)
-            count += n
             sums = np.r_[np.uint64(0), np.cumsum(common.mix64(h ^ _A))], np.r_[np.uint64(0), np.cumsum(common.mix64(h ^ _B))]
             k1, k2 = (s[off[1:]] - s[off[:-1]] for s in sums)
             key = np.rec.fromarrays([size, k1, k2])
@@ -161,7 +161,7 @@ def _local(words: int):
             at[own] = np.arange(len(own))
             pick = pa.array(at, mask=at < 0)
             yield pa.record_batch([
-                t["doc_id"].chunk(0), t["tag"].chunk(0), pa.array(rid), pa.array(rid[rep]), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                t["doc_id"].chunk(0), pa.array(rid), pa.array(rid[rep]), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(common.column_bytes(body)[1]).astype(np.int32)),
                 pa.array([r.tobytes() for r in small], pa.binary()).take(pick), pa.array(list(band), pa.list_(pa.int64())).take(pick), body.take(pa.array(np.where(at < 0, 0, np.arange(n)), mask=at < 0)),
             ], names=[f.split()[0] for f in LOCAL.split(", ")])
 
@@ -178,14 +178,19 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(words: int):
+    """Pairs whose full sets are similar; the set of an a whose pairs adjoin is made once."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 b = batch.slice(s, 512)
-                (ha, oa), (hb, ob) = shingles(b.column("ta"), words), shingles(b.column("tb"), words)
+                a = b.column("a").to_numpy()
+                fresh = np.r_[True, a[1:] != a[:-1]]
+                at = np.cumsum(fresh) - 1
+                (ha, oa), (hb, ob) = shingles(b.column("ta").take(pa.array(np.flatnonzero(fresh))), words), shingles(b.column("tb"), words)
                 ok = np.zeros(b.num_rows, bool)
                 for k in range(b.num_rows):
-                    x, y = ha[oa[k] : oa[k + 1]], hb[ob[k] : ob[k + 1]]
+                    x, y = ha[oa[at[k]] : oa[at[k] + 1]], hb[ob[k] : ob[k + 1]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok[k] = 100 * both >= LIMIT * (len(x) + len(y) - both)
                 yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
@@ -193,38 +198,46 @@ def _confirmed(words: int):
     return step
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """Of distinct candidate pairs (a, b) of representatives those that are similar: by sketch, then on their full sets."""
-    side = lambda c, v: reps.select(F.col("rid").alias(c), *(F.col(x).alias(y + c) for x, y in v))
+def confirm(pairs: DataFrame, reps: DataFrame, words: int, tmp: common.Scratch) -> DataFrame:
+    """Of distinct candidate pairs (a, b) of representatives those that are similar: by sketch, then on their full sets.
+
+    a may stand in any number of pairs, b in BANDS at most.
+    """
+    side = lambda t, c, v: t.select(F.col("rid").alias(c), *(F.col(x).alias(y + c) for x, y in v))
     by_sketch = (("sketch", "s"), ("n", "n"))
-    close = pairs.join(side("a", by_sketch), "a").join(side("b", by_sketch), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_agreeing, PAIR)
-    close = common.written(close, "close")
-    full = close.join(side("a", (("body", "t"),)), "a").join(side("b", (("body", "t"),)), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(_confirmed(words), PAIR)
+    close = common.hot_join(pairs, side(reps, "a", by_sketch), ["a"], "b").join(side(reps, "b", by_sketch), "b")
+    close = tmp.written(close.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_agreeing, PAIR), "close")
+    ids = tmp.written(close.select(F.col("a").alias("rid")).union(close.select("b")).distinct(), "ids")
+    texts = common.only(reps.select("rid", "body"), ids, "rid")
+    with_b = close.join(side(texts, "b", (("body", "t"),)), "b")
+    full = common.hot_join(with_b, side(texts, "a", (("body", "t"),)), ["a"], "b", counts=close.groupBy("a").agg(F.count("*").alias("__n")), total=close.count())
+    return full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(words), PAIR)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tmp: common.Scratch) -> DataFrame:
     """Connected components of links (a, b): v, root (the least of its component), for every v that has a link.
 
     Each round points every vertex to its least neighbour, follows the pointers to their ends, and
     contracts the links to those; only written tables of links and vertices are moved.
     """
     labels = None
-    edges = common.written(links.where("a <> b").distinct(), "links")
+    edges = tmp.written(links.where("a <> b").distinct(), "links")
+    count = lambda t, c: t.groupBy(c).agg(F.count("*").alias("__n"))
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        points = common.written(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("root")), "points")
+        points = tmp.written(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("root")), "points")
         while True:
             ends = points.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            points = common.written(points.join(ends, "root").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "points")
+            points = tmp.written(common.hot_join(points, ends, ["root"], "v").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "points")
             moved = not points.where("moved").isEmpty()
             points = points.drop("moved")
             if not moved:
                 break
         to = points.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        labels = points if labels is None else common.written(labels.join(to, "root", "left").select("v", F.coalesce("next", "root").alias("root")), "labels")
-        sides = [points.select(F.col("v").alias(c), F.col("root").alias("r" + c)) for c in ("a", "b")]
-        edges = common.written(edges.join(sides[0], "a").join(sides[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "links")
+        labels = points if labels is None else tmp.written(common.hot_join(labels, to, ["root"], "v", "left").select("v", F.coalesce("next", "root").alias("root")), "labels")
+        a, b = (points.select(F.col("v").alias(c), F.col("root").alias("r" + c)) for c in ("a", "b"))
+        moved_a = common.hot_join(edges, a, ["a"], "b")
+        edges = tmp.written(common.hot_join(moved_a, b, ["b"], "a", counts=count(edges, "b"), total=edges.count()).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "links")
     if labels is None:
         return links.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
     return labels
@@ -241,17 +254,26 @@ def _tile_links(rows: list, words: int) -> list[tuple[int, int]]:
     bands = t["bands"].chunk(0).flatten().to_numpy().reshape(-1, BANDS)
     rid, n, side, band = (t[c].to_numpy() for c in ("rid", "n", "side", "band"))
     _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
-    h, off = shingles(t["body"].chunk(0), words)
-    left, right, out = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
+    left, right, pairs, out = np.flatnonzero(side != 1), np.flatnonzero(side != 0), [], []
     for k in left:
         near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= LIMIT * np.maximum(n[right], n[k]))]
         near = near[rid[near] > rid[k]] if side[k] == 2 else near
         near = near[(sk[near] == sk[k]).sum(axis=1) >= CLOSE]
         near = near[(bands[near] == bands[k]).argmax(axis=1) == band[k]]
+        if len(near):
+            pairs.append((k, near))
+    if not pairs:
+        return out
+    used = np.unique(np.concatenate([np.r_[k, near] for k, near in pairs]))
+    h, off = shingles(t["body"].chunk(0).take(pa.array(used)), words)  # only of sets that may be similar to another
+    at = np.zeros(len(rid), np.int64)
+    at[used] = np.arange(len(used))
+    for k, near in pairs:
+        near = near[comp[near] != comp[k]]
         if not len(near):
             continue
-        own, size = h[off[k] : off[k + 1]], off[near + 1] - off[near]
-        others = np.concatenate([h[off[m] : off[m + 1]] for m in near])
+        own, size = h[off[at[k]] : off[at[k] + 1]], off[at[near] + 1] - off[at[near]]
+        others = np.concatenate([h[off[m] : off[m + 1]] for m in at[near]])
         both = np.add.reduceat(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others, np.cumsum(size) - size, dtype=np.int64)
         for m in near[100 * both >= LIMIT * (len(own) + size - both)]:
             if comp[m] != comp[k]:
@@ -285,69 +307,82 @@ def _across(words: int):
     return step
 
 
-def across_components(shared: DataFrame, words: int, tile: int = TILE) -> DataFrame:
-    """Confirmed links (a, b) between the components of each bucket; shared has key, band, rid, comp, n, sketch, bands, body.
+def across_components(labelled: DataFrame, reps: DataFrame, words: int, tmp: common.Scratch, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame | None:
+    """Confirmed links (a, b) between the components of each bucket; labelled has key, band, rid, comp, size. None if no bucket holds two.
 
-    A bucket of m sets is dealt into ceil(m / tile) parts by hash; each pair of parts is one tile, so a
-    large bucket spreads over many tasks, and what a task holds is bounded. Only confirmed links
-    leave a tile, fewer than it has rows.
+    The sets outside a bucket's largest component meet one another and that component's sets. Both sides are dealt
+    into parts of at most `tile` sets and about tile_bytes of text; two parts are one tile, so a large
+    bucket spreads over many tasks, what a task holds is bounded, and the largest component is only repeated
+    for each part of the rest. Only confirmed links leave a tile, fewer than it has rows.
     """
-    size = common.written(shared.groupBy("key").agg(F.count("*").alias("m")), "sizes")
-    parts = F.ceil(F.col("m") / tile).cast("long")
-    dealt = shared.join(size, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    tiles = tiles.select("rid", "comp", "n", "band", "sketch", "bands", "body", side.alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across(words), PAIR)
-
-
-def tag_of():
-    """A 64-bit digest of a row's doc_id and text, by which a chosen row is found again."""
-    return F.xxhash64("doc_id", "text")
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    parts = lambda c, s: F.greatest(F.ceil(c / tile), F.ceil(s / tile_bytes), F.lit(1)).cast("int")
+    open_ = per.groupBy("key").agg(F.max(F.struct("c", "comp", "s")).alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("x.c < c")
+    open_ = open_.select("key", F.col("x.comp").alias("main"), parts(F.col("x.c"), F.col("x.s")).alias("of_main"), parts(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("of_rest"), F.col("c").alias("__n"))
+    open_ = tmp.written(open_, "open")
+    if open_.isEmpty():
+        return None
+    # sets of open buckets; the rest of a hot key's rows leaves at once
+    rows = common.hot_join(labelled, open_.drop("__n"), ["key"], "rid", counts=open_.select("key", "__n"), total=labelled.count())
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("rid"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    rest = F.concat(
+        F.transform(upto(F.col("of_rest")), lambda j: spot("rest", F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1))),
+        F.transform(upto(F.col("of_main")), lambda j: spot("main", own, j, F.lit(0))),
+    )
+    spots = F.when(is_main, F.transform(upto(F.col("of_rest")), lambda i: spot("main", i, own, F.lit(1)))).otherwise(rest)
+    tiles = rows.select("key", "band", "rid", "comp", F.explode(spots).alias("x")).select("band", "rid", "comp", "x.side", F.xxhash64("key", "x.kind", "x.i", "x.j").alias("tile"))
+    tiles = tmp.written(tiles, "tiles")
+    ids = tmp.written(tiles.select("rid").distinct(), "ids")
+    whole = tiles.join(common.only(reps.select("rid", "n", "sketch", "bands", "body"), ids, "rid"), "rid")
+    return whole.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across(words), PAIR)
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id; same columns."""
-    found = near_duplicates(docs, words)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "tag")).alias("k")
-    kept = common.written(found.groupBy("comp").agg(best).select(F.col("k.tag").alias("tag")), "kept")
-    kept = kept.distinct().withColumnRenamed("tag", "__pairloom_tag")
-    got = docs.withColumn("__pairloom_tag", tag_of()).join(kept, "__pairloom_tag", "left_semi")
-    first = F.row_number().over(W.partitionBy("__pairloom_tag").orderBy("__pairloom_tag"))  # rows that repeat another in doc_id and text
-    return got.withColumn("__pairloom_k", first).where("__pairloom_k = 1").select(*docs.columns)
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept; and of the row: tag_of(), its number rid, its component's number comp."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), common.whole_text().alias("body"))
-    local = common.written(rows.mapInArrow(_local(words), LOCAL), "sets")
-    reps = local.where("sketch is not null")
-    keys = ["n", "k1", "k2"]
-    firsts = reps.groupBy(*keys).agg(F.min("rid").alias("first"))
-    same = reps.select("rid", *keys).join(firsts, keys).select("rid", "first")
-    same = common.written(same, "same")
-    alone = reps.join(same.where("rid = first").select("rid"), "rid", "left_semi")
-    bands = common.written(alone.select("rid", F.posexplode("bands").alias("band", "key")), "bands")
-    buckets = bands.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("m")).where("m > 1")
-    buckets = common.written(buckets.select("key", "a"), "buckets")
-    shared = common.written(bands.join(buckets, "key").select("key", "band", "rid", "a"), "shared")
-    stars = shared.where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
-    links = common.written(confirm(stars, reps, words), "stars")
-    comp = common.written(components(links), "components")
-    labelled = shared.select("key", "band", "rid").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "band", "rid", F.coalesce("root", "rid").alias("comp"))
-    labelled = common.written(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = labelled.join(open_, "key", "left_semi").join(reps.select("rid", "n", "sketch", "bands", "body"), "rid")
-    found = common.written(across_components(common.written(left, "open"), words, tile), "found")
-    if not found.isEmpty():
-        comp = common.written(components(links.unionByName(found)), "components")
-    of_first = same.join(comp.select(F.col("v").alias("first"), "root"), "first", "left").select(F.col("rid").alias("rep"), F.coalesce("root", "first").alias("comp"))
-    members = local.select("doc_id", "tag", "rid", "rep", "n").join(of_first, "rep", "left").select("doc_id", "tag", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
-    members = common.written(members, "members")
-    least = common.written(members.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    return members.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tag", "rid", "comp")
+    """docs with one row of each near-duplicate group: that of the smallest doc_id; same columns. Rows are known by their number, so any may repeat."""
+    rows = common.numbered(docs)
+    found = near_duplicates(rows, words, rid="__pairloom_rid")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("k")
+    kept = found.groupBy("comp").agg(best).select(F.col("k.rid").alias("__pairloom_rid"))
+    return rows.join(kept, "__pairloom_rid", "left_semi").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE, rid: str | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept; and of the row its number rid (column rid of docs if it has one), its component's number comp."""
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("rid"), common.whole_text().alias("body"))
+    with common.Scratch(docs.sparkSession) as tmp:
+        sets = tmp.written(rows.mapInArrow(_local(words), LOCAL), "sets")
+        reps, keys = sets.where("sketch is not null"), ["n", "k1", "k2"]
+        firsts = reps.groupBy(*keys).agg(F.min("rid").alias("first"))
+        same = tmp.written(common.hot_join(reps.select("rid", *keys), firsts, keys, "rid").select("rid", "first"), "same")
+        alone = reps.select("rid", "size", "bands").join(same.where("rid = first").select("rid"), "rid", "left_semi")
+        bands = tmp.written(alone.select("rid", "size", F.posexplode("bands").alias("band", "key")), "bands")
+        buckets = tmp.written(bands.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("__n")).where("__n > 1"), "buckets")
+        shared = common.hot_join(bands, buckets.drop("__n"), ["key"], "rid", counts=buckets.select("key", "__n"), total=bands.count())
+        shared = tmp.written(shared.select("key", "band", "rid", "size", "a"), "shared")
+        tmp.drop("bands", "buckets")
+        stars = tmp.written(shared.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
+        links = tmp.written(confirm(stars, reps, words, tmp), "stars")
+        comp = tmp.written(components(links, tmp), "components")
+        labelled = shared.select("key", "band", "rid", "size").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "band", "rid", "size", F.coalesce("root", "rid").alias("comp"))
+        labelled = tmp.written(labelled, "labelled")
+        tmp.drop("shared", "pairs", "close", "ids")
+        found = across_components(labelled, reps, words, tmp, tile)
+        if found is not None:
+            found = tmp.written(found, "found")
+            if not found.isEmpty():
+                comp = tmp.written(components(links.unionByName(found), tmp), "components")
+        of_first = common.hot_join(same, comp.select(F.col("v").alias("first"), "root"), ["first"], "rid", "left").select(F.col("rid").alias("rep"), F.coalesce("root", "first").alias("comp"))
+        members = sets.select("doc_id", "rid", "rep", "n").join(of_first, "rep", "left").select("doc_id", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
+        members = tmp.written(members, "members")
+        least = tmp.written(members.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+        out = common.hot_join(members, least, ["comp"], "rid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "comp")
+        return common.written(out, "groups")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of all documents at four words."""
-    return near_duplicates(common.read_table(spark, sf_dir, "documents"), words=4).drop("tag", "rid", "comp")
+    return near_duplicates(common.read_table(spark, sf_dir, "documents"), words=4).drop("rid", "comp")

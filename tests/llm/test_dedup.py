@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import common, exact_dedup, minhash
 
@@ -142,5 +144,56 @@ def test_sketch_estimates():
 
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.v: r.root for r in minhash.components(links).collect()}
+    with common.Scratch(spark) as tmp:
+        got = {r.v: r.root for r in minhash.components(links, tmp).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+
+
+def test_components_of_a_star(spark):
+    """One vertex holds all links, and one component all vertices."""
+    links = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(k, 1_000 + k) for k in range(1, 300)], "a long, b long")
+    with common.Scratch(spark) as tmp:
+        got = {r.v: r.root for r in minhash.components(links, tmp).collect()}
+    assert got == {k: 0 for k in range(300)} | {1_000 + k: 0 for k in range(1, 300)}
+
+
+def test_one_giant_group_leaves_no_tables(spark):
+    """A third of all rows are near copies in one bucket, most of them unlike its first; what a run writes but its result is deleted."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(240):
+        w = list(base) if k % 3 else [f"u{k}x{j}" for j in range(50)]
+        for _ in range(rng.randint(0, 4) if k % 3 else 0):
+            w[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    old = set(folder.iterdir())
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()), key=str)
+    assert got == brute_components(rows, 4)
+    assert [x.name.split("-")[1] for x in set(folder.iterdir()) - old] == ["groups"]
+
+
+def test_hot_join_equals_join(spark):
+    big = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(900)] + [(None, -1)], "key long, rid long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 900, 2)] + [(7, "seven"), (7, "again")], "key long, v string")
+    for how in ("inner", "left"):
+        assert sorted(common.hot_join(big, small, ["key"], "rid", how).collect(), key=str) == sorted(big.join(small, ["key"], how).collect(), key=str)
+    counts = big.groupBy("key").agg(F.count("*").alias("__n"))
+    assert [r.key for r in common.hot_keys(counts, ["key"], big.count()).collect()] == [7]
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
