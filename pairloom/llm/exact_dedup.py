@@ -8,9 +8,11 @@ that end together are equal. No digest takes part in equality (text_sha256 is ou
    (radix_classes); one representative of each class goes on, with its count. A group of copies
    that holds a third of all rows thus sends one text per block.
 2. Representatives are partitioned by their leading digits (length and WIDTHS[0] bytes). Digit groups of
-   more than MAX_GROUP_BYTES are split by more bytes, again and again, at last by all of them; then
-   they have ended and need only sums. All others fit into a task, which finishes the recursion.
-3. Every row is joined to what its representative's class has become.
+   more than MAX_GROUP_BYTES (at most one for as many bytes of input, known by a hash of their digits, so their
+   list may be broadcast) are split by more bytes, again and again, at last by all of them; then
+   they have ended: each is one class, and partial sums do. All others fit into a task, which finishes the recursion.
+3. Every row is joined to what its representative's class has become; an ended class that many blocks
+   hold is dealt into parts (common.hot_join).
 
 Defined results. Null text is empty; empty texts are equal to one another. Repeated rows count as
 members. keep_id is the smallest doc_id that isn't null (null if a class has none); exactly one row
@@ -120,36 +122,41 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([t["rid"].chunk(0), pa.array(low), pa.array(keep), pa.array(total)], names=[f.split()[0] for f in CLASSES.split(", ")])
 
 
-def classes_of(reps: DataFrame, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
+def classes_of(reps: DataFrame, tmp: common.Scratch, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
     """Of representatives (rid, min_doc, keep_rid, n_local, len, lead, body) their classes, by the distributed recursion."""
     out, pending = [], reps
     for width in WIDTHS:
-        rows = pending if width == WIDTHS[0] else pending.withColumn("lead", F.expr(f"substring(body, 1, {width})"))
-        full = rows.groupBy("len", "lead").agg(F.sum(F.col("len") + 64).alias("bytes")).where(F.col("bytes") > max_group_bytes).select("len", "lead")
-        full = common.written(full, "digits")
+        lead = F.col("lead") if width == WIDTHS[0] else F.expr(f"substring(body, 1, {width})")
+        rows = pending.withColumn("digit", F.xxhash64("len", lead))
+        full = rows.groupBy("digit").agg(F.sum(F.col("len") + 64).alias("bytes")).where(F.col("bytes") > max_group_bytes).select("digit")
+        full = tmp.written(full, "digits")
         split = not full.isEmpty()
-        fits = rows.join(full, ["len", "lead"], "left_anti") if split else rows
-        dealt = fits.withColumn("digit", F.xxhash64("len", "lead")).repartition("digit").sortWithinPartitions("digit")
+        fits = rows.join(F.broadcast(full), "digit", "left_anti") if split else rows
+        dealt = fits.repartition("digit").sortWithinPartitions("digit")
         out.append(dealt.select("rid", "min_doc", "keep_rid", "n_local", "digit", "body").mapInArrow(_finish, CLASSES))
         if not split:
             break
-        pending = common.written(rows.join(full, ["len", "lead"], "left_semi").select(*reps.columns), "unsplit")
+        pending = tmp.written(rows.join(F.broadcast(full), "digit", "left_semi").select(*reps.columns), "unsplit")
     else:  # the rest by their whole bytes: each group has ended, so it is a class, and partial sums do
         best = F.min(F.struct("min_doc", "keep_rid")).alias("k")
-        total = common.written(pending.groupBy("body").agg(best, F.sum("n_local").alias("n")), "ended")
-        out.append(pending.select("rid", "body").join(total, "body").select(F.col("rid").alias("rep"), F.col("k.min_doc").alias("keep_id"), F.col("k.keep_rid").alias("keep_rid"), F.col("n").alias("group_size")))
+        whole = pending.withColumn("digit", F.xxhash64("body"))  # only deals rows into parts; bodies decide
+        total = tmp.written(whole.groupBy("digit", "body").agg(best, F.sum("n_local").alias("total")), "ended")
+        ended = common.hot_join(whole.select("rid", "digit", "body"), total, ["digit", "body"], "rid", by=["digit"])
+        out.append(ended.select(F.col("rid").alias("rep"), F.col("k.min_doc").alias("keep_id"), F.col("k.keep_rid").alias("keep_rid"), F.col("total").alias("group_size")))
     return functools.reduce(DataFrame.unionByName, out)
 
 
 def exact_duplicates(docs: DataFrame, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256. All tables of a run but its result are deleted at its end."""
     body = normalised()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(body, 256).alias("text_sha256"), body.cast("binary").alias("body"))
-    local = common.written(rows.mapInArrow(_local, LOCAL), "local")
-    reps = local.where("n_local is not null").select("rid", "min_doc", "keep_rid", "n_local", "len", "lead", "body")
-    classes = classes_of(reps, max_group_bytes)
-    joined = local.select("doc_id", "rid", "rep", "text_sha256").join(classes, "rep")
-    return joined.select("doc_id", F.nullif("keep_id", F.lit(NONE)).alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    with common.Scratch(docs.sparkSession) as tmp:
+        local = tmp.written(rows.mapInArrow(_local, LOCAL), "local")
+        reps = local.where("n_local is not null").select("rid", "min_doc", "keep_rid", "n_local", "len", "lead", "body")
+        classes = classes_of(reps, tmp, max_group_bytes)
+        joined = local.select("doc_id", "rid", "rep", "text_sha256").join(classes, "rep")
+        out = joined.select("doc_id", F.nullif("keep_id", F.lit(NONE)).alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+        return common.written(out, "classes")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
