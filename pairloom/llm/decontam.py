@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Method. Words become templates: numbers, names (capitalised words inside a sentence) and units (after a
-number) turn into typed placeholders. Windows of WINDOW template words of every document are
+Method. Words become templates: numbers, names (capitalised words, wherever they stand, but for the OPENERS that
+begin sentences) and units (after a number) turn into typed placeholders. Windows of WINDOW template words of every document are
 hash-joined with those of the benchmark; windows without placeholders match literally. Literal
 windows (lower case, no placeholders) are joined as well, so a change of case hides nothing. A
 window with placeholders, MIN_LITERALS of whose words are literal, counts if on its
@@ -16,10 +16,12 @@ of MIN_WINDOWS, so a first pass hashes those alone; documents it hits are then s
 place. Items shorter than WINDOW words match only documents of the same words.
 
 Only built-in functions run; document windows meet the benchmark's by a broadcast join if the benchmark has
-at most BROADCAST_WINDOWS windows (it is counted first), else by a shuffled one.
+at most BROADCAST_WINDOWS windows (it is counted first), else by a shuffled one in which the rows of passages that many
+documents hold are dealt into parts (common.hot_join).
 
-Defined results. Null or empty texts, and texts without words, have no windows. Rows of equal doc_id count as
-one document. Rows of a null doc_id are not searched, as nothing could name them. Extra columns are ignored.
+Defined results. Null or empty texts, and texts without words, have no windows. Each row is judged by its own text: rows of
+a null doc_id too, and rows that share a doc_id but not their text are not mixed. Rows of equal doc_id and item give one result,
+the best of theirs. Items of a null item_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,13 @@ from . import common
 WINDOW, MIN_LITERALS, MIN_WINDOWS = 8, 5, 3
 BROADCAST_WINDOWS = 500_000
 UNITS = "g kg mg t oz lb lbs km m cm mm mi mile miles ft feet inch inches l ml hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent mph kmh kwh kw w v a".split()
+# Words that are capitalised for their place in a sentence, and so no names.
+OPENERS = """A An The This That These Those There Then Thus Here If In On At By For From Of To With Without After Before During Since Until While When
+Where Which Who Whom Whose What Why How And But Or Nor So Yet Because Although Though As Is Are Was Were Be Been Do Does Did Has Have Had Can Could
+May Might Must Shall Should Will Would Not No Yes All Any Both Each Either Every Few Many More Most Much Neither None Some Such One Two Three Four Five
+Six Seven Eight Nine Ten First Second Third Last Next Now It Its He She They We You His Her Their Our Your My Let Suppose Assume Consider Given Find Show
+Prove Compute Calculate Determine Evaluate Explain Write Use Solve Simplify Describe Choose Select Name List State Give Tell Say See Note However Therefore
+Der Die Das Ein Eine El La Los Las Un Una Le Les Une Des Il Elle Es Er Sie Wir Ich Und Aber Wenn Et Ou Y""".split()
 #: Placeholders; white space takes their place where a text has them itself.
 NUMBER, NAME, UNIT = "\u0002", "\u0003", "\u0004"
 WORD = rf"[\p{{L}}\p{{N}}\p{{M}}{NUMBER}{NAME}{UNIT}]++"
@@ -47,7 +56,7 @@ def _plain(text: Column) -> Column:
 
 def _template(plain: Column) -> Column:
     """The plain text with placeholders, word for word."""
-    names = F.regexp_replace(plain, rf"(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{L}}\p{{N}},;]\x20){WORD}", NAME)
+    names = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}\p{{M}}])){WORD}", NAME)
     numbers = F.regexp_replace(names, r"(?<![\p{L}\p{N}\p{M}])[0-9]++(?![\p{L}\p{N}\p{M}])", NUMBER)
     return F.regexp_replace(numbers, rf"(?<={NUMBER}\x20)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}\p{{M}}])", UNIT)
 
@@ -86,18 +95,17 @@ def _hash(words: list[Column]) -> Column:
     return F.xxhash64(*words)
 
 
-def _candidates(docs: DataFrame, index: DataFrame, stride: int) -> DataFrame:
-    """Ids of documents of which a window at a multiple of stride, literal or template, is in the index.
+def _spots(docs: DataFrame, stride: int) -> DataFrame:
+    """doc, h: the windows of rows (doc, text) at multiples of stride, literal and template.
 
     A run of stride consecutive windows has one at such a place. All of it is generated code: the
-    windows of a text are never held together, and only ids leave the join.
+    windows of a text are never held together.
     """
-    t = docs.select("doc_id", _plain(F.col("text")).alias("plain")).withColumn("tpl", _template(F.col("plain")))
+    t = docs.select("doc", _plain(F.col("text")).alias("plain")).withColumn("tpl", _template(F.col("plain")))
     ways = F.when(_slotted(F.col("tpl")), F.array("plain", "tpl")).otherwise(F.array("plain"))
-    w = t.select("doc_id", F.explode(ways).alias("way")).select("doc_id", _words(F.col("way")).alias("w"))
+    w = t.select("doc", F.explode(ways).alias("way")).select("doc", _words(F.col("way")).alias("w"))
     at = F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)), F.lit(stride)))).alias("i")
-    spots = w.select("doc_id", "w", at).select("doc_id", _hash([F.get("w", F.col("i") + j) for j in range(WINDOW)]).alias("h"))
-    return spots.join(index, "h", "left_semi").select("doc_id").distinct()
+    return w.select("doc", "w", at).select("doc", _hash([F.get("w", F.col("i") + j) for j in range(WINDOW)]).alias("h"))
 
 
 def _sound(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -106,20 +114,33 @@ def _sound(hits: DataFrame, by: list[str]) -> DataFrame:
     return pair.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("k", "vi").alias("ni"), F.count_distinct("k", "vd").alias("nd")).where("n = ni and n = nd").select(*by)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Pairs: doc_id, item_id, n_windows (of the item, found in the document), n_literal, coverage (share of the item's windows)."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    index = common.written(windows(benchmark.where("item_id is not null").select("item_id", "text"), "item_id"), "bench")
+    with common.Scratch(docs.sparkSession) as tmp:
+        found = _found(docs, benchmark, tmp, broadcast_windows)
+        best = found.groupBy("doc.doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_literal", "coverage")).alias("x"))
+        return common.written(best.select("doc_id", "item_id", "x.*"), "contaminated")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, tmp: common.Scratch, broadcast_windows: int) -> DataFrame:
+    """The pairs with doc, the row's doc_id and a digest of its text, in place of doc_id."""
+    docs = docs.where("text is not null").select(F.struct("doc_id", F.xxhash64("text").alias("tag"), F.length("text").alias("size")).alias("doc"), "text")
+    index = tmp.written(windows(benchmark.where("item_id is not null").select("item_id", "text"), "item_id"), "bench")
     size = index.agg(F.count("*").alias("n"), F.coalesce(F.min("n"), F.lit(1)).alias("least")).first()
     keys = index.select("h").distinct()
     index = index.select("item_id", "h", F.col("pos").alias("pi"), F.col("slots").alias("si"), F.col("n").alias("n_item"), "n_lit", "lead")
-    if size["n"] <= BROADCAST_WINDOWS:
-        keys, index = F.broadcast(keys), F.broadcast(index)
-    some = common.written(_candidates(docs, keys, min(MIN_WINDOWS, size["least"])), "suspects")
-    found = windows(docs.join(some, "doc_id", "left_semi"), "doc_id").select("doc_id", "h", F.col("pos").alias("pd"), F.col("slots").alias("sd")).join(index, "h")
-    found = found.where(F.col("sd").isNull() == F.col("si").isNull()).select("doc_id", "item_id", "n_item", "pi", (F.col("pd") - F.col("pi")).alias("diagonal"), F.col("sd").isNull().alias("literal"), "n_lit", "lead", "si", "sd")
-    hits = common.written(found.distinct(), "hits")
-    line = ["doc_id", "item_id", "diagonal"]
+    small, stride = size["n"] <= broadcast_windows, min(MIN_WINDOWS, size["least"])
+    spots = _spots(docs, stride)
+    hit = spots.join(F.broadcast(keys), "h", "left_semi") if small else common.hot_join(tmp.written(spots, "spots"), keys, ["h"], "doc")
+    some = tmp.written(hit.select("doc").distinct(), "suspects")
+    tmp.drop("spots")
+    own = docs.join(some.withColumnRenamed("doc", "own"), F.col("doc").eqNullSafe(F.col("own")), "left_semi")
+    all_of = windows(own, "doc").select("doc", "h", F.col("pos").alias("pd"), F.col("slots").alias("sd"))
+    found = all_of.join(F.broadcast(index), "h") if small else common.hot_join(tmp.written(all_of, "windows"), index, ["h"], "doc")
+    found = found.where(F.col("sd").isNull() == F.col("si").isNull()).select("doc", "item_id", "n_item", "pi", (F.col("pd") - F.col("pi")).alias("diagonal"), F.col("sd").isNull().alias("literal"), "n_lit", "lead", "si", "sd")
+    hits = tmp.written(found.distinct(), "hits")
+    tmp.drop("windows")
+    line = ["doc", "item_id", "diagonal"]
     dense = ~F.col("literal") & (F.col("n_lit") < MIN_LITERALS)
     slotted = hits.where(~F.col("literal") & ~dense)
     kept = hits.where("literal").unionByName(slotted.join(_sound(slotted, line), line, "left_semi")).select(*line, "n_item", "pi", "literal", F.lit(False).alias("proven"))
@@ -137,8 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lines = kept.groupBy(*line, "n_item").agg(F.sort_array(F.collect_set("pi")).alias("all"), F.collect_set(F.when(F.col("literal"), F.col("pi"))).alias("plain"), F.max("proven").alias("proven"))
     run = F.exists("all", lambda x: F.size(F.filter("all", lambda y: y.between(x, x + need - 1))) == need)
     lines = lines.withColumn("run", F.col("proven") | run)
-    total = lines.groupBy("doc_id", "item_id", "n_item").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_set("all")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).cast("long").alias("n_literal"))
-    return total.where("run").select("doc_id", "item_id", "n_windows", "n_literal", F.round(F.col("n_windows") / F.col("n_item"), 4).alias("coverage"))
+    total = lines.groupBy("doc", "item_id", "n_item").agg(F.max("run").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_set("all")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).cast("long").alias("n_literal"))
+    return total.where("run").select("doc", "item_id", "n_windows", "n_literal", F.round(F.col("n_windows") / F.col("n_item"), 4).alias("coverage"))
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pairloom.llm import common, decontam, license_scan, pii, registry, secrets
@@ -184,10 +185,10 @@ def test_decontamination_cases(spark):
     broken = ITEM.replace("120", "300").replace("9 hours", "300 hours")  # three numbers become one: roles are lost
     docs = [
         (1, "before. " + ITEM + " after"), (2, ITEM.upper()), (3, "intro, " + swap), (4, "unrelated words only, nothing of interest is to be found in this text at all"),
-        (5, " ".join(ITEM.split()[10:20])), (6, " ".join(ITEM.split()[10:19])), (7, None), (8, ""), (None, ITEM), (9, "short item of words"), (10, ITEM.replace(" ", "\n\t ").replace("and", "and,")), (11, broken),
+        (5, " ".join(ITEM.split()[10:20])), (6, " ".join(ITEM.split()[10:19])), (7, None), (8, ""), (None, ITEM), (None, "nothing here"), (9, "short item of words"), (10, ITEM.replace(" ", "\n\t ").replace("and", "and,")), (11, broken),
     ]
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    assert {k for k in got if k[0] != 11} == {(1, 7), (2, 7), (3, 7), (5, 7), (9, 9), (10, 7)}
+    assert {k for k in got if k[0] != 11} == {(1, 7), (2, 7), (3, 7), (5, 7), (9, 9), (10, 7), (None, 7)}
     assert got[1, 7].coverage == 1.0 and got[3, 7].n_literal < got[3, 7].n_windows
 
 
@@ -219,6 +220,125 @@ def test_decontamination_equals_brute_force(spark, data):
     assert got == want and want
 
 
+def py_template(text):
+    """Template words and plain words of a text, and which template words are placeholders."""
+    clean = re.sub("[\x02\x03\x04]", " ", text)
+    plain = regex.sub(r"(?<=[0-9])(?=\p{L})", " ", regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", clean)) if re.search("[0-9]", clean) else clean
+    lit = [w.lower() for w in regex.findall(r"[\p{L}\p{N}\p{M}]+", plain)]
+    kinds, raw = [], regex.findall(r"[\p{L}\p{N}\p{M}]+", plain)
+    for k, (w, m) in enumerate(zip(raw, regex.finditer(r"[\p{L}\p{N}\p{M}]+", plain))):
+        if regex.match(r"\p{Lu}\p{Ll}", w) and w not in decontam.OPENERS:
+            kinds.append("NAME")
+        elif re.fullmatch("[0-9]+", w):
+            kinds.append("NUMBER")
+        elif kinds and kinds[-1] == "NUMBER" and plain[m.start() - 1] == " " and plain[m.start() - 2 : m.start() - 1].isdigit() and w.lower() in decontam.UNITS:
+            kinds.append("UNIT")
+        else:
+            kinds.append(None)
+    return lit, kinds
+
+
+def py_windows(text):
+    lit, kinds = py_template(text)
+    out, n = [], max(1, len(lit) - decontam.WINDOW + 1)
+    for k in range(n if lit else 0):
+        w, t = lit[k : k + decontam.WINDOW], kinds[k : k + decontam.WINDOW]
+        out.append((k, ("lit", *w), None, len(w), True))
+        slots = [(x, v) for x, v in zip(t, w) if x]
+        if slots:
+            out.append((k, ("tpl", *(x or v for x, v in zip(t, w))), slots, sum(x is None for x in t), t[0] is None))
+    return out, n
+
+
+def bijective(pairs):
+    pairs = set(pairs)
+    return len(pairs) == len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs})
+
+
+def brute_contaminated(docs, items):
+    found = {}
+    for item, text in items:
+        index = {}
+        windows, n_item = py_windows(text)
+        for pos, key, slots, n_lit, lead in windows:
+            index.setdefault(key, []).append((pos, slots, n_lit, lead))
+        need = min(decontam.MIN_WINDOWS, n_item)
+        for doc, t in docs:
+            lines = {}
+            for pos, key, slots, _, _ in py_windows(t)[0]:
+                for pi, si, n_lit, lead in index.get(key, ()):
+                    lines.setdefault(pos - pi, []).append((pi, [(a[0], a[1], b[1]) for a, b in zip(si, slots)] if si else None, n_lit, lead))
+            kept, run = set(), False
+            for hits in lines.values():
+                own = {h[0] for h in hits if h[1] is None}
+                slotted = [h for h in hits if h[1] is not None and h[2] >= decontam.MIN_LITERALS]
+                if bijective(x for h in slotted for x in h[1]):
+                    own |= {h[0] for h in slotted}
+                at, first = sorted({h[0] for h in hits}), 0
+                for k in range(1, len(at) + 1):
+                    if k < len(at) and at[k] == at[k - 1] + 1:
+                        continue
+                    part = [h for h in hits if at[first] <= h[0] <= at[k - 1]]
+                    last = [h for h in part if h[0] == at[k - 1]]
+                    words = sum(any(h[3] for h in part if h[0] == p) for p in at[first:k]) + max(h[2] for h in last) - any(h[3] for h in last)
+                    dense = any(h[1] is not None and h[2] < decontam.MIN_LITERALS for h in part)
+                    if dense and k - first >= need and words >= decontam.MIN_LITERALS and any(h[1] for h in part) and bijective(x for h in part if h[1] for x in h[1]):
+                        own |= set(at[first:k])
+                        run = True
+                    first = k
+                run = run or any(all(x + j in own for j in range(need)) for x in own)
+                kept |= own
+            if run:
+                found[doc, item] = len(kept)
+    return found
+
+
+NAMES = "Alice Bob Carla Dmitri Elena Farid Greta Hugo Irene Jamal Keiko Liam Maria Noor Oscar Priya".split()
+FORMS = (
+    "{A} has {x} apples and buys {y} more from {B}. {B} then sells {z} apples to every neighbour in the long street. How many apples does {A} keep in the end?",
+    "A truck with {x} boxes leaves {A} at {y} hours and reaches the harbour of {B} after {z} km on the coastal road. What is its average speed?",
+    "{A} reads {x} pages a day while {B} reads {y} pages a day. After {z} days the two friends compare the number of pages that they have left.",
+    "Tickets cost {x} dollars for adults and {y} dollars for children. {A} pays for a group of {z} people. How many adults came along with {A}?",
+)
+
+
+def problem(rng, form, used=()):
+    a, b = rng.sample([n for n in NAMES if n not in used], 2)
+    x, y, z = rng.sample(range(2, 900), 3)
+    return form.format(A=a, B=b, x=x, y=y, z=z), (a, b)
+
+
+def test_reparameterised_questions(spark):
+    """Names and numbers all change, names at the beginning of sentences too: 0.9 or more are found; texts of other questions are not."""
+    rng = random.Random(8)
+    items, docs = [], []
+    for k in range(len(FORMS)):
+        text, used = problem(rng, FORMS[k])
+        items.append((k, text))
+        docs += [(100 * k + j, f"intro words {j}. {problem(rng, FORMS[k], used)[0]} and more text follows.") for j in range(25)]
+    clean = [(1_000 + j, f"{rng.choice(NAMES)} has {j} dogs and walks {j + 3} km with {rng.choice(NAMES)} before the rain begins to fall on the old town.") for j in range(50)]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hits = sum((d, d // 100) in found for d, _ in docs)
+    assert hits >= 0.9 * len(docs) and all(d < 1_000 and d // 100 == i for d, i in found), hits
+
+
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination_templates_equal_brute_force(spark, bound):
+    """Cut, joined and changed questions, most of the documents with one passage in common; by a broadcast and by a shuffled join."""
+    rng = random.Random(9)
+    items = [(k, problem(rng, FORMS[k % 4])[0]) for k in range(8)] + [(8, "3 km 4 km 5 km 6 km 7 km 8 km"), (9, "A car drives 60 km in 2 hours and then 90 km in 3 hours"), (10, "two words")]
+    docs = [(0, "two words"), (1, "")]
+    for k in range(2, 120):
+        w = " ".join(problem(rng, rng.choice(FORMS))[0] if rng.random() < 0.7 else rng.choice(items)[1] for _ in range(2)).split()
+        a = rng.randrange(len(w) // 2)
+        w = w[a : a + rng.randrange(9, 45)]
+        if rng.random() < 0.4:
+            w[rng.randrange(len(w))] = rng.choice(NAMES + ["7", "km", "12kg", "3,400", "\x02"])
+        docs.append((k, " ".join(w) + (". " + items[0][1] if k % 3 else "")))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), bound)
+    assert {(r.doc_id, r.item_id): r.n_windows for r in got.collect()} == brute_contaminated(docs, items)
+
+
 def test_decontamination_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the river bank"), (2, None)], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(odd, bench).collect()} == {1, 2}
