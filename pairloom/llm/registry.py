@@ -21,5 +21,6 @@ ORACLE: dict = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
 }

@@ -151,28 +151,85 @@ def test_quality_odd_rows(odd, none, spark):
         assert {round(r.score, 3) for r in quality.score(odd, quality.train(odd, some)).collect()} == {0.5 if some.count() == 0 else 1.0}
 
 
-def brute_rank(edges, seeds, rounds=url_filter.ROUNDS, damping=url_filter.DAMPING):
+def brute_rank(edges, seeds, rounds=400, damping=url_filter.DAMPING):
+    """Personalised PageRank by plain iteration until nothing moves; what cannot move on returns to the seeds."""
     out = {}
     for (a, _), w in edges.items():
         out[a] = out.get(a, 0) + w
     r = {s: 1 / len(seeds) for s in seeds}
     for _ in range(rounds):
-        new = {s: (1 - damping) / len(seeds) for s in seeds}
+        new = {}
         for (a, b), w in edges.items():
             if a in r:
                 new[b] = new.get(b, 0) + damping * w / out[a] * r[a]
+        back = (1 - sum(new.values())) / len(seeds)
+        for s in seeds:
+            new[s] = new.get(s, 0) + back
         r = new
     return r
 
 
+def scores_of(spark, edges, seeds, **options):
+    with common.Scratch(spark) as tmp:
+        df = tmp.written(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double"), "edges")
+        rows = url_filter.propagate(df, spark.createDataFrame(seeds, "host string, kind string"), tmp, **options).collect()
+    return {r.host: (r.trust, r.distrust) for r in rows}
+
+
 def test_propagation(spark):
-    edges = {("a", "b"): 2.0, ("a", "c"): 1.0, ("b", "c"): 1.0, ("c", "a"): 1.0, ("d", "e"): 1.0, ("e", "d"): 3.0, ("c", "d"): 0.5}
-    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double")
-    seeds = spark.createDataFrame([("a", "trust"), ("b", "trust"), ("e", "distrust")], "host string, kind string")
-    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(df, seeds).collect()}
+    edges = {("a", "b"): 2.0, ("a", "c"): 1.0, ("b", "c"): 1.0, ("c", "a"): 1.0, ("d", "e"): 1.0, ("e", "d"): 3.0, ("c", "d"): 0.5, ("b", "end"): 1.0}
+    got = scores_of(spark, edges, [("a", "trust"), ("b", "trust"), ("e", "distrust")], tolerance=1e-5, rounds=100)
     trust, distrust = brute_rank(edges, ["a", "b"]), brute_rank({(b, a): w for (a, b), w in edges.items()}, ["e"])
-    for h in "abcde":
-        assert got.get(h, (0, 0)) == pytest.approx((trust.get(h, 0), distrust.get(h, 0)))
+    for h in (*"abcde", "end"):
+        assert got.get(h, (0, 0)) == pytest.approx((trust.get(h, 0), distrust.get(h, 0)), abs=1e-4)
+    assert sum(x for x, _ in got.values()) == pytest.approx(1) and sum(x for _, x in got.values()) == pytest.approx(1)
+
+
+def test_propagation_through_a_hub(spark):
+    """One host has two thirds of the links, and dangling hosts hold most of the mass."""
+    edges = {("hub", f"h{k}"): 1.0 + k % 3 for k in range(200)} | {(f"h{k}", "hub"): 1.0 for k in range(0, 200, 2)}
+    got = scores_of(spark, edges, [("hub", "trust"), ("h7", "distrust"), ("h8", "distrust")])
+    trust, distrust = brute_rank(edges, ["hub"]), brute_rank({(b, a): w for (a, b), w in edges.items()}, ["h7", "h8"])
+    for h in ("hub", "h7", "h8", "h100", "h199"):
+        assert got.get(h, (0, 0)) == pytest.approx((trust.get(h, 0), distrust.get(h, 0)), abs=url_filter.TOLERANCE / (1 - url_filter.DAMPING))
+
+
+def brute_edges(pages):
+    """Edges of (host, html): links between different hosts, and both ways to the nearest known domain above."""
+    edges, hosts = {}, set()
+    for host, html in pages:
+        if not host:
+            continue
+        hosts.add(host)
+        for to in {h.lower() for h in re.findall(url_filter.LINK, html or "")} - {host, ""}:
+            edges[host, to] = edges.get((host, to), 0) + 1.0
+    hosts |= {b for _, b in edges}
+    for h in hosts:
+        up = h
+        while "." in up:
+            up = up.split(".", 1)[1]
+            if up in hosts:
+                for a, b in ((h, up), (up, h)):
+                    edges[a, b] = edges.get((a, b), 0) + url_filter.PARENT_WEIGHT
+                break
+    return edges
+
+
+def test_url_verdicts_equal_brute_force(spark, data):
+    """Hosts, rules, edges, scores and verdicts of all pages, with one domain above most hosts, by plain Python."""
+    pages = [(r.page_id, r.url, r.html) for r in common.read_table(spark, data, "pages").collect()]
+    pages += [(10_000 + k, f"http://s{k}.big.io/x", '<a href="http://big.io/">' if k % 3 else '<a href="http://evil.net/">') for k in range(60)] + [(20_000, "http://io/", ""), (20_001, "http://lone.xyz/", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    hosts = {p: (got[p].host, html) for p, _, html in pages}
+    edges = brute_edges(hosts.values())
+    seeds = {k: sorted({got[p].host for p, *_ in pages if got[p].rule and (got[p].verdict == "allow") == (k == "trust")}) for k in ("trust", "distrust")}
+    trust, distrust = brute_rank(edges, seeds["trust"]) if seeds["trust"] else {}, brute_rank({(b, a): w for (a, b), w in edges.items()}, seeds["distrust"])
+    for p, _, _ in pages:
+        r = got[p]
+        x, y = trust.get(r.host, 0), distrust.get(r.host, 0)
+        assert (r.trust, r.distrust) == pytest.approx((x, y), abs=0.01)
+        if r.rule is None and abs(x - y) > 0.01:
+            assert r.verdict == ("block" if y > x else "allow")
 
 
 PAGES = [
