@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE: dict = {
     "op2_pii": pii.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_license_scan": license_scan.OP4_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -155,25 +156,59 @@ def test_licence_phrases(spark, data):
         assert {label for _, label in hits} <= set(r.labels.split(",")) | {""} if hits else True
 
 
+def blocks_of(text, templates, threshold=license_scan.THRESHOLD):
+    """Every block of a text against every template, counted in full."""
+    words = lambda s: re.findall(r"[0-9a-z]+", s.lower())
+    w, out = words(text or ""), []
+    for label, template in templates.items():
+        own, size = set(words(template)), len(words(template))
+        for s in range(0, len(w) if size else 0, max(size, 1)):
+            block = set(w[s : s + 2 * size])
+            if len(own & block) >= threshold * len(own) - 1e-9:
+                out.append((label, s, round(len(own & block) / len(own), 9)))
+    return sorted(out)
+
+
+def found_blocks(spark, texts, templates):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [sorted((b.label, b.first_word, round(b.score, 9)) for b in r.blocks) for r in sorted(license_scan.scan(docs, ["doc_id"], templates).collect())]
+
+
 def test_licence_templates_equal_exhaustive_search(spark):
-    """Every block of every text against every template, counted in full."""
     t = license_scan.TEMPLATES
     filler = " ".join(f"filler{k}" for k in range(150))
     texts = [t["mit-text"], filler + " " + t["isc-text"] + " " + filler, t["bsd-text"].upper(), " ".join(t["gpl-text"].split()[:20]), t["apache-text"] + t["mit-text"], filler, "", None]
     texts += [" ".join(w for k, w in enumerate(t["mit-text"].split()) if k % m) for m in (3, 4, 5, 8)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: sorted((b.label, b.first_word, round(b.score, 9)) for b in r.blocks) for r in license_scan.scan(docs, ["doc_id"]).collect()}
-    words = lambda s: re.findall(r"[0-9a-z]+", s.lower())
-    for k, text in enumerate(texts):
-        w, want = words(text or ""), []
-        for s in range(0, len(w), license_scan.STRIDE):
-            block = set(w[s : s + license_scan.BLOCK])
-            for label, template in t.items():
-                own = set(words(template))
-                if len(own & block) >= license_scan.THRESHOLD * len(own) - 1e-9:
-                    want.append((label, s, round(len(own & block) / len(own), 9)))
-        assert got[k] == sorted(want), k
-    assert {x[0] for x in got[4]} == {"apache-text", "mit-text"}
+    got = found_blocks(spark, texts, t)
+    assert got == [blocks_of(x, t) for x in texts]
+    assert {x[0] for x in got[4]} == {"apache-text", "mit-text"} and got[0] and got[2] and not got[3]
+    assert found_blocks(spark, ["Licensed under CC BY-NC 4.0, as the fixture has it. " + filler], t) == [[]]
+
+
+def test_licence_templates_of_any_length(spark):
+    """Templates of up to 2,000 words lie whole in a block wherever they stand; none and empty ones meet nothing."""
+    rng = random.Random(2)
+    templates = {str(n): " ".join(f"t{n}x{rng.randrange(3 * n)}" for _ in range(n)) for n in (1, 5, 129, 257, 300, 2_000)} | {"empty": " ,"}
+    texts = [" ".join([*(f"a{k}" for k in range(offset)), templates[n], *(f"b{k}" for k in range(40))]) for n in templates if n != "empty" for offset in (0, 1, 77, 250, 1_999)]
+    got = found_blocks(spark, texts, templates)
+    assert got == [blocks_of(x, templates) for x in texts]
+    assert all(any(label == n and score == 1 for label, _, score in g) for g, n in zip(got, [n for n in templates if n != "empty" for _ in range(5)]))
+    assert found_blocks(spark, texts[:2], {}) == [[], []] and found_blocks(spark, texts[:2], {"empty": ""}) == [[], []]
+
+
+def test_positional_filter_prunes():
+    """A block whose first prefix word comes too late is left before its words are counted."""
+    own = [f"w{k}" for k in range(10)]
+    index = license_scan.Index({"t": " ".join(own)}, {int(license_scan._hashes(w).view(np.int64)[0]): k for k, w in enumerate(own)}, 0.8)
+    held = index.ranks(license_scan._hashes(" ".join(own[2:10])))
+    assert [x[3] for x in index.search(held)] == [0.8]
+    counted = []
+    real = np.isin
+    try:
+        np.isin = lambda *a, **k: counted.append(1) or real(*a, **k)
+        assert index.search(index.ranks(license_scan._hashes("w2 w2 w4 w5 w6 w7 w8 w9 other words"))) == [] and not counted
+    finally:
+        np.isin = real
 
 
 ITEM = "A train leaves Boston at 9 hours with 120 passengers and travels 300 miles before Alice counts the passengers again near the old bridge"
