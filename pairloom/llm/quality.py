@@ -6,7 +6,7 @@ itself, and of its words as far as they repeat (RUNS). Indicators are scaled by
 documents, and normalised to length one; a linear hinge-loss model is fitted to them by dual
 coordinate descent. A logistic curve, fitted on labelled rows that the model has not seen, turns margins into scores.
 
-Training takes at most TRAIN_ROWS labelled rows (those of the smallest digests of their doc_id), and only
+Training takes at most TRAIN_ROWS labelled doc_ids (those of the smallest digests), of each the row of the least n-gram set, and only
 labels and texts; the largest thing that reaches the driver is their n-gram sets, at most
 TRAIN_ROWS * DIMENSIONS numbers. Scoring is one pass without a shuffle.
 
@@ -19,6 +19,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,19 +164,26 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [g.astype(np.int32) for g in gram_sets(b.column("text"))]
-        yield pa.record_batch([b.column("quality"), pa.array(sets, pa.list_(pa.int32()))], names=["quality", "grams"])
+        yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "quality", "grams"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on labelled documents: docs (doc_id, text), labels (doc_id, quality); the rows of the smallest digests."""
-    own = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    """Fit on labelled documents: docs (doc_id, text), labels (doc_id, quality); the doc_ids of the smallest digests.
+
+    One row of each doc_id, that of the least n-gram set: at most `rows` sets reach the driver however often a doc_id repeats.
+    """
+    own = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select("doc_id", common.whole_text().alias("text")).join(common.written(own, "labels"), "doc_id")
-    got = picked.select("quality", "text").mapInArrow(_gram_rows, "quality int, grams array<int>").select("quality", "grams", F.xxhash64("grams").alias("h")).orderBy("h", "quality").drop("h").toArrow()
+    with common.Scratch(docs.sparkSession) as tmp:
+        picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text")).join(F.broadcast(tmp.written(own, "labels")), "doc_id")
+        sets = picked.select("doc_id", "quality", "text").mapInArrow(_gram_rows, "doc_id long, quality int, grams array<int>")
+        got = sets.groupBy("doc_id", "quality").agg(F.min("grams").alias("grams")).toArrow()
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy().astype(np.int64))))
     col = got["grams"].combine_chunks()
     flat, off = col.flatten().to_numpy(), np.r_[0, np.cumsum(col.value_lengths().to_numpy())].astype(np.int64)
     sets = [flat[off[k] : off[k + 1]] for k in range(len(col))]
-    return fit(sets, np.array(got["quality"].to_pylist(), np.int64))
+    order = sorted(range(len(sets)), key=lambda k: (zlib.crc32(sets[k].tobytes()), k))  # by content, not by doc_id
+    return fit([sets[k] for k in order], np.array(got["quality"].to_pylist(), np.int64)[order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

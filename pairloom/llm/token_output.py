@@ -8,10 +8,12 @@ of every frame, and its documents' ids.
 Layout under the output path (Parquet containers, so any store that Spark writes will do):
 
 * ``dictionary``: dict_sha256, id_width (bytes of an id, little-endian), dictionary
-* ``blocks``: shard, block, dict_sha256, n_ids, doc_ids[], offsets[], n_tokens[], payload
-* ``starts``: shard, block, block_start (number of ids before the block)
+* ``blocks/shard=k``: block, dict_sha256, n_ids, doc_ids[], offsets[], n_tokens[], payload
+* ``starts``: shard, block, block_start (number of ids before the block), min_doc, max_doc (the block's first and last doc_id, null for none)
 
-Defined results. Null text is empty: the document is the end id alone. Null doc_ids come first.
+fetch() finds the blocks of a few documents in ``starts`` and reads only the folders of their shards.
+
+Defined results. An id that id_width bytes cannot hold raises an error. Null text is empty: the document is the end id alone. Null doc_ids come first.
 Rows of equal doc_id are ordered by their number of ids, then by checksum. Extra columns are ignored.
 An empty table gives empty tables, with a dictionary of no bytes.
 """
@@ -33,16 +35,18 @@ from . import common, minhash
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Training sample of the dictionary: at most so many documents, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2_000, 4_096, 65_536
-#: A shard holds about so many documents; there are at most MAX_SHARDS, so that their bounds stay small.
-DOCS_PER_SHARD, MAX_SHARDS = 5_000, 10_000
+#: Training sample of the dictionary: whole texts of at most SAMPLE_BYTES, the SAMPLE_DOCS of the smallest digests of their doc_id.
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_192, 65_536
+#: A shard holds about so many documents. Shard bounds are taken from about SHARD_SAMPLE doc_ids a shard, at most
+#: MAX_BOUNDS of them in all; beyond MAX_BOUNDS / SHARD_SAMPLE shards, shards grow instead, and tasks sort them with spills.
+DOCS_PER_SHARD, SHARD_SAMPLE, MAX_BOUNDS = 5_000, 32, 4_000_000
 #: A block is closed beyond either.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4_096
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 1_500_000
 ENCODED = "shard int, doc_id long, n_tokens int, crc long, frame binary"
 BLOCKS = "shard int, block int, dict_sha256 string, n_ids long, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<int>, payload binary"
+STARTS = "shard int, block int, block_start long, min_doc long, max_doc long"
 READ = "shard int, block int, doc_id long, n_tokens long, ids_crc32 long, in_block long"
 
 #: Byte classes: 0 white space, 1 ASCII letters, 2 digits and punctuation that no rule of the
@@ -170,20 +174,41 @@ def _id_arrays(path: str, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded sample; empty where there is too little to train on."""
-    n = docs.count()
-    step = max(1, n // (2 * SAMPLE_DOCS))
-    rows = docs.where((F.xxhash64("doc_id") % step == 0) & (F.length("text") > 0)).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
-    texts = [r.text for r in rows]
+    step = max(1, docs.count() // (4 * SAMPLE_DOCS))
+    h = F.xxhash64("doc_id")
+    some = docs.where((F.pmod(h, F.lit(step)) == 0) & F.octet_length("text").between(1, SAMPLE_BYTES))
+    texts = [r.text for r in some.select("text").orderBy(h, "text").limit(SAMPLE_DOCS).collect()]
     if not texts:
         return b""
     batch = pa.record_batch({"text": pa.array(texts, pa.string())})
-    samples = [a.astype(f"<u{width}").tobytes() for _, arrays in _id_arrays(tokenizer_path, batch, end_id) for a in arrays]
+    samples = [_packed(a, width) for _, arrays in _id_arrays(tokenizer_path, batch, end_id) for a in arrays]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
+def _packed(ids: np.ndarray, width: int) -> bytes:
+    """The ids in width bytes each, little-endian."""
+    if len(ids) and int(ids.max()) >= 1 << (8 * width):
+        raise ValueError(f"id {int(ids.max())} does not fit into {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
+def shard_bounds(ids: DataFrame) -> np.ndarray:
+    """Ascending doc_ids that cut ids (doc_id, no nulls) into shards of about DOCS_PER_SHARD rows: quantiles of a sample by digest.
+
+    Shards are known by ranges of doc_id, so repeated doc_ids stay together.
+    """
+    n = ids.count()
+    shards = max(1, min(n // DOCS_PER_SHARD, MAX_BOUNDS // SHARD_SAMPLE))
+    if shards == 1:
+        return np.zeros(0, np.int64)
+    step = max(1, n // (shards * SHARD_SAMPLE))
+    held = np.sort(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).toArrow()["doc_id"].to_numpy())
+    return np.unique(held[np.arange(1, shards) * len(held) // shards]) if len(held) else np.zeros(0, np.int64)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_width: int = 2, level: int = 3) -> None:
     """Encode docs (doc_id, text), append end_id to each, and write the layout above under path.
 
@@ -194,9 +219,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id, id_width)
     sha = hashlib.sha256(dictionary).hexdigest()
-    ids = docs.select("doc_id").where("doc_id is not null")
-    shards = min(MAX_SHARDS, max(1, ids.count() // DOCS_PER_SHARD))
-    bounds = np.array(sorted(set(ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else [], np.int64)
+    bounds = shard_bounds(docs.select("doc_id").where("doc_id is not null"))
+    shards = len(bounds) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -207,7 +231,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 yield pa.record_batch([
                     pa.array(at), doc, pa.array([len(a) for a in arrays], pa.int32()),
                     pa.array([zlib.crc32(a.astype("<u4")) for a in arrays], pa.int64()),
-                    pa.array([packer.compress(a.astype(f"<u{id_width}").tobytes()) for a in arrays], pa.binary()),
+                    pa.array([packer.compress(_packed(a, id_width)) for a in arrays], pa.binary()),
                 ], names=["shard", "doc_id", "n_tokens", "crc", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,17 +259,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark.createDataFrame([(sha, id_width, bytearray(dictionary))], "dict_sha256 string, id_width int, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     encoded = docs.mapInArrow(encode, ENCODED).repartitionById(shards, F.col("shard"))
     blocks = encoded.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "crc").select("shard", "doc_id", "n_tokens", "frame").mapInArrow(pack, BLOCKS)
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
-    block_starts(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")).coalesce(1).write.parquet(f"{path}/starts")
+    blocks.write.partitionBy("shard").option("compression", "none").parquet(f"{path}/blocks")
+    block_starts(_blocks(spark, path)).coalesce(1).write.parquet(f"{path}/starts")
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select(*(f.split()[0] for f in BLOCKS.split(", ")))
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
-    """Ids before each block: a running sum within shards, and one over the sums of at most MAX_SHARDS shards."""
-    sizes = blocks.select("shard", "block", "n_ids")
+    """Ids before each block: a running sum within shards, and one over the sums of the shards, at most MAX_BOUNDS / SHARD_SAMPLE; and the block's first and last doc_id."""
+    sizes = blocks.select("shard", "block", "n_ids", F.array_min("doc_ids").alias("min_doc"), F.array_max("doc_ids").alias("max_doc"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     base = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return sizes.withColumn("own", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(base, "shard").select("shard", "block", (F.col("base") + F.col("own")).alias("block_start"))
+    return sizes.withColumn("own", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(base, "shard").select("shard", "block", (F.col("base") + F.col("own")).alias("block_start"), "min_doc", "max_doc")
 
 
 def _opener(spark: SparkSession, path: str):
@@ -284,14 +312,24 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([zlib.crc32(a.astype("<u4")) for a in arrays], pa.int64()), pa.array(np.cumsum(sizes) - sizes),
                 ], names=["shard", "block", "doc_id", "n_tokens", "ids_crc32", "in_block"])
 
-    starts = spark.read.schema("shard int, block int, block_start long").parquet(f"{path}/starts")
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(decode, READ).join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+    starts = spark.read.schema(STARTS).parquet(f"{path}/starts")
+    return _blocks(spark, path).mapInArrow(decode, READ).join(starts.select("shard", "block", "block_start"), ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The ids of a few documents: only the blocks that hold them are read, only their frames decompressed."""
+def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, ids of a few documents: all rows of these doc_ids (null too), none for ids that were not written.
+
+    The index names the blocks that may hold them; only the files of those blocks' shards are opened, and
+    only the wanted frames decompressed. An id asked for twice counts once.
+    """
     opener, wanted = _opener(spark, path), set(doc_ids)
+    ids = sorted(d for d in wanted if d is not None)
+    starts = spark.read.schema(STARTS).parquet(f"{path}/starts")
+    asked = spark.createDataFrame([(int(d),) for d in ids], "doc_id long")
+    may = starts.join(F.broadcast(asked), F.col("doc_id").between(F.col("min_doc"), F.col("max_doc")), "left_semi").select("shard", "block")
+    if None in wanted:  # they lie in front
+        may = may.unionByName(starts.where("shard = 0").select("shard", "block"))
+    shards = sorted({r.shard for r in may.select("shard").distinct().collect()})
 
     def pick(batches):
         unpacker = _unpacker(opener)
@@ -300,14 +338,14 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 got = [(d, _unpack(row, k, opener, unpacker).tolist()) for k, d in enumerate(row["doc_ids"]) if d in wanted]
                 yield pa.record_batch([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(d)) for d in doc_ids]))).mapInArrow(pick, "doc_id long, ids array<bigint>")
+    held = _blocks(spark, path).where(F.col("shard").isin(shards)).join(F.broadcast(may.distinct()), ["shard", "block"], "left_semi")
+    return held.mapInArrow(pick, "doc_id long, ids array<bigint>")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: write all documents as token ids, then read the files back."""
     import public_tokenizers
 
-    path = common.table_path(spark, "tokens")
+    path = common.table_path(spark, "tokens")  # the files are the output, and the result reads them
     write_tokens(common.read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
     return read_tokens(spark, path)

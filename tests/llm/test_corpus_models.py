@@ -1,6 +1,7 @@
 """Token output, mixing, quality, url verdicts and the pipeline."""
 
 import math
+import pathlib
 import re
 import zlib
 
@@ -66,6 +67,32 @@ def test_many_shards(spark, data, monkeypatch):
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
 
 
+def test_fetch_reads_only_the_shards_of_its_documents(spark, odd, monkeypatch):
+    """All other shards are destroyed on disk; absent, repeated and null ids are defined."""
+    monkeypatch.setattr(token_output, "DOCS_PER_SHARD", 20)
+    monkeypatch.setattr(token_output, "BLOCK_DOCS", 7)
+    docs = spark.createDataFrame([(k, f"text number {k} " * (k % 9)) for k in range(400)] + [(None, "nameless"), (17, "another seventeen")], "doc_id long, text string")
+    path, got = round_trip(spark, docs)
+    assert got.count() == 402
+    folder = pathlib.Path(path.removeprefix("file:"))
+    shards = sorted(x for x in (folder / "blocks").iterdir() if x.is_dir())
+    assert len(shards) > 10
+    own = {r.shard for r in spark.read.parquet(path + "/starts").where("17 between min_doc and max_doc or 350 between min_doc and max_doc or shard = 0").collect()}
+    for x in shards:
+        if int(x.name.split("=")[1]) not in own:
+            for f in x.glob("*.parquet"):
+                f.write_bytes(b"destroyed")
+    rows = token_output.fetch(spark, path, [350, 17, 17, None, 10**9]).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in rows) == sorted([("350", expected_ids("text number 350 " * 8)), ("17", expected_ids("text number 17 " * 8)), ("17", expected_ids("another seventeen")), ("None", expected_ids("nameless"))])
+    assert token_output.fetch(spark, path, []).count() == 0
+
+
+def test_ids_must_fit(spark):
+    docs = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        token_output.write_tokens(docs, common.table_path(spark, "test"), PATH, id_width=1)
+
+
 def brute_targets(sizes, weights, share=1.5, limit=2):
     out, open_, left = {}, set(range(len(sizes))), share * sum(sizes)
     while True:
@@ -293,6 +320,10 @@ def test_quality_trains_on_whole_gram_sets(spark, monkeypatch):
     text = "".join(kinds[np.random.default_rng(3).integers(0, len(kinds), 40_000)]) + " again again again"
     seen = []
     monkeypatch.setattr(quality, "fit", lambda sets, labels: seen.extend(sets))
+    twice = spark.createDataFrame([(1, "b" * k) for k in range(50)], "doc_id long, text string")
+    quality.train(twice, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert len(seen) == 1  # one row of a doc_id, however often it repeats
+    seen.clear()
     quality.train(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     whole = quality.gram_sets(pa.array([text]))[0]
     assert len(whole) > 3_000 and np.array_equal(seen[0], whole)
