@@ -72,13 +72,13 @@ def keyed(docs: DataFrame, weight: Column | None = None, seed: str = "mix") -> D
     return rows.withColumn("__mix_bucket", F.least(F.floor((1 - F.exp(-F.col("__mix_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
 
 
-def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+def plan(rows: DataFrame, tmp: common.Scratch, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """Of keyed rows (doc_id, source, mix_*) the plan: source, source_size, target, epochs, cut_bucket, cut_key, cut_doc.
 
     Sources are in code point order, null last; weights repeat over them.
     """
     spark = rows.sparkSession
-    sums = common.written(rows.groupBy("source", "__mix_bucket").agg(F.sum("__mix_size").alias("n")), "ranges")
+    sums = tmp.written(rows.groupBy("source", "__mix_bucket").agg(F.sum("__mix_size").alias("n")), "ranges")
     sizes = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     total = [r.n for r in sizes]
     goal = targets(total, [weights[k % len(weights)] for k in range(len(total))]) if total else []
@@ -90,7 +90,7 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     before = W.partitionBy("source").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     met = ranges.join(goals, same(ranges, goals)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))).select(goals["source"].alias("s"), F.col("__mix_bucket").alias("b"), "before", "rest")
-    met = common.written(met, "met")
+    met = tmp.written(met, "met")
     edge = rows.select("source", "__mix_bucket", "__mix_key", "doc_id", "__mix_size").join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("__mix_bucket") == F.col("b")))
     edge = edge.groupBy("source", "b", "before", "rest", "__mix_key", "doc_id").agg(F.sum("__mix_size").alias("n"))
     own = W.partitionBy("source").orderBy("__mix_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
@@ -117,8 +117,10 @@ def apply_plan(rows: DataFrame, made: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, weight: Column | None = None) -> DataFrame:
     """docs (doc_id, text, source, ...) as the mix takes them: each row as often as it is taken, same columns."""
     names = docs.columns
-    keys = common.written(keyed(docs, weight).select("doc_id", "source", "__mix_size", "__mix_key", "__mix_bucket"), "keys")
-    got = apply_plan(keyed(docs, weight), plan(keys, weights))
+    with common.Scratch(docs.sparkSession) as tmp:
+        keys = tmp.written(keyed(docs, weight).select("doc_id", "source", "__mix_size", "__mix_key", "__mix_bucket"), "keys")
+        made = plan(keys, tmp, weights)
+    got = apply_plan(keyed(docs, weight), made)
     return got.where("__mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).drop("__mix_copy")
 
 
@@ -126,7 +128,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: how the mix takes each of all documents."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     keys = common.written(keyed(docs).select("doc_id", "source", "__mix_size", "__mix_key", "__mix_bucket"), "keys")
-    got = apply_plan(keys, plan(keys))
+    with common.Scratch(spark) as tmp:
+        got = apply_plan(keys, plan(keys, tmp))
     return got.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"))
 
 

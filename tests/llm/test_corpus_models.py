@@ -133,7 +133,8 @@ def test_mix_follows_key_order(spark):
     """Selected documents are a prefix by key within each source; copies are whole epochs first."""
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "ab"[k % 5 == 0]) for k in range(400)], "doc_id long, text string, source string")
     keyed = mixing.keyed(docs)
-    got = mixing.apply_plan(keyed, mixing.plan(keyed)).orderBy("source", "__mix_key").collect()
+    with common.Scratch(spark) as tmp:
+        got = mixing.apply_plan(keyed, mixing.plan(keyed, tmp)).orderBy("source", "__mix_key").collect()
     for s in "ab":
         copies = [r["__mix_copies"] for r in got if r.source == s]
         assert copies == sorted(copies, reverse=True) and max(copies) - min(copies) <= 1
@@ -329,6 +330,25 @@ def test_quality_trains_on_whole_gram_sets(spark, monkeypatch):
     assert len(whole) > 3_000 and np.array_equal(seen[0], whole)
 
 
+def test_mixing_stage_prefers_quality(spark):
+    """Of a source that is taken in part, what is taken scores better than what is not; whole epochs come first."""
+    d = "/root/testdata/sf0.01"
+    docs = common.read_table(spark, d, "documents")
+    out = corpus_pipeline.mixing_stage(spark, docs, d)
+    assert out.columns == docs.columns
+    model = quality.train(docs, common.read_table(spark, d, "labels").where(~quality.held_out()))
+    taken = out.groupBy("doc_id").agg(mixing.F.count("*").alias("copies"))
+    rows = quality.score(docs, model).join(taken, "doc_id", "left").select("source", "score", mixing.F.coalesce("copies", mixing.F.lit(0)).alias("copies")).collect()
+    gaps = []
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        low = min(r.copies for r in own)
+        more, less = ([r.score for r in own if (r.copies > low) == x] for x in (True, False))
+        if min(len(more), len(less)) >= 20:
+            gaps.append(np.mean(more) - np.mean(less))
+    assert gaps and np.mean(gaps) > 0.05
+
+
 def test_decontamination_stage_judges_rows(spark):
     """A copy without a doc_id goes; a clean row that shares its doc_id with a copy stays."""
     d = "/root/testdata/sf0.001"
