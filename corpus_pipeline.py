@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pairloom.llm import common, decontam, minhash, mixing, quality, token_output
 
 
+def _quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The model of the labelled rows of documents that are not held out; every call fits the same."""
+    labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.train(common.read_table(spark, sf_dir, "documents"), labels.where(~quality.held_out()))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs, labels.where(~quality.held_out()))
-    return quality.score(docs, model, name="__pairloom_score").where(f"__pairloom_score >= {quality.THRESHOLD}").select(*docs.columns)
+    return quality.score(docs, _quality_model(spark, sf_dir), name="__pairloom_score").where(f"__pairloom_score >= {quality.THRESHOLD}").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +31,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    # rows go by their own tag: a null doc_id hides nothing, and a clean row stays whatever shares its doc_id
-    found = decontam.contaminated(docs.select(minhash.tag_of().alias("doc_id"), "text"), common.read_table(spark, sf_dir, "benchmark"))
-    leaks = common.written(found.select(F.col("doc_id").alias("__pairloom_tag")).distinct(), "leaks")
-    return docs.withColumn("__pairloom_tag", minhash.tag_of()).join(leaks, "__pairloom_tag", "left_anti").select(*docs.columns)
+    # rows go by their own number: a null doc_id hides nothing, and a clean row stays whatever shares its doc_id
+    rows = common.numbered(docs)
+    leaks = decontam.contaminated(rows.select(F.col("__pairloom_rid").alias("doc_id"), "text"), common.read_table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("__pairloom_rid")).distinct(), "__pairloom_rid", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
-    return mixing.mix(docs)
+    """Documents as often as the mix of their sources takes them; the classifier's score is a document's weight."""
+    scored = common.written(quality.score(docs, _quality_model(spark, sf_dir), name="__pairloom_weight"), "scored")
+    return mixing.mix(scored, weight=F.greatest("__pairloom_weight", F.lit(1e-6))).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
+    """Apply all stages to documents; what a stage wrote is deleted once the last has read it."""
     docs = common.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.Scratch(spark) as tmp:
+        for name, stage in STAGES[:-1]:
+            docs = tmp.written(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
