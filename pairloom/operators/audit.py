@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..sources.io import written
+from ..sources.shared import Scratch, written
 from .evaluate import f05
 
 

@@ -150,7 +150,8 @@ def tfidf_postings(spark, d):
 @query(f"""WITH f AS ({leg_sql("q", 10)}), r AS ({leg_sql("c", 3)})
 SELECT coalesce(f.q, r.q) AS s1, coalesce(f.c, r.c) AS cand, f.sim AS sim_f, f.rk AS rk_f, r.sim AS sim_r, r.rk AS rk_r FROM f FULL JOIN r ON f.q = r.q AND f.c = r.c""")
 def merge_legs(spark, d):
-    return B.merge_legs({"f": tfidf_topk_forward(spark, d), "r": tfidf_topk_reverse(spark, d)})
+    legs = B.sparse_legs(bench_rows(spark, d), doc_rows(spark, d), {"f": ("q", 10), "r": ("c", 3)}, max_df=0.5)
+    return B.merge_legs({name: _long(leg) for name, leg in legs.items()})
 
 
 @query(f"""WITH f AS ({leg_sql("q", 10)}), r AS ({leg_sql("c", 3)}), m AS (SELECT coalesce(f.q, r.q) AS s1, coalesce(f.c, r.c) AS cand, f.sim AS sim_f, r.sim AS sim_r FROM f FULL JOIN r ON f.q = r.q AND f.c = r.c),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import itertools
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -119,18 +117,6 @@ def split_by_ids(pairs: DataFrame, subsets: dict[str, DataFrame], column: str =
     return {name: restricted(pairs, ids, column) for name, ids in subsets.items()}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under a fresh path of the shared folder (spark.checkpoint.dir, or one of our own where it is unset) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/pairloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path, built and written first unless an earlier run finished writing it (its commit marker is there)."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
