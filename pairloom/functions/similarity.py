@@ -5,6 +5,9 @@ An undefined similarity (a ratio over an empty set) is null, never NaN. Token se
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,53 +84,113 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _codes(texts: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points of texts of at most width characters, one column for each place, filled up with pad."""
+    raw = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le")
+    out = np.frombuffer(raw, np.uint32).reshape(len(texts), width).copy()
+    out[np.arange(width) >= np.array([len(t) for t in texts])[:, None]] = pad
+    return out.T
+
+
+def _lcs_batch(xs: list[str], ys: list[str]) -> np.ndarray:
+    """_lcs of many pairs at once: the same bits, of all pairs whose shorter text has up to 63 characters, in one column."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(xs, ys)]
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted((len(x), len(y), k) for k, (x, y) in enumerate(pairs) if x)
+    for lx, _, k in order:
+        if lx > 63:
+            out[k] = _lcs(*pairs[k])
+    short = [k for lx, _, k in order if lx <= 63]
+    for s in range(0, len(short), 2_048):  # pairs of like lengths
+        part = short[s : s + 2_048]
+        a, b = [pairs[k][0] for k in part], [pairs[k][1] for k in part]
+        ca, cb = _codes(a, max(map(len, a)), 0xFFFFFFFF), _codes(b, max(map(len, b)), 0xFFFFFFFE)
+        bits, row = np.uint64(1) << np.arange(len(ca), dtype=np.uint64), np.full(len(part), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for c in cb:
+            hit = row & ((ca == c) * bits[:, None]).sum(axis=0, dtype=np.uint64)
+            row = (row + hit) | (row - hit)
+        size = np.array([len(x) for x in a])
+        out[part] = size - np.bitwise_count(row & ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)))
+    return out
+
+
 def _ratio(a: str, b: str) -> float:
     total = len(a) + len(b)
     return 100.0 if not total else 200.0 * _lcs(a, b) / total
 
 
+def _ratios(xs: list[str], ys: list[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(xs, ys)], np.int64)
+    return np.where(total == 0, 100.0, 200.0 * _lcs_batch(xs, ys) / np.maximum(total, 1))
+
+
 def _partial(a: str, b: str) -> float:
-    """Best ratio of the shorter string with any window of its length, or shorter ones at the ends."""
+    """Best ratio of the shorter string with any window of its length, or shorter ones at the ends.
+
+    Windows are tried by the characters that they share with the string at all, and only while those allow a better ratio.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
+    if a in b:
+        return 100.0
+    n, need, held, shared, bounds = len(a), Counter(a), Counter(), 0, []
     for s in range(1 - n, len(b)):
-        best = max(best, _ratio(a, b[max(0, s) : s + n]))
-        if best == 100.0:
+        if s + n <= len(b):  # a character enters
+            c = b[s + n - 1]
+            held[c] += 1
+            shared += held[c] <= need[c]
+        if s > 0:  # and one leaves
+            c = b[s - 1]
+            shared -= held[c] <= need[c]
+            held[c] -= 1
+        bounds.append((-200.0 * shared / (n + min(len(b), s + n) - max(0, s)), s))
+    best = 0.0
+    for bound, s in sorted(bounds):
+        if -bound <= best:
             break
+        best = max(best, _ratio(a, b[max(0, s) : s + n]))
     return best
 
 
-def _token_sort(a: str, b: str) -> float:
-    return _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def _each(one):
+    return lambda xs, ys: np.array([one(x, y) for x, y in zip(xs, ys)], np.float64)
 
 
-def _token_set(a: str, b: str) -> float:
-    """Of the shared words, and of each side's words after them, the best ratio; a side without words gives 0."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    if both and (x <= y or y <= x):
-        return 100.0
-    left, right = (f"{both} {' '.join(sorted(d))}".strip() for d in (x - y, y - x))
-    return max([_ratio(left, right)] + ([_ratio(both, left), _ratio(both, right)] if both else []))
+def _token_sorts(xs: list[str], ys: list[str]) -> np.ndarray:
+    return _ratios(*([" ".join(sorted(t.split())) for t in side] for side in (xs, ys)))
 
 
-def _weighted(a: str, b: str) -> float:
+def _token_sets(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Of the shared words, and of each side's words after them, the best ratio; a side without words gives 0."""
+    sets = [(set(x.split()), set(y.split())) for x, y in zip(xs, ys)]
+    both = [" ".join(sorted(x & y)) for x, y in sets]
+    left = [f"{c} {' '.join(sorted(x - y))}".strip() for c, (x, y) in zip(both, sets)]
+    right = [f"{c} {' '.join(sorted(y - x))}".strip() for c, (x, y) in zip(both, sets)]
+    common = np.array([bool(c) for c in both], bool)
+    best = np.maximum(_ratios(left, right), np.where(common, np.maximum(_ratios(both, left), _ratios(both, right)), 0.0))
+    within = np.array([bool(x & y) and (x <= y or y <= x) for x, y in sets], bool)
+    empty = np.array([not x or not y for x, y in sets], bool)
+    return np.where(empty, 0.0, np.where(within, 100.0, best))
+
+
+def _weighted(xs: list[str], ys: list[str]) -> np.ndarray:
     """Ratio or discounted token ratio; where one string is much longer, discounted partial ratios instead."""
-    if not a or not b:
-        return 0.0
-    shape = max(len(a), len(b)) / min(len(a), len(b))
-    whole = _ratio(a, b)
-    if shape < 1.5:
-        return max(whole, 0.95 * max(_token_sort(a, b), _token_set(a, b)))
-    scale = 0.9 if shape <= 8 else 0.6
-    sorted_a, sorted_b = (" ".join(sorted(s.split())) for s in (a, b))
-    shared = 100.0 if set(a.split()) & set(b.split()) else _partial(sorted_a, sorted_b)
-    return max(whole, scale * _partial(a, b), 0.95 * scale * max(_partial(sorted_a, sorted_b), shared))
+    whole, best = _ratios(xs, ys), 0.95 * np.maximum(_token_sorts(xs, ys), _token_sets(xs, ys))
+    out = np.maximum(whole, best)
+    for k, (a, b) in enumerate(zip(xs, ys)):
+        if not a or not b:
+            out[k] = 0.0
+            continue
+        shape = max(len(a), len(b)) / min(len(a), len(b))
+        if shape >= 1.5:
+            scale = 0.9 if shape <= 8 else 0.6
+            sorted_a, sorted_b = (" ".join(sorted(t.split())) for t in (a, b))
+            tokens = _partial(sorted_a, sorted_b)
+            shared = 100.0 if set(a.split()) & set(b.split()) else tokens
+            out[k] = max(whole[k], scale * _partial(a, b), 0.95 * scale * max(tokens, shared))
+    return out
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -156,24 +219,30 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-SCORERS = {"ratio": _ratio, "partial_ratio": _partial, "token_sort_ratio": _token_sort, "token_set_ratio": _token_set, "weighted_ratio": _weighted, "jaro_winkler": _jaro_winkler}
+#: Scorers of many pairs at once: lists of strings to an array.
+SCORERS = {"ratio": _ratios, "partial_ratio": _each(_partial), "token_sort_ratio": _token_sorts, "token_set_ratio": _token_sets, "weighted_ratio": _weighted, "jaro_winkler": _each(_jaro_winkler)}
+
+
+def scored_all(scores: dict[str, tuple[str, Column, Column]]) -> Column:
+    """A struct of several of SCORERS, each over its own two string columns, by one pass of Arrow batches to Python.
+
+    Equal pairs of a batch are computed once; a score is null where either string is.
+    """
+    names, kinds = list(scores), [kind for kind, _, _ in scores.values()]
+
+    def one(kind: str, x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = list(zip(x.to_pylist(), y.to_pylist()))
+        fresh = list(dict.fromkeys(p for p in pairs if None not in p))
+        got = dict(zip(fresh, SCORERS[kind]([a for a, _ in fresh], [b for _, b in fresh]).tolist())) if fresh else {}
+        return pa.array([got.get(p) for p in pairs], pa.float64())
+
+    @F.arrow_udf(", ".join(f"`{name}` double" for name in names))
+    def of(*columns: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([one(kind, columns[2 * k], columns[2 * k + 1]) for k, kind in enumerate(kinds)], names=names)
+
+    return of(*(c for _, a, b in scores.values() for c in (a, b)))
 
 
 def scored(kind: str, a: Column, b: Column) -> Column:
-    """One of SCORERS over two string columns, in Arrow batches; equal pairs of a batch are computed once; null if either is."""
-    score = SCORERS[kind]
-
-    @F.arrow_udf("double")
-    def of(x: pa.Array, y: pa.Array) -> pa.Array:
-        seen: dict = {}
-        out = []
-        for pair in zip(x.to_pylist(), y.to_pylist()):
-            if None in pair:
-                out.append(None)
-                continue
-            if pair not in seen:
-                seen[pair] = score(*pair)
-            out.append(seen[pair])
-        return pa.array(out, pa.float64())
-
-    return of(a, b)
+    """One of SCORERS."""
+    return scored_all({"score": (kind, a, b)})["score"]

@@ -8,25 +8,47 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 
 
+#: Scores of edit distances: scorer and column of both sides. They are computed together, in one pass to Python.
+EDITS = {
+    "n_ratio": ("ratio", "name_core"),
+    "n_partial": ("partial_ratio", "name_core"),
+    "n_tsort": ("token_sort_ratio", "name_core"),
+    "n_tset": ("token_set_ratio", "name_core"),
+    "n_wratio": ("weighted_ratio", "name_clean"),
+    "n_concat_jw": ("jaro_winkler", "name_concat"),
+    "n_concat_partial": ("partial_ratio", "name_concat"),
+    "a_ratio": ("ratio", "addr_clean"),
+    "a_tset": ("token_set_ratio", "addr_clean"),
+    "a_tsort": ("token_sort_ratio", "addr_clean"),
+    "a_partial": ("partial_ratio", "addr_clean"),
+    "st_jw": ("jaro_winkler", "street"),
+    "st_tset": ("token_set_ratio", "street"),
+    "city_tset": ("token_set_ratio", "city"),
+    "city_partial": ("partial_ratio", "city"),
+}
+
+
 def pair_features(rows: DataFrame, keys: tuple[str, ...] = ("s1", "cand")) -> DataFrame:
     """The forty pair features. rows: keys, and for each side name_clean, name_core, name_sorted, name_concat,
     legal, is_domain, addr_clean, addr_nums, house, street, city, state, postcode."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    on = lambda kind, c: S.scored(kind, a(c), b(c))
+    edits = S.scored_all({name: (kind, a(x), b(x)) for name, (kind, x) in EDITS.items()} | {"x_name_in_addr": ("partial_ratio", b("name_core"), a("addr_clean"))})
+    rows = rows.withColumn("__edits", edits)
+    on = lambda name: F.col(f"__edits.{name}")
     out = {
-        "n_ratio": on("ratio", "name_core"), "n_partial": on("partial_ratio", "name_core"), "n_tsort": on("token_sort_ratio", "name_core"),
-        "n_tset": on("token_set_ratio", "name_core"), "n_wratio": on("weighted_ratio", "name_clean"), "n_concat_jw": on("jaro_winkler", "name_concat"),
-        "n_concat_lev": S.levenshtein_similarity(a("name_concat"), b("name_concat")), "n_concat_partial": on("partial_ratio", "name_concat"),
+        "n_ratio": on("n_ratio"), "n_partial": on("n_partial"), "n_tsort": on("n_tsort"),
+        "n_tset": on("n_tset"), "n_wratio": on("n_wratio"), "n_concat_jw": on("n_concat_jw"),
+        "n_concat_lev": S.levenshtein_similarity(a("name_concat"), b("name_concat")), "n_concat_partial": on("n_concat_partial"),
         "n_jacc": S.jaccard(a("name_core"), b("name_core")), "n_cont_ab": S.containment(a("name_core"), b("name_core")), "n_cont_ba": S.containment(b("name_core"), a("name_core")),
         "n_len_a": F.length(a("name_core")), "n_len_b": F.length(b("name_core")), "n_ntok_diff": S.token_count_difference(a("name_core"), b("name_core")),
         "n_first_eq": S.first_equal(a("name_core"), b("name_core")), "n_sorted_eq": (a("name_sorted") == b("name_sorted")).cast("int"), "legal_state": S.legal_state(a("legal"), b("legal")),
-        "a_ratio": on("ratio", "addr_clean"), "a_tset": on("token_set_ratio", "addr_clean"), "a_tsort": on("token_sort_ratio", "addr_clean"), "a_partial": on("partial_ratio", "addr_clean"),
+        "a_ratio": on("a_ratio"), "a_tset": on("a_tset"), "a_tsort": on("a_tsort"), "a_partial": on("a_partial"),
         "a_jacc": S.jaccard(a("addr_clean"), b("addr_clean")), "a_cont_ba": S.containment(b("addr_clean"), a("addr_clean")), "a_len_b": F.length(b("addr_clean")),
         "num_jacc": S.jaccard(a("addr_nums"), b("addr_nums")), "num_cont_ba": S.containment(b("addr_nums"), a("addr_nums")),
         **S.house_features(a("house"), b("house"), b("addr_nums")),
-        "st_jw": on("jaro_winkler", "street"), "st_tset": on("token_set_ratio", "street"), "st_empty": S.empty_state(a("street"), b("street")),
-        "city_tset": on("token_set_ratio", "city"), "city_partial": on("partial_ratio", "city"), "state_state": S.presence_state(a("state"), b("state")),
-        "pin_state": S.presence_state(a("postcode"), b("postcode")), "x_name_in_addr": S.scored("partial_ratio", b("name_core"), a("addr_clean")), "is_domain_b": b("is_domain"),
+        "st_jw": on("st_jw"), "st_tset": on("st_tset"), "st_empty": S.empty_state(a("street"), b("street")),
+        "city_tset": on("city_tset"), "city_partial": on("city_partial"), "state_state": S.presence_state(a("state"), b("state")),
+        "pin_state": S.presence_state(a("postcode"), b("postcode")), "x_name_in_addr": on("x_name_in_addr"), "is_domain_b": b("is_domain"),
     }
     return rows.select(*keys, *[c.alias(n) for n, c in out.items()])
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import audit as A
@@ -488,36 +489,193 @@ def jaro_winkler(spark, d):
     return name_pairs(spark, d).select("a", "b", F.round(S.scored("jaro_winkler", F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-@query()
-def string_ratios(spark, d):
-    """Indel ratios; SQL has none, tests compare with dynamic programming."""
-    kinds = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
-    return name_pairs(spark, d).select("a", "b", *[F.round(S.scored(k, F.col("a"), F.col("b")), 6).alias(k) for k in kinds])
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence: one bit for each character of a (at most 120), one step for each of b."""
+    mask = f"CAST(list_sum(list_transform(range(0, length({a})), lambda k: CASE WHEN substr({a}, k + 1, 1) = c THEN (1::HUGEINT << k) ELSE 0::HUGEINT END)) AS HUGEINT)"
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count(list_reduce(string_split({b}, ''), lambda v, c: (((v + (v & {mask})) | (v - (v & {mask}))) & {full}), {full})) END"
 
 
-@query()
+def ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * ({lcs_sql(a, b)}) / (length({a}) + length({b})) END"
+
+
+def partial_sql(a: str, b: str) -> str:
+    """Every window of the longer string."""
+    windows = f"list_max(list_transform(list_distinct(list_transform(range(1 - length({{0}}), length({{1}})), lambda s: substr({{1}}, CAST(greatest(s, 0) + 1 AS BIGINT), CAST(s + length({{0}}) - greatest(s, 0) AS BIGINT)))), lambda w: {ratio_sql('{0}', 'w')}))"
+    best = lambda x, y: f"CASE WHEN {x} = '' THEN CASE WHEN {y} = '' THEN 100.0 ELSE 0.0 END ELSE {windows.format(x, y)} END"
+    return f"CASE WHEN length({a}) <= length({b}) THEN {best(a, b)} ELSE {best(b, a)} END"
+
+
+def _toks(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+def edits_sql(source: str, key: str, columns: dict[str, tuple[str, str, str]]) -> str:
+    """A SELECT of key and rounded scores: name -> (scorer, column of a, column of b) of a relation."""
+    inner, outer = [], []
+    for n, (kind, a, b) in columns.items():
+        u, v = f"coalesce({a}, '')", f"coalesce({b}, '')"
+        inner += [f"{u} AS {n}_a, {v} AS {n}_b, array_to_string(list_sort({_toks(u)}), ' ') AS {n}_sa, array_to_string(list_sort({_toks(v)}), ' ') AS {n}_sb",
+                  f"list_sort(list_distinct({_toks(u)})) AS {n}_ua, list_sort(list_distinct({_toks(v)})) AS {n}_ub"]
+    mid = ["*"]
+    for n in columns:
+        both = f"list_sort(list_intersect({n}_ua, {n}_ub))"
+        rest = lambda x, y: f"list_filter({n}_u{x}, lambda t: NOT list_contains({n}_u{y}, t))"  # noqa: E731, B023
+        mid += [f"array_to_string({both}, ' ') AS {n}_c, trim(array_to_string({both}, ' ') || ' ' || array_to_string({rest('a', 'b')}, ' ')) AS {n}_l, trim(array_to_string({both}, ' ') || ' ' || array_to_string({rest('b', 'a')}, ' ')) AS {n}_r"]
+    for n, (kind, _, _) in columns.items():
+        tset = f"CASE WHEN len({n}_ua) = 0 OR len({n}_ub) = 0 THEN 0.0 WHEN {n}_c <> '' AND ({n}_c = {n}_l OR {n}_c = {n}_r) THEN 100.0 ELSE greatest({ratio_sql(n + '_l', n + '_r')}, CASE WHEN {n}_c <> '' THEN greatest({ratio_sql(n + '_c', n + '_l')}, {ratio_sql(n + '_c', n + '_r')}) ELSE 0 END) END"
+        tsort, whole, part = ratio_sql(n + "_sa", n + "_sb"), ratio_sql(n + "_a", n + "_b"), partial_sql(n + "_a", n + "_b")
+        shape = f"(greatest(length({n}_a), length({n}_b))::DOUBLE / nullif(least(length({n}_a), length({n}_b)), 0))"
+        scale = f"(CASE WHEN {shape} <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)"
+        psort = partial_sql(n + "_sa", n + "_sb")
+        wide = f"greatest({whole}, {scale} * ({part}), 0.95::DOUBLE * {scale} * CASE WHEN {n}_c <> '' THEN 100.0 ELSE ({psort}) END)"
+        jw = f"CASE WHEN {n}_a = '' AND {n}_b = '' THEN 1.0 WHEN {n}_a = '' OR {n}_b = '' THEN 0.0 ELSE jaro_winkler_similarity({n}_a, {n}_b) END"
+        outer.append({"ratio": whole, "partial_ratio": part, "token_sort_ratio": tsort, "token_set_ratio": tset, "jaro_winkler": jw,
+                      "weighted_ratio": f"CASE WHEN {n}_a = '' OR {n}_b = '' THEN 0.0 WHEN {shape} < 1.5 THEN greatest({whole}, 0.95::DOUBLE * greatest({tsort}, {tset})) ELSE {wide} END"}[kind])
+    return f"SELECT {key}, {', '.join(f'round(({o})::DOUBLE, 6) AS {n}' for n, o in zip(columns, outer))} FROM (SELECT {', '.join(mid)} FROM (SELECT {key}, {', '.join(inner)} FROM {source}))"
+
+
+RATIOS = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
+
+
+@query(f"WITH {NAMES}, y AS (SELECT a, b FROM x UNION SELECT a, substr(b, 1, 4) FROM x UNION SELECT split_part(a, ' ', 2), b || ' ' || a FROM x) {edits_sql('y', 'a, b', {k: (k, 'a', 'b') for k in RATIOS})}")
+def string_ratios(spark, d):
+    """Indel ratios over names, names with beginnings of names, and words with longer texts."""
+    x = name_pairs(spark, d)
+    x = x.union(x.select("a", F.substring("b", 1, 4))).union(x.select(F.split_part("a", F.lit(" "), F.lit(2)), F.concat_ws(" ", "b", "a"))).distinct()
+    got = x.withColumn("s", S.scored_all({k: (k, F.col("a"), F.col("b")) for k in RATIOS}))
+    return got.select("a", "b", *[F.round(f"s.{k}", 6).alias(k) for k in RATIOS])
+
+
+def _map_sql(table: dict[str, str]) -> str:
+    return f"MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in table.items())}}}"
+
+
+def _list_sql(words) -> str:
+    return f"[{', '.join(repr(w) for w in words)}]"
+
+
+CLEAN_SQL = "lower(strip_accents(coalesce({raw}, '')))"
+JUNK_SQL = "'[<>#*~^|=_+\"`]+'"
+
+
+def names_sql(source: str, raw: str, keep: str) -> str:
+    """CTEs of nested steps: keep and the six name columns of a relation."""
+    domain = f"regexp_extract(s, '^(?:www\\.)?([a-z0-9\\-]+)\\.({'|'.join(L.DOMAINS)})\\b', 1)"
+    return f"""SELECT {keep}, array_to_string(clean, ' ') AS name_clean, array_to_string(core, ' ') AS name_core, array_to_string(list_sort(list_distinct(core)), ' ') AS name_sorted,
+  array_to_string(core, '') AS name_concat, array_to_string(legal, ' ') AS legal, is_domain
+FROM (SELECT *, CASE WHEN len(rest) > 0 THEN rest ELSE clean END AS core
+FROM (SELECT *, list_transform(toks, lambda t: coalesce({_map_sql(L.LEGAL)}[t], t)) AS clean, list_sort(list_distinct(list_filter(list_transform(toks, lambda t: {_map_sql(L.LEGAL)}[t]), lambda t: t IS NOT NULL))) AS legal,
+  list_filter(toks, lambda t: NOT list_contains({_list_sql([*L.LEGAL, *L.FILLER])}, t)) AS rest
+FROM (SELECT *, list_transform(list_filter(string_split(regexp_replace(translate(replace(s3, '&', ' and '), '.''', ''), '[^0-9a-z ]+', ' ', 'g'), ' '), lambda t: t <> ''),
+  lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z].*[a-z]') THEN translate(t, '{L.LEET_FROM}', '{L.LEET_TO}') ELSE t END) AS toks
+FROM (SELECT *, CASE WHEN strpos(' ' || s2 || ' ', ' dba ') = 0 THEN s2 WHEN trim(substr(' ' || s2 || ' ', strpos(' ' || s2 || ' ', ' dba ') + 5)) <> '' THEN trim(substr(' ' || s2 || ' ', strpos(' ' || s2 || ' ', ' dba ') + 5))
+  WHEN trim(substr(' ' || s2 || ' ', 1, strpos(' ' || s2 || ' ', ' dba ') - 1)) <> '' THEN trim(substr(' ' || s2 || ' ', 1, strpos(' ' || s2 || ' ', ' dba ') - 1)) ELSE s2 END AS s3
+FROM (SELECT *, CASE WHEN dom <> '' AND NOT contains(s, ' ') THEN 1 ELSE 0 END::TINYINT AS is_domain, CASE WHEN dom <> '' AND NOT contains(s, ' ') THEN replace(dom, '-', '') ELSE s END AS s2
+FROM (SELECT *, {domain} AS dom FROM (SELECT *, trim(regexp_replace(trim({CLEAN_SQL.format(raw=raw)}), {JUNK_SQL}, ' ', 'g'), ' -.,') AS s FROM {source})))))))"""
+
+
+def addresses_sql(source: str, raw: str, country: str, keep: str) -> str:
+    """The same of the seven address columns."""
+    known = lambda land, table: f"WHEN land = '{land}' THEN coalesce({_map_sql(table)}[c], CASE WHEN length(c) = 2 AND list_contains({_list_sql(sorted(set(table.values())))}, c) THEN c END)"
+    merged = {**L.STATES["france"], **L.STATES["india"], **L.STATES["us"]}
+    state = f"CASE {' '.join(known(k, t) for k, t in L.STATES.items())} ELSE CASE WHEN length(c) > 3 THEN {_map_sql(merged)}[c] END END"
+    number = "regexp_extract(t, '^([0-9]+)(?:st|nd|rd|th)?$', 1)"
+    token = f"CASE WHEN {number} <> '' THEN CASE WHEN ltrim({number}, '0') = '' THEN '0' ELSE ltrim({number}, '0') END ELSE coalesce({_map_sql(L.STREET)}[t], t) END"
+    isnum, types = "regexp_full_match(t, '[0-9]+')", _list_sql(L.STREET_TYPES)
+    flag = f"len(list_filter(x, lambda t: {isnum} OR list_contains({types}, t))) > 0"
+    return f"""SELECT {keep}, array_to_string(every, ' ') AS addr_clean, array_to_string(list_filter(nums, lambda n, i: list_position(nums, n) = i), ' ') AS addr_nums,
+  coalesce(list_filter(sc, lambda t: {isnum})[1], nums[1], '') AS house, array_to_string(list_filter(sc, lambda t: NOT {isnum} AND NOT list_contains({_list_sql([*L.STREET_TYPES, *L.STREET_EXTRAS])}, t)), ' ') AS street,
+  array_to_string(list_filter(city, lambda n, i: list_position(city, n) = i), ' ') AS city, coalesce(list_filter(states, lambda x: x IS NOT NULL)[1], '') AS state, coalesce(list_filter(nums, lambda n: length(n) = 6)[1], '') AS postcode
+FROM (SELECT *, list_filter(every, lambda t: {isnum}) AS nums, coalesce(kept[hit], []) AS sc,
+  list_filter(flatten(list_filter(kept, lambda x, i: i <> hit AND len(list_filter(x, lambda t: {isnum})) = 0)), lambda t: NOT list_contains({_list_sql([*L.CITY_NOISE, *L.STREET_TYPES])}, t)) AS city
+FROM (SELECT *, coalesce(list_position(list_transform(kept, lambda x: {flag}), TRUE), 0) AS hit, flatten(kept) AS every
+FROM (SELECT *, list_transform(list_filter(comps, lambda c: ({state}) IS NULL), lambda c: list_transform(list_filter(string_split(c, ' '), lambda t: t <> ''), lambda t: {token})) AS kept, list_transform(comps, lambda c: {state}) AS states
+FROM (SELECT *, lower(coalesce({country}, '')) AS land, list_filter(list_transform(string_split(replace(replace(regexp_replace(regexp_replace({CLEAN_SQL.format(raw=raw)}, '\\bnull\\b', ' ', 'g'), {JUNK_SQL}, ' ', 'g'), '&', ' and '), '''', ''), ','),
+  lambda c: array_to_string(list_filter(string_split(regexp_replace(c, '[^0-9a-z ]+', ' ', 'g'), ' '), lambda t: t <> ''), ' ')), lambda c: c <> '') AS comps FROM {source}))))"""
+
+
+#: Given inputs (FIXTURES, section D): names, and addresses with their countries.
+RAW_NAMES = (
+    "Raab Modern Treasury, LLC", "Llc Raab Modern Treoasubr,y", "raabmoderntreasury.com", "Reliable Digital Collective P.L.L.C.", "-- Holloway Peak Inc Seafood", "Indo 5ky Energy",
+    "Tavozephdelta dba Perfect Technology Pvt Ltd", "<< Team Ecole", "ELDER & (PUCKETT)", "Payne Énterprises", "SCI Ptit Àmicale", "Marina Ecole France Sarl", "The Company of Ltd", "dba", "x dba ", "www.a-b.co.in", "", "S.A.S. l'Été",
+)
+RAW_ADDRESSES = (
+    ("2670- DUMBLE SAINT, TX, ALVIN", "US"), ("PITTSFIEDL, ME, 01466 MAIN ST", "us"), ("##1138 Jamison Ave, Roanoke City, Virginia", "us"), ("32623 224st Pl, Black Diamond, Washington", "us"),
+    ("Gujarat, Adarsh Society, Near Gokulam Dairy, Athwalines, Surat, Plot No. 569/A", "India"), ("3315 FREMONT ST, null, PEORIA, IL", "us"), ("29 Bd. De La Libération, Saint-nazaire", "France"),
+    ("12 All. Jean-jacques Rousseau, Saint-nazaire, Pays de la Loire", "france"), ("", "us"), ("10, New Delhi, DL", "india"), ("Main Road 00, 0012th Cross, 395007, or", "india"), ("7 Quai, or, Texas, OR", "spain"), ("5 Main St, OR", None),
+)
+
+
+def _values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(lit(v) for v in (r if isinstance(r, tuple) else (r,)))})" for r in rows)
+
+
+@query(f"""WITH r AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS raw FROM pages UNION SELECT s_name FROM supplier UNION SELECT p_name || ' Pvt. Ltd.' FROM part UNION SELECT * FROM (VALUES {_values(RAW_NAMES)}))
+{names_sql('r', 'raw', 'raw')}""")
 def normalised_names(spark, d):
-    """Name normalisation over suppliers, customers and the hosts of pages; tests hold expected values."""
+    """Name normalisation over suppliers, parts, the hosts of pages and given names."""
     hosts = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("raw"))
-    raw = hosts.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("raw"))).unionByName(table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.lit("Pvt. Ltd.")).alias("raw"))).distinct()
+    given = spark.createDataFrame([(x,) for x in RAW_NAMES], "raw string")
+    raw = hosts.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("raw"))).unionByName(table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.lit("Pvt. Ltd.")).alias("raw"))).unionByName(given).distinct()
     return raw.select("raw", T.norm_name(F.col("raw")).alias("n")).select("raw", "n.*")
 
 
-@query()
+@query(f"""WITH r AS (SELECT c_custkey || ' Main Street, ' || n_name || ' City, Texas' AS raw, CASE c_custkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'India' WHEN 2 THEN 'france' END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION SELECT * FROM (VALUES {_values(RAW_ADDRESSES)})) {addresses_sql('r', 'raw', 'country', 'raw, country')}""")
 def normalised_addresses(spark, d):
-    """Address normalisation over composed addresses of customers; tests hold expected values."""
+    """Address normalisation over composed addresses of customers and given addresses, in known and unknown countries."""
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    raw = F.concat(F.col("c_custkey"), F.lit(" Main Street, "), F.col("n_name"), F.lit(" City, Texas"))
-    return c.select("c_custkey", T.norm_address(raw, F.lit("us")).alias("a")).select("c_custkey", "a.*")
+    k = F.col("c_custkey") % 4
+    rows = c.select(F.concat(F.col("c_custkey"), F.lit(" Main Street, "), F.col("n_name"), F.lit(" City, Texas")).alias("raw"), F.when(k == 0, "us").when(k == 1, "India").when(k == 2, "france").alias("country"))
+    rows = rows.unionByName(spark.createDataFrame(list(RAW_ADDRESSES), "raw string, country string")).distinct()
+    return rows.select("raw", "country", T.norm_address(F.col("raw"), F.col("country")).alias("a")).select("raw", "country", "a.*")
 
 
-@query()
+PART_RECORDS = f"""rn AS (SELECT p_partkey, p_brand, p_size, p_size || ' ' || p_type || ' Road, ' || p_brand AS addr, p_name AS nm FROM part),
+flat AS MATERIALIZED (SELECT * FROM ({names_sql('rn', 'nm', 'p_partkey, p_brand, p_size, addr')}) n JOIN ({addresses_sql('rn', 'addr', "'us'", 'p_partkey AS k')}) a ON a.k = n.p_partkey),
+pr AS MATERIALIZED (SELECT x.p_partkey AS s1, y.p_partkey AS cand, {", ".join(f"{t}.{c} AS {u}_{c}" for t, u in (("x", "a"), ("y", "b")) for c in ("name_clean", "name_core", "name_sorted", "name_concat", "legal", "is_domain", "addr_clean", "addr_nums", "house", "street", "city", "state", "postcode"))}
+  FROM flat x JOIN flat y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey)"""
+
+
+def _sets_sql(kind: str, a: str, b: str) -> str:
+    both = f"len(list_intersect(list_distinct({_toks(a)}), list_distinct({_toks(b)})))"
+    under = f"len(list_distinct(list_concat({_toks(a)}, {_toks(b)})))" if kind == "jacc" else f"len(list_distinct({_toks(a)}))"
+    return f"round({both}::DOUBLE / nullif({under}, 0), 6)"
+
+
+def _both_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 1 ELSE 2 END"
+
+
+_EDITS = {n: (k, f"a_{c}", f"b_{c}") for n, (k, c) in X.EDITS.items()} | {"x_name_in_addr": ("partial_ratio", "b_name_core", "a_addr_clean")}
+_PLAIN = {
+    "n_concat_lev": "CASE WHEN a_name_concat = '' AND b_name_concat = '' THEN 1.0 ELSE round(1 - levenshtein(a_name_concat, b_name_concat)::DOUBLE / greatest(length(a_name_concat), length(b_name_concat)), 6) END::DOUBLE",
+    "n_jacc": _sets_sql("jacc", "a_name_core", "b_name_core"), "n_cont_ab": _sets_sql("in", "a_name_core", "b_name_core"), "n_cont_ba": _sets_sql("in", "b_name_core", "a_name_core"),
+    "n_len_a": "length(a_name_core)", "n_len_b": "length(b_name_core)", "n_ntok_diff": f"len(list_distinct({_toks('a_name_core')})) - len(list_distinct({_toks('b_name_core')}))",
+    "n_first_eq": "CASE WHEN split_part(a_name_core, ' ', 1) = split_part(b_name_core, ' ', 1) THEN 1 ELSE 0 END", "n_sorted_eq": "CASE WHEN a_name_sorted = b_name_sorted THEN 1 ELSE 0 END",
+    "legal_state": f"CASE WHEN a_legal = '' AND b_legal = '' THEN 0 WHEN a_legal = '' OR b_legal = '' THEN 1 WHEN a_legal = b_legal THEN 2 WHEN len(list_intersect({_toks('a_legal')}, {_toks('b_legal')})) > 0 THEN 3 ELSE 4 END",
+    "a_jacc": _sets_sql("jacc", "a_addr_clean", "b_addr_clean"), "a_cont_ba": _sets_sql("in", "b_addr_clean", "a_addr_clean"), "a_len_b": "length(b_addr_clean)",
+    "num_jacc": _sets_sql("jacc", "a_addr_nums", "b_addr_nums"), "num_cont_ba": _sets_sql("in", "b_addr_nums", "a_addr_nums"),
+    "h_eq": "CASE WHEN a_house <> '' AND a_house = b_house THEN 1 ELSE 0 END", "h_absent": "(a_house = '')::INT + (b_house = '')::INT",
+    "h_pref": "CASE WHEN a_house <> '' AND b_house <> '' AND a_house <> b_house AND (starts_with(a_house, b_house) OR starts_with(b_house, a_house) OR ends_with(a_house, b_house) OR ends_with(b_house, a_house)) THEN 1 ELSE 0 END",
+    "h_diff": "abs(TRY_CAST(nullif(a_house, '') AS BIGINT) - TRY_CAST(nullif(b_house, '') AS BIGINT))", "h_in_nums": f"CASE WHEN a_house <> '' AND list_contains({_toks('b_addr_nums')}, a_house) THEN 1 ELSE 0 END",
+    "st_empty": "(a_street = '')::INT + 2 * (b_street = '')::INT", "state_state": _both_sql("a_state", "b_state"), "pin_state": _both_sql("a_postcode", "b_postcode"), "is_domain_b": "b_is_domain",
+}
+FEATURE_LONGS = ("n_len_a", "n_len_b", "n_ntok_diff", "n_first_eq", "n_sorted_eq", "legal_state", "a_len_b", "h_eq", "h_absent", "h_pref", "h_diff", "h_in_nums", "st_empty", "state_state", "pin_state", "is_domain_b")
+
+
+@query(f"""WITH {PART_RECORDS}, e AS ({edits_sql('pr', 's1, cand', _EDITS)}), f AS (SELECT s1, cand, {", ".join(f"({v}){'::BIGINT' if c in FEATURE_LONGS else ''} AS {c}" for c, v in _PLAIN.items())} FROM pr)
+SELECT * FROM e JOIN f USING (s1, cand)""")
 def pair_features(spark, d):
     """The forty features over parts of one brand and size as records."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", T.norm_name(F.col("p_name")).alias("n"), T.norm_address(F.concat(F.col("p_size"), F.lit(" "), F.col("p_type"), F.lit(" Road, "), F.col("p_brand")), F.lit("us")).alias("a"))
     flat = part.select("p_partkey", "p_brand", "p_size", "n.*", "a.*")
     side = lambda x, key: flat.select(F.col("p_partkey").alias(key), "p_brand", "p_size", *[F.col(c).alias(f"{x}_{c}") for c in flat.columns[3:]])
-    return X.pair_features(side("a", "s1").join(side("b", "cand"), ["p_brand", "p_size"]).where("s1 < cand"))
+    got = X.pair_features(side("a", "s1").join(side("b", "cand"), ["p_brand", "p_size"]).where("s1 < cand"))
+    return got.select("s1", "cand", *[F.col(c).cast("long").alias(c) if c in FEATURE_LONGS else F.round(c, 6).alias(c) for c in got.columns[2:]])
 
 
 @query()

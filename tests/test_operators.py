@@ -95,16 +95,18 @@ def lcs(a, b):
 
 def test_indel_family():
     rng = random.Random(2)
-    word = lambda n: "".join(rng.choice("abc ") for _ in range(rng.randint(0, n)))
+    word = lambda n: "".join(rng.choice("abc é😀") for _ in range(rng.randint(0, n)))
     ratio = lambda a, b: 200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
-    for _ in range(300):
-        a, b = word(9), word(14)
-        assert S._ratio(a, b) == pytest.approx(ratio(a, b))
+    pairs = [(word(9), word(14)) for _ in range(300)] + [(word(90), word(200)) for _ in range(6)] + [("", ""), ("a" * 63, "a" * 64), ("ab" * 31, "ba" * 32)]
+    xs, ys = zip(*pairs)
+    assert S._ratios(xs, ys).tolist() == pytest.approx([ratio(a, b) for a, b in pairs])
+    for a, b in pairs[:300]:
         short, long_ = sorted((a, b), key=len)
-        if short:
-            assert S._partial(a, b) >= max(ratio(short, long_[k : k + len(short)]) for k in range(len(long_) - len(short) + 1)) - 1e-9
-        assert 0 <= S._weighted(a, b) <= 100 and S._token_set(a, b) == pytest.approx(S._token_set(b, a))
-    assert S._token_set("new york mets", "mets york new fans") == 100 and S._token_sort("b a", "a b") == 100
+        windows = [long_[max(0, k) : k + len(short)] for k in range(1 - len(short), len(long_))]
+        assert S._partial(a, b) == pytest.approx(max((ratio(short, w) for w in windows), default=100.0 if not b and not a else 0.0))
+    sets, weighted = S._token_sets(xs, ys), S._weighted(xs, ys)
+    assert sets.tolist() == pytest.approx(S._token_sets(ys, xs).tolist()) and (weighted >= 0).all() and (weighted <= 100).all()
+    assert S._token_sets(["new york mets"], ["mets york new fans"]).tolist() == [100] and S._token_sorts(["b a"], ["a b"]).tolist() == [100]
     assert S._jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6) and S._jaro_winkler("", "") == 1
 
 
