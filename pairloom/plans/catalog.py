@@ -262,9 +262,13 @@ def group_support(spark, d):
     return got.select("s1", "cand", *[F.round(c, 6).alias(c) for c in ("t_name_max", "t_name_mean", "t_addr_max", "t_support")], "t_house_agree", "t_n_others")
 
 
-@query()
+@query(f"""WITH {PAIRS}, {ATTRS}, named AS (SELECT m.s1, m.cand, m.p, x.name, x.src, row_number() OVER (PARTITION BY m.s1, x.name ORDER BY m.p DESC, m.cand) AS k FROM pairs m JOIN attrs x ON x.cand = m.cand WHERE x.name <> ''),
+firsts AS (SELECT s1, name FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS rank FROM named WHERE k = 1) WHERE rank <= 4),
+peers AS (SELECT n.* FROM named n JOIN firsts f ON f.s1 = n.s1 AND f.name = n.name WHERE k <= 2),
+one AS (SELECT * FROM (SELECT m.s1, m.cand, o.p AS po, o.src, {JACC.format(a="x.name", b="o.name")} AS sim, row_number() OVER (PARTITION BY m.s1, m.cand, o.name ORDER BY o.k) AS r FROM pairs m JOIN attrs x ON x.cand = m.cand JOIN peers o ON o.s1 = m.s1 AND o.cand <> m.cand) WHERE r = 1)
+SELECT m.s1, m.cand, round(max(sim), 6) AS peer_max, round(sum(sim * po), 6) AS peer_support, CASE WHEN count(o.s1) > 0 THEN count(DISTINCT CASE WHEN po >= 0.9 AND sim >= 0.8 THEN src END) END AS peer_sources
+FROM pairs m LEFT JOIN one o ON o.s1 = m.s1 AND o.cand = m.cand GROUP BY m.s1, m.cand""")
 def peer_support(spark, d):
-    """Rows only: SQL would repeat the operator's four windows; tests compare with brute force."""
     got = C.peer_support(pairs(spark, d), attrs(spark, d).select("cand", "name", "src"), S.jaccard)
     return got.select("s1", "cand", F.round("peer_max", 6).alias("peer_max"), F.round("peer_support", 6).alias("peer_support"), "peer_sources")
 
@@ -324,9 +328,17 @@ def expected_f_approx(spark, d):
     return D.expected_f_approx(pairs(spark, d))
 
 
-@query()
+def _hits_sql(x: str) -> str:
+    """The Poisson-binomial distribution of a list of chances."""
+    return f"list_reduce(list_transform({x}, lambda q: [q]), lambda h, q: list_transform(range(1, len(h) + 2), lambda i: coalesce(h[i], 0) * (1 - q[1]) + coalesce(CASE WHEN i > 1 THEN h[i - 1] END, 0) * q[1]), [1.0::DOUBLE])"
+
+
+@query(f"""WITH {PAIRS}, l AS (SELECT s1, list(p ORDER BY r) AS ps, list(cand ORDER BY r) AS cs FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r FROM pairs WHERE p >= 0.01) WHERE r <= 20 GROUP BY s1),
+h AS (SELECT s1, ps, cs, k, {_hits_sql("ps[1:k]")} AS h, {_hits_sql("ps[k + 1:]")} AS t FROM (SELECT *, unnest(range(0, len(ps) + 1)) AS k FROM l)),
+v AS (SELECT s1, ps, cs, k, round(CASE WHEN k = 0 THEN t[1] ELSE list_sum(list_transform(range(1, len(h) + 1), lambda i: list_sum(list_transform(range(1, len(t) + 1), lambda j: h[i] * t[j] * 1.25::DOUBLE * (i - 1) / (0.25::DOUBLE * (i + j - 2) + k))))) END, 9) AS v FROM h),
+b AS (SELECT s1, any_value(ps) AS ps, any_value(cs) AS cs, max(v) AS expected, min(k) FILTER (WHERE v = top) AS best_k FROM (SELECT *, max(v) OVER (PARTITION BY s1) AS top FROM v) GROUP BY s1)
+SELECT s1, cs[i] AS cand, ps[i] AS p, best_k, round(expected, 6) AS expected FROM (SELECT *, unnest(range(1, best_k + 1)) AS i FROM b)""")
 def expected_f_exact(spark, d):
-    """No counterpart: the recurrence's sums round differently; tests enumerate all outcomes instead."""
     return _long(D.expected_f_exact(pairs(spark, d)).withColumn("expected", F.round("expected", 6)), "best_k")
 
 
