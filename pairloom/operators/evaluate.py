@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import written
+
 
 def f05(tp: Column, n_true: Column, n_pred: Column) -> Column:
     """Entity F0.5 in closed form: 1 if there is nothing to find and nothing is predicted."""
@@ -160,22 +161,20 @@ def verify_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(diffs: DataFrame, draws: int = 200, seed: str = "boot") -> DataFrame:
-    """Of groups (stratum, grp, n, diff = summed difference) the mean difference and its 2.5 and 97.5 percentiles.
+    """Of groups (stratum, grp, n, diff = summed difference) the mean difference and its 2.5 and 97.5 percentiles (linear).
 
-    In each draw a group counts as often as a Poisson(1) variate that follows from its digest says, so
-    no group is collected or resampled by position; totals add up with partial sums.
+    Each draw takes as many groups of every stratum as it has, with replacement; which ones follows from digests of seed, stratum,
+    place and draw, so runs agree. Groups are whole states or names, one row each: draws times their number are summed, in
+    parts. Null strata or groups raise nothing and count as groups of their own; without groups all values are null.
     """
-    one = diffs.select("stratum", "grp", "n", "diff", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "stratum", "grp", "draw")), 1, 13), 16, 10).cast("double") + 0.5) / 4503599627370496.0
-    edges, total = [], math.exp(-1)
-    cum = total
-    for k in range(1, 9):
-        edges.append(cum)
-        total /= k
-        cum += total
-    weight = F.when(F.col("draw") == 0, 1).otherwise(sum((u >= e).cast("int") for e in edges))
-    sums = one.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("diff") * F.col("w")) / F.nullif(F.sum(F.col("n") * F.col("w")), F.lit(0))).alias("m"))
-    return sums.agg(F.round(F.max(F.when(F.col("draw") == 0, F.col("m"))), 8).alias("mean"), F.round(F.percentile(F.when(F.col("draw") > 0, F.col("m")), 0.025), 8).alias("low"), F.round(F.percentile(F.when(F.col("draw") > 0, F.col("m")), 0.975), 8).alias("high"))
+    own = W.partitionBy("stratum")
+    g = written(diffs.select("stratum", "n", "diff", (F.row_number().over(own.orderBy("grp")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("m")), "groups")
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("stratum").cast("string"), "i", "draw")), 1, 13), 16, 10).cast("long") % F.col("m")
+    picks = g.select("stratum", "i", "m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", F.col("stratum").alias("s"), pick.alias("pick"))
+    held = picks.join(g, F.col("s").eqNullSafe(F.col("stratum")) & (F.col("pick") == F.col("i")))
+    means = held.groupBy("draw").agg((F.sum("diff") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    whole = g.agg(F.round(F.sum("diff") / F.nullif(F.sum("n"), F.lit(0)), 8).alias("mean"))
+    return whole.join(F.broadcast(means.agg(F.round(F.percentile("m", 0.025), 8).alias("low"), F.round(F.percentile("m", 0.975), 8).alias("high"))))
 
 
 def whole_state_sample(states: DataFrame, target: int, cap: int, seed: str = "sample") -> DataFrame:

@@ -435,11 +435,18 @@ def verify_pairs(spark, d):
     return E.verify_pairs(pairs(spark, d))
 
 
-@query()
+@query(f"""WITH {PAIRS}, p2 AS (SELECT s1, cand FROM owned WHERE p >= 0.5),
+g AS (SELECT i.s1, CASE WHEN coalesce(nt, 0) = 0 AND coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * coalesce(tp, 0) / (0.25::DOUBLE * coalesce(nt, 0) + coalesce(np, 0)) END AS g FROM ids i LEFT JOIN (SELECT s1, count(*) AS nt FROM truth GROUP BY s1) t ON t.s1 = i.s1
+  LEFT JOIN (SELECT q.s1, count(*) AS np, count(t.s1) AS tp FROM p2 q LEFT JOIN truth t ON t.s1 = q.s1 AND t.cand = q.cand GROUP BY q.s1) q ON q.s1 = i.s1),
+d AS (SELECT c.grp AS stratum, c.s1 % 97 AS grp, count(*) AS n, round(sum(g.g - c.f), 9) AS diff FROM counts c JOIN g ON g.s1 = c.s1 GROUP BY ALL),
+i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY grp) - 1 AS i, count(*) OVER (PARTITION BY stratum) AS m FROM d),
+k AS (SELECT draw, stratum, CAST('0x' || substr(md5('boot|' || stratum || '|' || i || '|' || draw), 1, 13) AS BIGINT) % m AS pick FROM i CROSS JOIN range(1, 201) r(draw)),
+m AS (SELECT draw, sum(diff) / sum(n) AS m FROM k JOIN i ON i.stratum = k.stratum AND i.i = k.pick GROUP BY draw)
+SELECT (SELECT round(sum(diff) / sum(n), 8) FROM d) AS mean, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m""")
 def grouped_bootstrap(spark, d):
     a = E.entity_counts(ids(spark, d), predicted(spark, d), truth(spark, d)).select("s1", "f")
     b = E.entity_counts(ids(spark, d), predicted(spark, d, 0.5), truth(spark, d)).select("s1", F.col("f").alias("g"))
-    diffs = a.join(b, "s1").join(ids(spark, d), "s1").groupBy(F.col("grp").alias("stratum"), (F.col("s1") % 97).alias("grp")).agg(F.count("*").alias("n"), F.sum(F.col("g") - F.col("f")).alias("diff"))
+    diffs = a.join(b, "s1").join(ids(spark, d), "s1").groupBy(F.col("grp").alias("stratum"), (F.col("s1") % 97).alias("grp")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("g") - F.col("f")), 9).alias("diff"))
     return E.paired_bootstrap(diffs)
 
 
@@ -690,12 +697,27 @@ def pair_features(spark, d):
     return got.select("s1", "cand", *[F.col(c).cast("long").alias(c) if c in FEATURE_LONGS else F.round(c, 6).alias(c) for c in got.columns[2:]])
 
 
-@query()
+LATIN, OTHER = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз"
+
+
+@query(f"""WITH b AS (SELECT p.p_name AS a, p.p_type || ', ' || p.p_brand || ' ' || p.p_size AS aa, translate(q.p_name, '{LATIN}', '{OTHER}') AS b, translate(lower(q.p_type), '{LATIN}', '{OTHER}') || ', ' || q.p_size || '/café' AS bb
+  FROM part p JOIN part q ON q.p_partkey = p.p_partkey + CASE WHEN p.p_partkey % 5 = 0 THEN 1 ELSE 0 END),
+t AS (SELECT list_filter(regexp_split_to_array(lower(a), '\\s+'), lambda t: t <> '') AS a, list_filter(regexp_split_to_array(b, '\\s+'), lambda t: t <> '') AS b FROM b),
+nm AS (SELECT source, target, count(*) AS n FROM (SELECT unnest(b) AS source, unnest(a) AS target FROM t WHERE len(a) = len(b)) WHERE regexp_matches(source, '[^\\x{{0}}-\\x{{24F}}]') AND NOT regexp_matches(target, '[^\\x{{0}}-\\x{{24F}}]') GROUP BY ALL),
+na AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS r FROM nm) WHERE r = 1 AND n >= 2),
+u AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(aa), '[\\s,.;:()\\-/]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+'))) AS a,
+  list_distinct(list_filter(regexp_split_to_array(bb, '[\\s,.;:()\\-/]+'), lambda t: regexp_matches(t, '[^\\x{{0}}-\\x{{24F}}]'))) AS b FROM b),
+fr AS (SELECT target, count(*) AS f FROM (SELECT unnest(a) AS target FROM u WHERE len(b) > 0) GROUP BY target),
+co AS (SELECT source, target, count(*) AS n FROM (SELECT source, unnest(a) AS target FROM (SELECT a, unnest(b) AS source FROM u)) GROUP BY ALL HAVING count(*) >= 2),
+ca AS (SELECT source, target FROM (SELECT source, co.target, row_number() OVER (PARTITION BY source ORDER BY round(n / sqrt(f), 6) DESC, co.target) AS r FROM co JOIN fr ON fr.target = co.target) WHERE r = 1)
+SELECT * FROM na UNION ALL SELECT * FROM ca WHERE source NOT IN (SELECT source FROM na)""")
 def dictionary_learned(spark, d):
-    """Non-ASCII tokens of titles learned from pages of one host; no counterpart, tests hold expected values."""
-    pages = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
-    a, b = pages.where("lang = 'en'").select("host", F.col("t").alias("a")), pages.where("lang <> 'en'").select("host", F.col("t").alias("b"))
-    return learn.cooccurring_tokens(a.join(b, "host").select("a", "b"), 2)
+    """Names and types of parts, and the same in other letters; every fifth is paired with the next part's."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    other = lambda c: F.translate(c, LATIN, OTHER)
+    right = part.select(F.col("p_partkey").alias("k"), other("p_name").alias("b"), F.concat(other(F.lower("p_type")), F.lit(", "), "p_size", F.lit("/café")).alias("bb"))
+    both = part.withColumn("k", F.col("p_partkey") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).join(right, "k")
+    return learn.dictionary(both.select(F.col("p_name").alias("a"), "b"), both.select(F.concat(F.col("p_type"), F.lit(", "), "p_brand", F.lit(" "), "p_size").alias("a"), F.col("bb").alias("b")))
 
 
 @query()
