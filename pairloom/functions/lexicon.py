@@ -79,3 +79,14 @@ STATE_GROUPS = {"tg": "ap", "dc": "wa"}
 LEET_FROM, LEET_TO = "0134578", "oleastb"
 # Top-level domains of the name normaliser's domain form.
 DOMAINS = ("com", "in", "net", "org", "co", "io", "biz", "fr", "us", "info", r"co\.in")
+# Patterns of the normalisers: marks that separate words, the domain form of a name, the dot of an acronym, what separates tokens.
+JUNK = r'[<>#*~^|=_+"`]+'
+DOMAIN = rf"^(?:www\.)?([a-z0-9\-]+)\.({'|'.join(DOMAINS)})\b"
+ACRONYM_DOT = r"(?<=\b[a-z])\.(?=[a-z]\b)"
+SEPARATORS = r"\s,.;:()\[\]\-/#"
+# Learned words that stand for part of a state's name only.
+STATE_WORDS = {"bengal": "west bengal", "nadu": "tamil nadu"}
+# Greek and Cyrillic letters whose Latin form does not follow from how their names begin.
+LETTERS = {"THETA": "th", "PHI": "f", "CHI": "ch", "PSI": "ps", "ETA": "i", "IE": "e", "IO": "yo", "YU": "yu", "YA": "ya", "HA": "kh", "GHE": "g", "YERU": "y", "SHORT I": "i", "HARD SIGN": "", "SOFT SIGN": "", "SHCHA": "shch"}
+# Signs of Indic scripts.
+SIGNS = {"VIRAMA": "", "NUKTA": "", "ANUSVARA": "n", "CANDRABINDU": "n", "BINDI": "n", "TIPPI": "n", "VISARGA": "h", "ADDAK": "", "AVAGRAHA": ""}

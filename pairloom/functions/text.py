@@ -1,35 +1,88 @@
 """Name and address normalisation as column expressions; no Python runs per row.
 
-Nulls count as empty strings. Accents are folded by a table made from Unicode's decompositions of Latin
-letters; a learned dictionary (array of from/to pairs as a map column or literal) replaces non-Latin tokens.
+Nulls count as empty strings. Accents, ligatures and wide forms are folded by a table made from Unicode's decompositions. A
+learned dictionary (a map column or literal) replaces non-Latin tokens; those it lacks are spelled by a table made from the names of Unicode's
+letters, which covers alphabets, Indic scripts and kana. Characters of other scripts stay, and count as spaces later.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
 
-
-def _folding() -> tuple[str, str, str]:
-    """Latin letters, their base letters, and the combining marks to drop."""
-    source, target = [], []
-    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
-        if len(base) == 1 and base != chr(c):
-            source.append(chr(c))
-            target.append(base)
-    return "".join(source), "".join(target), "".join(chr(c) for c in range(0x300, 0x370))
-
-
-_FROM, _TO, _MARKS = _folding()
+#: Where letters with compatibility forms and the scripts that are spelled out lie.
+_FOLDED = [*range(0xA0, 0x2500), *range(0x2C60, 0x2C80), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]
+_SPELLED = [*range(0x370, 0x700), *range(0x900, 0xE00), *range(0x10A0, 0x1100), *range(0x3041, 0x3100)]
+
+
+def _fold(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _spelled(c: str) -> str | None:
+    """The Latin spelling of a letter, sign or digit by its Unicode name: the consonants that the name begins with, or its first vowel."""
+    name = unicodedata.name(c, "")
+    if unicodedata.digit(c, None) is not None:
+        return str(unicodedata.digit(c))
+    sign = re.search(r" SIGN (\w+)$", name)
+    if sign and sign[1] in lexicon.SIGNS:
+        return lexicon.SIGNS[sign[1]]
+    letter = re.match(r"(\w+) (?:SMALL LETTER|CAPITAL LETTER|LETTER|VOWEL SIGN) (?:FINAL |SMALL |VOCALIC )?(.+?)(?: WITH .*)?$", name)
+    if not letter:
+        return None
+    script, own = letter.groups()
+    if script in ("GREEK", "CYRILLIC"):
+        if own in lexicon.LETTERS:
+            return lexicon.LETTERS[own]
+        if script == "CYRILLIC" and re.fullmatch("E[LMNRSF]", own):
+            return own[1].lower()
+    if script in ("HIRAGANA", "KATAKANA"):
+        return own.lower() if " " not in own else None
+    begin = re.match(r"[BCDFGHJKLMNPQRSTVWXYZ]+", own)
+    out = begin[0] if begin else own[:1]
+    return re.sub(r"(.)\1", r"\1", out).lower()
+
+
+def _tables(points: list[int], of) -> tuple[str, str, dict[str, str]]:
+    """What becomes one letter, those letters (what becomes nothing comes last), and what becomes several."""
+    one, none, many = {}, [], {}
+    for c in map(chr, points):
+        x = of(c)
+        if x is None or x == c:
+            continue
+        if len(x) == 1:
+            one[c] = x
+        elif x:
+            many[c] = x
+        else:
+            none.append(c)
+    return "".join([*one, *none]), "".join(one.values()), many
+
+
+def _plain_fold(c: str) -> str | None:
+    """The fold of a character that is no combining mark, if it leaves scripts other than Latin alone."""
+    x = _fold(c)
+    return x if x and all(ord(y) < 0x250 or y == "\u2044" or not y.isalpha() for y in x) else None
+
+
+_MARKS = "".join(chr(c) for c in range(0x300, 0x370))
+_FROM, _TO, _LIGATURES = _tables(_FOLDED, _plain_fold)
+_LETTERS, _LATIN, _DIGRAPHS = _tables(_SPELLED, _spelled)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
 
 
 def mapped(key: Column, table: dict[str, str]) -> Column:
@@ -41,16 +94,30 @@ def is_latin(s: Column) -> Column:
     return ~s.rlike(r"[^\x{0}-\x{24F}]")
 
 
+def _replaced(s: Column, single: str, to: str, several: dict[str, str]) -> Column:
+    """s with single characters translated, and those of several replaced where there are any."""
+    held, table = "[" + "".join(several) + "]", lookup(several)
+    each = lambda x: F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return let(F.translate(s, single, to), lambda x: F.when(x.rlike(held), each(x)).otherwise(x))
+
+
 def strip_accents(s: Column) -> Column:
-    return F.translate(s, _FROM + _MARKS, _TO)
+    """Compatibility forms decomposed, combining marks dropped."""
+    return _replaced(s, _FROM + _MARKS, _TO, _LIGATURES)
+
+
+def spelled(t: Column) -> Column:
+    """A token in Latin letters, as far as its script is known."""
+    return _replaced(strip_accents(t), _LETTERS, _LATIN, _DIGRAPHS)
 
 
 def to_latin(s: Column, words: Column | None = None) -> Column:
-    """Tokens with non-Latin letters are replaced by the dictionary words (a map), if it has them."""
-    if words is None:
-        return s
-    pieces = F.regexp_extract_all(s, F.lit(r"[\s,.;:()\[\]\-/#]+|[^\s,.;:()\[\]\-/#]+"), F.lit(0))
-    return F.when(is_latin(s), s).otherwise(F.array_join(F.transform(pieces, lambda t: F.when(is_latin(t), t).otherwise(F.coalesce(F.try_element_at(words, t), t))), ""))
+    """Tokens with non-Latin letters are replaced by the dictionary words (a map), else spelled out."""
+    cut = lexicon.SEPARATORS
+    found = spelled if words is None else lambda t: F.coalesce(F.try_element_at(words, t), spelled(t))
+    token = lambda t: F.when(is_latin(t), t).otherwise(let(found(t), lambda x: F.coalesce(mapped(x, lexicon.STATE_WORDS), x)))
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(rf"[{cut}]+|[^{cut}]+"), F.lit(0))
+    return let(s, lambda x: F.when(is_latin(x), x).otherwise(F.array_join(F.transform(pieces(x), token), "")))
 
 
 def base_clean(s: Column, words: Column | None = None) -> Column:
@@ -69,22 +136,28 @@ def fix_leet(t: Column) -> Column:
 
 
 def _junk(s: Column) -> Column:
-    return F.regexp_replace(s, r'[<>#*~^|=_+"`]+', " ")
+    return F.regexp_replace(s, lexicon.JUNK, " ")
 
 
 def norm_name(raw: Column, words: Column | None = None) -> Column:
     """Struct of name_clean, name_core, name_sorted, name_concat, legal, is_domain."""
-    s = F.trim(_junk(F.trim(base_clean(raw, words))), F.lit(" -.,"))
-    domain = F.regexp_extract(s, rf"^(?:www\.)?([a-z0-9\-]+)\.({'|'.join(lexicon.DOMAINS)})\b", 1)
+    return let(F.trim(_junk(F.trim(base_clean(raw, words))), F.lit(" -.,")), _name_parts)
+
+
+def _name_parts(s: Column) -> Column:
+    domain = F.regexp_extract(s, lexicon.DOMAIN, 1)
     is_domain = (domain != "") & ~F.contains(s, F.lit(" "))
     s = F.when(is_domain, F.replace(domain, F.lit("-"), F.lit(""))).otherwise(s)
     padded = F.concat(F.lit(" "), s, F.lit(" "))
     at = F.instr(padded, " dba ")
     after, before = F.trim(F.substring(padded, at + 5, F.length(padded))), F.trim(F.substring(padded, F.lit(1), at - 1))
     s = F.when(at == 0, s).when(after != "", after).when(before != "", before).otherwise(s)
-    s = F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), r"(?<=\b[a-z])\.(?=[a-z]\b)", "")
+    s = F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), lexicon.ACRONYM_DOT, "")
     s = F.regexp_replace(F.translate(s, ".'", ""), "[^0-9a-z ]+", " ")
-    toks = F.transform(tokens(s), fix_leet)
+    return let(F.transform(tokens(s), fix_leet), lambda toks: _name_of_tokens(toks, is_domain))
+
+
+def _name_of_tokens(toks: Column, is_domain: Column) -> Column:
     clean = F.transform(toks, lambda t: F.coalesce(mapped(t, lexicon.LEGAL), t))
     legal = F.array_sort(F.array_distinct(F.filter(F.transform(toks, lambda t: mapped(t, lexicon.LEGAL)), lambda t: t.isNotNull())))
     rest = F.filter(toks, lambda t: ~t.isin([*lexicon.LEGAL, *lexicon.FILLER]))
@@ -127,10 +200,18 @@ def components(raw: Column, words: Column | None = None) -> Column:
 
 def norm_address(raw: Column, country: Column, words: Column | None = None) -> Column:
     """Struct of addr_clean, addr_nums, house, street, city, state, postcode."""
-    comps, land = components(raw, words), F.lower(F.coalesce(country, F.lit("")))
+    return let(components(raw, words), lambda comps: _address_parts(comps, F.lower(F.coalesce(country, F.lit("")))))
+
+
+def _address_parts(comps: Column, land: Column) -> Column:
     first = lambda a: F.coalesce(F.get(a, F.lit(0)), F.lit(""))
     state = first(F.filter(F.transform(comps, lambda c: state_of(c, land)), lambda x: x.isNotNull()))
     kept = F.transform(F.filter(comps, lambda c: state_of(c, land).isNull()), lambda c: F.transform(tokens(c), norm_token))
+    return let(kept, lambda k: _address_of_tokens(k, state))
+
+
+def _address_of_tokens(kept: Column, state: Column) -> Column:
+    first = lambda a: F.coalesce(F.get(a, F.lit(0)), F.lit(""))
     has_type = lambda ts: F.exists(ts, lambda t: t.isin(list(lexicon.STREET_TYPES)))
     flagged = F.transform(kept, lambda ts: F.exists(ts, _is_number) | has_type(ts))
     at = F.array_position(flagged, True)

@@ -46,6 +46,7 @@ def test_runs(spark, data, name):
     assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
 
 
+# Given inputs (FIXTURES, section D) and own ones, with expected values of our own.
 NAMES = {
     "Raab Modern Treasury, LLC": ("raab modern treasury llc", "raab modern treasury", "llc", 0),
     "raabmoderntreasury.com": ("raabmoderntreasury", "raabmoderntreasury", "", 1),
@@ -83,6 +84,19 @@ def test_addresses(spark):
         assert tuple(r.x) == ADDRESSES[r.k][2], ADDRESSES[r.k][0]
 
 
+def test_letters_of_other_scripts(spark):
+    """Compatibility forms, spelled-out scripts, the dictionary before them, and words that stand for a state."""
+    cases = {
+        "ﬁne Ａｃｍｅ №5 ½ Ĳssel Čapek": "fine acme no5 1\u20442 ijssel capek", "राजस्थान दिल्ली": "rajsthan dilli", "Москва, Жук": "moskva, zhuk", "Αθήνα": "athina", "かな": "kana",
+        "漢字 Ltd": "漢字 ltd", "e\u0301té": "ete", "": "", "bengal": "bengal", "\u09ac\u0999": "west bengal", "лтд.лтд": "limited.limited",
+    }
+    words = F.create_map(F.lit("\u09ac\u0999"), F.lit("bengal"), F.lit("лтд"), F.lit("limited"))
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", T.base_clean(F.col("raw"), words).alias("x")).collect()
+    assert {r.raw: r.x for r in rows} == cases
+    assert spark.range(1).select(T.base_clean(F.lit("лтд")).alias("x")).first().x == "ltd"
+    assert spark.range(1).select(T.text_key(F.lit(" A\t b\n")).alias("x")).first().x == "a b"
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -103,7 +117,7 @@ def test_indel_family():
     for a, b in pairs[:300]:
         short, long_ = sorted((a, b), key=len)
         windows = [long_[max(0, k) : k + len(short)] for k in range(1 - len(short), len(long_))]
-        assert S._partial(a, b) == pytest.approx(max((ratio(short, w) for w in windows), default=100.0 if not b and not a else 0.0))
+        assert S._partial(a, b) == pytest.approx(max(ratio(short, w) for w in windows) if short else 100.0 * (not long_))
     sets, weighted = S._token_sets(xs, ys), S._weighted(xs, ys)
     assert sets.tolist() == pytest.approx(S._token_sets(ys, xs).tolist()) and (weighted >= 0).all() and (weighted <= 100).all()
     assert S._token_sets(["new york mets"], ["mets york new fans"]).tolist() == [100] and S._token_sorts(["b a"], ["a b"]).tolist() == [100]
