@@ -1,4 +1,9 @@
-"""Window features over the candidate graph. Pairs are (s1, cand, score); ranks are ordinal and break ties by s1, cand."""
+"""Window features over the candidate graph. Pairs are (s1, cand, score); ranks are ordinal and break ties by s1, cand.
+
+Null scores rank last, count as absent in sums and maxima, and have null gaps and margins. Repeated pairs are separate rows (build_context
+refuses them). Empty tables give empty tables with all columns. Other columns of pairs pass through; names that begin with
+two underscores are reserved.
+"""
 
 from __future__ import annotations
 
@@ -28,26 +33,42 @@ def top_agreement(pairs: DataFrame, attrs: DataFrame, similarity) -> DataFrame:
     """pairs with each candidate's agreement with the best candidate of its s1: c_top_name, c_top_addr (null for the best
     itself), c_top_house (-2 itself, -1 a house is missing, else 0 or 1). attrs: cand, name, addr, house."""
     fields = ("name", "addr", "house")
-    best = pairs.withColumn("_r", F.row_number().over(_ranked("s1", "p"))).where("_r = 1").select("s1", F.col("cand").alias("_top"))
-    best = best.join(attrs.select(F.col("cand").alias("_top"), *[F.col(c).alias(f"_t_{c}") for c in fields]), "_top", "left")
-    own = attrs.select("cand", *[F.col(c).alias(f"_o_{c}") for c in fields])
+    best = pairs.withColumn("__r", F.row_number().over(_ranked("s1", "p"))).where("__r = 1").select("s1", F.col("cand").alias("__top"))
+    best = best.join(attrs.select(F.col("cand").alias("__top"), *[F.col(c).alias(f"__t_{c}") for c in fields]), "__top", "left")
+    own = attrs.select("cand", *[F.col(c).alias(f"__o_{c}") for c in fields])
     df = pairs.join(best, "s1", "left").join(own, "cand", "left")
-    self, house = F.col("cand") == F.col("_top"), F.col("_o_house") == F.col("_t_house")
-    missing = (F.coalesce("_o_house", F.lit("")) == "") | (F.coalesce("_t_house", F.lit("")) == "")
+    self, house = F.col("cand") == F.col("__top"), F.col("__o_house") == F.col("__t_house")
+    missing = (F.coalesce("__o_house", F.lit("")) == "") | (F.coalesce("__t_house", F.lit("")) == "")
     return df.withColumns({
-        "c_top_name": F.when(~self, similarity(F.col("_o_name"), F.col("_t_name"))), "c_top_addr": F.when(~self, similarity(F.col("_o_addr"), F.col("_t_addr"))),
+        "c_top_name": F.when(~self, similarity(F.col("__o_name"), F.col("__t_name"))), "c_top_addr": F.when(~self, similarity(F.col("__o_addr"), F.col("__t_addr"))),
         "c_top_house": F.when(self, -2).when(missing, -1).otherwise(house.cast("int")),
-    }).drop("_top", *[f"_{k}_{c}" for k in "to" for c in fields])
+    }).drop("__top", *[f"__{k}_{c}" for k in "to" for c in fields])
+
+
+#: Model scores that build_context knows: column of the channel table, and the prefix of its context features.
+CHANNELS: dict[str, str] = {"xenc": "x", "llm": "l"}
+
+
+def register_score_channel(name: str, prefix: str) -> None:
+    """Let build_context derive rank, gap and margin of a model score, under the prefix."""
+    CHANNELS[name] = prefix
 
 
 def build_context(pairs: DataFrame, attrs: DataFrame, similarity, channels: DataFrame | None = None, least: float = 0.01) -> DataFrame:
     """All context of the pairs with p of at least `least`: c_ and t_ columns, and the model scores of channels
-    (s1, cand, one column for each score), null where a channel lacks the pair. Repeated pairs raise an error."""
+    (s1, cand, one column for each score), null where a channel lacks the pair, with their own rank, gap and margin if
+    they are among CHANNELS. Repeated pairs raise an error."""
     key = W.partitionBy("s1", "cand")
     once = F.when(F.count("*").over(key) > 1, F.raise_error(F.lit("repeated pair"))).otherwise(F.lit(True))
-    kept = pairs.where(F.col("p") >= least).withColumn("_once", once).where("_once").drop("_once")
+    kept = pairs.where(F.col("p") >= least).withColumn("__once", once).where("__once").drop("__once")
     out = group_support(top_agreement(context_features(kept), attrs, similarity), attrs, similarity)
-    return out if channels is None else out.join(channels, ["s1", "cand"], "left")
+    if channels is None:
+        return out
+    out = out.join(channels, ["s1", "cand"], "left")
+    for name in channels.columns:
+        if name in CHANNELS:
+            out = score_context(out, name, CHANNELS[name])
+    return out
 
 
 def score_context(pairs: DataFrame, score: str, prefix: str) -> DataFrame:
@@ -55,12 +76,12 @@ def score_context(pairs: DataFrame, score: str, prefix: str) -> DataFrame:
     x, have = F.col(score), F.col(score).isNotNull()
     own, rival = W.partitionBy("s1"), W.partitionBy("cand")
     rank_c = F.row_number().over(_ranked("cand", score))
-    df = pairs.withColumn("_rc", rank_c)
-    second = F.max(F.when(F.col("_rc") == 2, x)).over(rival)
+    df = pairs.withColumn("__rc", rank_c)
+    second = F.max(F.when(F.col("__rc") == 2, x)).over(rival)
     return df.withColumns({
         f"{prefix}_rank_s1": F.when(have, F.row_number().over(_ranked("s1", score))), f"{prefix}_gap_s1": F.max(x).over(own) - x,
-        f"{prefix}_rank_cand": F.when(have, F.col("_rc")), f"{prefix}_margin_cand": F.when(have, F.when(F.col("_rc") == 1, x - second).otherwise(x - F.max(x).over(rival))),
-    }).drop("_rc")
+        f"{prefix}_rank_cand": F.when(have, F.col("__rc")), f"{prefix}_margin_cand": F.when(have, F.when(F.col("__rc") == 1, x - second).otherwise(x - F.max(x).over(rival))),
+    }).drop("__rc")
 
 
 def group_support(pairs: DataFrame, attrs: DataFrame, similarity, top: int = 4, least: float = 0.8) -> DataFrame:
@@ -88,7 +109,8 @@ def peer_support(pairs: DataFrame, attrs: DataFrame, similarity, names: int = 4,
     Of each s1, up to `names` distinct names by best score, up to `ids` candidates of each; a peer name
     contributes its first candidate that is not the row's own. attrs: cand, name, src.
     """
-    rows = pairs.join(attrs, "cand").where("name <> ''")
+    attrs = attrs.select("cand", "name", "src")
+    rows = pairs.select("s1", "cand", "p").join(attrs, "cand").where("name <> ''")
     in_name = W.partitionBy("s1", "name").orderBy(F.desc("p"), "cand")
     rows = rows.withColumn("k", F.row_number().over(in_name)).where(F.col("k") <= ids)
     firsts = rows.where("k = 1").withColumn("rank", F.row_number().over(W.partitionBy("s1").orderBy(F.desc("p"), "cand"))).where(F.col("rank") <= names).select("s1", F.col("name").alias("peer_name"))
@@ -104,18 +126,18 @@ def peer_support(pairs: DataFrame, attrs: DataFrame, similarity, names: int = 4,
 def name_margin(pairs: DataFrame, score: str = "j") -> DataFrame:
     """Margin to the best other claimant of cand (0 on ties, 1 if alone) and the number of competitors."""
     rival, x = W.partitionBy("cand"), F.col(score)
-    df = pairs.withColumn("_r", F.row_number().over(_ranked("cand", score))).withColumn("n_rivals", F.count("*").over(rival) - 1)
-    second = F.max(F.when(F.col("_r") == 2, x)).over(rival)
-    return df.withColumn("name_margin", F.when(F.col("n_rivals") == 0, 1.0).when(F.col("_r") == 1, x - second).otherwise(x - F.max(x).over(rival))).drop("_r")
+    df = pairs.withColumn("__r", F.row_number().over(_ranked("cand", score))).withColumn("n_rivals", F.count("*").over(rival) - 1)
+    second = F.max(F.when(F.col("__r") == 2, x)).over(rival)
+    return df.withColumn("name_margin", F.when(F.col("n_rivals") == 0, 1.0).when(F.col("__r") == 1, x - second).otherwise(x - F.max(x).over(rival))).drop("__r")
 
 
 def repair_scope(pairs: DataFrame, blank: Column) -> DataFrame:
     """repair: doubtful score, blank address, or a near tie at the top."""
     own, x = W.partitionBy("s1"), F.col("p")
-    df = pairs.withColumn("_r", F.row_number().over(_ranked("s1", "p")))
-    top, second = F.max(x).over(own), F.max(F.when(F.col("_r") == 2, x)).over(own)
+    df = pairs.withColumn("__r", F.row_number().over(_ranked("s1", "p")))
+    top, second = F.max(x).over(own), F.max(F.when(F.col("__r") == 2, x)).over(own)
     near = (top - second <= 0.15) & (top - x <= 0.15)
-    return df.withColumn("repair", x.between(0.05, 0.95) | blank | F.coalesce(near, F.lit(False))).drop("_r")
+    return df.withColumn("repair", x.between(0.05, 0.95) | blank | F.coalesce(near, F.lit(False))).drop("__r")
 
 
 def owner_dropout(pairs: DataFrame, percent: int, seed: str = "drop") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 def one_to_one(pairs: DataFrame, score: str = "p") -> DataFrame:
     """The best s1 of each candidate."""
     w = W.partitionBy("cand").orderBy(F.desc(score), "s1")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def select_threshold(pairs: DataFrame, t: float, score: str = "p") -> DataFrame:
@@ -49,29 +49,28 @@ def expected_f_approx(pairs: DataFrame, least: float = 0.05) -> DataFrame:
     return best.where("k <= best_k and top > none").select("s1", "cand", "p", "best_k")
 
 
-def expected_f_of_k(ps: Column) -> Column:
-    """For scores in descending order the exact expected F0.5 of predicting the first k, k = 0..n, matches independent.
-
-    The number of hits among the first k and among the rest are Poisson-binomial; both are built by the
-    usual recurrence.
-    """
-    one = F.array(F.lit(1.0))
+def hits(ps: Column) -> Column:
+    """The distribution of the number of matches among independent chances (Poisson-binomial), by the usual recurrence: n + 1 values."""
 
     def add(dist, p):
         longer = F.concat(dist, F.array(F.lit(0.0)))
         shifted = F.concat(F.array(F.lit(0.0)), dist)
         return F.zip_with(longer, shifted, lambda u, v: u * (1 - p) + v * p)
 
-    hits = lambda part: F.aggregate(part, one, add)
-    n = F.size(ps)
+    return F.aggregate(ps, F.array(F.lit(1.0)), add)
 
-    def value(k):
-        head = hits(F.slice(ps, F.lit(1), k))
-        tail = hits(F.slice(ps, k + 1, n))
-        cells = F.transform(head, lambda pa, i: F.aggregate(F.transform(tail, lambda pb, j: pa * pb * 1.25 * i / (0.25 * (i + j) + k)), F.lit(0.0), lambda acc, v: acc + v))
-        return F.when(k == 0, F.element_at(hits(ps), 1)).otherwise(F.aggregate(cells, F.lit(0.0), lambda acc, v: acc + v))
 
-    return F.transform(F.sequence(F.lit(0), n), value)
+def expected_f(inside: Column, outside: Column) -> Column:
+    """The exact expected F0.5 of predicting `inside` of the chances inside and outside; without any, the chance that nothing matches."""
+    k, head, tail = F.size(inside), hits(inside), hits(outside)
+    cells = F.transform(head, lambda pa, i: F.aggregate(F.transform(tail, lambda pb, j: pa * pb * 1.25 * i / (0.25 * (i + j) + k)), F.lit(0.0), lambda acc, v: acc + v))
+    return F.when(k == 0, F.element_at(tail, 1)).otherwise(F.aggregate(cells, F.lit(0.0), lambda acc, v: acc + v))
+
+
+def expected_f_of_k(ps: Column) -> Column:
+    """For scores in descending order the exact expected F0.5 of predicting the first k, k = 0..n, matches independent."""
+    n = F.size(ps)
+    return F.transform(F.sequence(F.lit(0), n), lambda k: expected_f(F.slice(ps, F.lit(1), k), F.slice(ps, k + 1, n)))
 
 
 def expected_f_exact(pairs: DataFrame, gate: DataFrame | None = None, least: float = 0.01, most: int = 20) -> DataFrame:

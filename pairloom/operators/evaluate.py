@@ -145,8 +145,8 @@ def stranded_owners(truth: DataFrame, scored: DataFrame, pred: DataFrame) -> Dat
 
 def blocking_recall(truth: DataFrame, cands: DataFrame, legs: Sequence[str]) -> DataFrame:
     """leg, found, total, recall: of the union and of each leg (a column that is null where the leg missed the pair)."""
-    t = truth.select("s1", "cand").distinct().join(cands.withColumn("_in", F.lit(1)), ["s1", "cand"], "left")
-    stack = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), F.col(c).isNotNull().alias("hit")) for n, c in [("union", "_in"), *[(x, x) for x in legs]]])).alias("x")
+    t = truth.select("s1", "cand").distinct().join(cands.withColumn("__in", F.lit(1)), ["s1", "cand"], "left")
+    stack = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), F.col(c).isNotNull().alias("hit")) for n, c in [("union", "__in"), *[(x, x) for x in legs]]])).alias("x")
     return t.select(stack).groupBy("x.leg").agg(F.count_if("x.hit").alias("found"), F.count("*").alias("total")).withColumn("recall", F.round(F.col("found") / F.col("total"), 6))
 
 
@@ -183,3 +183,22 @@ def whole_state_sample(states: DataFrame, target: int, cap: int, seed: str = "sa
     w = W.partitionBy("country").orderBy("h", "state").rowsBetween(W.unboundedPreceding, -1)
     df = states.where(F.col("n") <= cap).withColumn("h", h).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return df.where(F.col("before") < target).select("country", "state", "n")
+
+
+def state_subsets(states: DataFrame, targets: dict[str, int], seed: str = "subset", many: int = 40) -> DataFrame:
+    """Whole states (country, state, n) for several disjoint subsets of about the given sizes: country, state, n, subset.
+
+    A country has its share of each target. Its states come in hash order; each fills the first subset, until that has
+    what it wants, then the next; what is left over has no row. States of more than 0.6 times what the first subset wants (1.5 times in a
+    country of fewer than `many` states) are passed over, so that a subset has several. One window of states for each country.
+    """
+    want, own = next(iter(targets.values())), W.partitionBy("country")
+    total = states.agg(F.sum("n").alias("__all"))
+    df = states.select("country", "state", "n").join(F.broadcast(total)).withColumn("__share", F.sum("n").over(own) / F.col("__all")).withColumn("__many", F.count("*").over(own) >= many)
+    df = df.where(F.col("n") <= want * F.col("__share") * F.when(F.col("__many"), 0.6).otherwise(1.5))
+    df = df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(seed), "country", "state"))).withColumn("subset", F.lit(None).cast("string"))
+    for name, want in targets.items():
+        open_ = F.col("subset").isNull()
+        before = F.sum(F.when(open_, F.col("n")).otherwise(0)).over(own.orderBy("__h", "state").rowsBetween(W.unboundedPreceding, -1))
+        df = df.withColumn("subset", F.when(open_ & (F.coalesce(before, F.lit(0)) < want * F.col("__share")), name).otherwise(F.col("subset")))
+    return df.where("subset is not null").select("country", "state", "n", "subset")

@@ -10,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from . import decision as D
 from . import evaluate as E
 from . import models as M
@@ -52,7 +53,7 @@ def _selected(name: str, kept: DataFrame, gate: DataFrame | None, threshold: flo
     return D.expected_f_exact(kept.select("s1", "cand", F.col("q").alias("p")), gate if name == "exact+gate" else None).select("s1", "cand")
 
 
-def _best(sweep: DataFrame) -> tuple[float, float]:
+def best_of(sweep: DataFrame) -> tuple[float, float]:
     """Value and place of the first maximum of a sweep (t, macro_f05), one row for each point of the grid."""
     top = sweep.orderBy(F.desc("macro_f05"), "t").first()
     return top["macro_f05"], top["t"]
@@ -64,15 +65,22 @@ def tune(pairs: DataFrame, ids: DataFrame, truth: DataFrame, fold: DataFrame, **
     Gate and calibration that the rules are compared with never saw the s1's fold; the returned models are fitted on
     all rows. Of equal rules the first stays. The driver receives one row for each point of the grids.
     """
-    kept = D.one_to_one(pairs).join(fold, "s1", "left").fillna(0, ["fold"])
+    with Scratch(pairs.sparkSession) as tmp:
+        return _tuned(pairs, ids, truth, fold, tmp, options)
+
+
+def _tuned(pairs: DataFrame, ids: DataFrame, truth: DataFrame, fold: DataFrame, tmp: Scratch, options: dict) -> Rule:
+    """What four comparisons read is written once: owned pairs with their calibrated scores, and gates."""
+    kept = tmp.written(D.one_to_one(pairs).join(fold, "s1", "left").fillna(0, ["fold"]), "owned")
     table = D.s1_table(pairs).join(pairs.groupBy("s1").agg(F.max("y").alias("y")), "s1").join(fold, "s1", "left").fillna(0, ["fold"])
-    gate = M.out_of_fold(table, GATE_FEATURES, **options).select("s1", F.col("p").alias("gate"))
+    table = tmp.written(table, "table")
+    gate = tmp.written(M.out_of_fold(table, GATE_FEATURES, **options).select("s1", F.col("p").alias("gate")), "gates")
     parts = [M.calibrate(M.fit_isotonic(kept.where(F.col("fold") != k)), kept.where(F.col("fold") == k)) for k in (0, 1)]
-    kept = parts[0].unionByName(parts[1])
+    kept = tmp.written(parts[0].unionByName(parts[1]), "calibrated")
     values = {}
-    values["threshold"], threshold = _best(E.threshold_sweep(ids, kept, truth, THRESHOLDS))
+    values["threshold"], threshold = best_of(E.threshold_sweep(ids, kept, truth, THRESHOLDS))
     strong = D.select_threshold(kept, threshold).join(gate, "s1")
-    values["gate+threshold"], level = _best(E.threshold_sweep(ids, strong, truth, GATES, score="gate"))
+    values["gate+threshold"], level = best_of(E.threshold_sweep(ids, strong, truth, GATES, score="gate"))
     for name in ("exact", "exact+gate"):
         values[name] = E.macro_f05(ids, _selected(name, kept, gate, threshold, level), truth).first()["macro_f05"]
     return Rule(max(values, key=values.get), threshold, level, M.fit_gbt(table, GATE_FEATURES, **options), M.fit_isotonic(kept), values)

@@ -22,8 +22,8 @@ from ..operators import context as C
 from ..operators import decision as D
 from ..operators import evaluate as E
 from ..operators import features as X
-from ..operators import learn, models, rules
-from ..sources import io
+from ..operators import learn, models, rules, stages
+from ..sources import io, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -736,14 +736,14 @@ FEATURES = ("p", "c_rank_s1", "c_gap_s1", "c_ncand_s1", "c_margin_cand")
 
 @query()
 def gbt_stage1(spark, d):
-    rows = _feature_rows(spark, d).cache()
+    rows = shared.written(_feature_rows(spark, d), "rows")
     model = models.fit_gbt(rows.where("fold = 0"), FEATURES, rounds=8, depth=4)
     return models.score_gbt([model], rows.where("fold = 1"), FEATURES, "score").select("s1", "cand", "y", F.round("score", 6).alias("score"))
 
 
 @query()
 def oof_scores(spark, d):
-    rows = _feature_rows(spark, d).withColumnRenamed("p", "p1").cache()
+    rows = shared.written(_feature_rows(spark, d).withColumnRenamed("p", "p1"), "rows")
     return models.out_of_fold(rows, ("p1", *FEATURES[1:]), rounds=5, depth=3).select("s1", "cand", "fold", F.round("p", 6).alias("p"))
 
 
@@ -804,18 +804,40 @@ def submission_invariants(spark, d):
 
 @query()
 def orphan_reassign(spark, d):
-    """Greedy within each s1; tests compare with a plain loop."""
-    x = pairs(spark, d)
-    chosen = predicted(spark, d, 0.9)
-    mass = x.join(chosen.withColumn("ip", F.lit(1)), ["s1", "cand"], "left").groupBy("s1").agg(F.count("ip").alias("n_pred"), F.sum(F.when(F.col("ip") == 1, F.col("p")).otherwise(0.0)).alias("mass_pred"), F.sum("p").alias("mass_all"))
-    free = x.join(chosen.select("cand"), "cand", "left_anti").select("s1", "cand", F.col("p").alias("q"))
-    return A.orphan_reassign(mass, free, 0.01).withColumn("gain", F.round("gain", 6))
-
-
-@query()
+    """A sequence of decisions that SQL does not express; tests compare with a plain loop over exact enumerations."""
+    x = pairs(spark, d).select("s1", "cand", F.round(F.col("p") * F.col("p"), 6).alias("q"))
+    x = D.normalised_by_owner(x.withColumnRenamed("q", "p")).select("s1", "cand", F.round("q", 6).alias("q"))
+    losers = pairs(spark, d).join(D.one_to_one(pairs(spark, d)).select("s1", "cand"), ["s1", "cand"], "left_anti")
+    return A.orphan_reassign(x, predicted(spark, d, 0.98), losers, 0.002).withColumn("gain", F.round("gain", 6))
+
+
+def _deficit(part: int, share: float) -> str:
+    return f"({share}::DOUBLE * o.total - h{part}) / ({share}::DOUBLE * o.total)"
+
+
+_TO_PART = f"CASE WHEN {_deficit(0, 0.2)} >= {_deficit(1, 0.3)} AND {_deficit(0, 0.2)} >= {_deficit(2, 0.5)} THEN 0 WHEN {_deficit(1, 0.3)} >= {_deficit(2, 0.5)} THEN 1 ELSE 2 END"
+_ENUM = " + ".join(f"CASE WHEN p{k} = {{0}} THEN n{k} ELSE 0 END" for k in range(1, 6))
+_COUNT = " + ".join(f"(p{k} = {{0}})::INT" for k in range(1, 6))
+
+
+@query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT 'nation ' || c_mktsegment AS country, CAST(c_nationkey AS VARCHAR) AS grp, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'region ' || c_mktsegment, CAST(n_regionkey AS VARCHAR), count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+w AS MATERIALIZED (SELECT country, sum(n) AS total, count(*) AS k, list(n ORDER BY grp) AS ns, list(grp ORDER BY grp) AS gs FROM g GROUP BY country),
+r AS (SELECT unnest([0, 1, 2]) AS p),
+e AS (SELECT w.country, total, gs, [p1, p2, p3, p4, p5] AS ps, {", ".join(f"{_ENUM.format(k)} AS s{k}" for k in range(3))}, {", ".join(f"{_COUNT.format(k)} AS c{k}" for k in range(3))}
+  FROM (SELECT *, {", ".join(f"ns[{k}] AS n{k}" for k in range(1, 6))} FROM w WHERE k = 5) w, (SELECT a.p AS p1, b.p AS p2, c.p AS p3, d.p AS p4, f.p AS p5 FROM r a, r b, r c, r d, r f) t),
+f AS (SELECT country, gs, ps FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY (s0::DOUBLE / total - 0.2) * (s0::DOUBLE / total - 0.2) + (s1::DOUBLE / total - 0.3) * (s1::DOUBLE / total - 0.3) + (s2::DOUBLE / total - 0.5) * (s2::DOUBLE / total - 0.5), ps) AS r
+  FROM e WHERE c0 >= 1 AND c1 >= 2 AND c2 >= 2 AND s0 >= 0.1::DOUBLE * total AND s1 >= 0.1::DOUBLE * total AND s2 >= 0.25::DOUBLE * total) WHERE r = 1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, sha256(grp)) AS i, sum(n) OVER (PARTITION BY country) AS total FROM g WHERE country NOT IN (SELECT country FROM f)),
+s(country, grp, n, part, i, h0, h1, h2) AS (
+  SELECT DISTINCT country, '', 0::BIGINT, -1, 0::BIGINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT FROM o
+  UNION ALL SELECT country, grp, n, part, i, h0 + CASE WHEN part = 0 THEN n ELSE 0 END, h1 + CASE WHEN part = 1 THEN n ELSE 0 END, h2 + CASE WHEN part = 2 THEN n ELSE 0 END
+  FROM (SELECT o.country, o.grp, o.n, {_TO_PART} AS part, o.i, h0, h1, h2 FROM s JOIN o ON o.country = s.country AND o.i = s.i + 1))
+SELECT country, grp, n, part FROM s WHERE i > 0 UNION ALL SELECT g.country, g.grp, g.n, CAST(f.ps[list_position(f.gs, g.grp)] AS INT) FROM g JOIN f ON f.country = g.country""")
 def holdout_greedy(spark, d):
-    groups = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("country"), F.col("c_nationkey").alias("grp")).agg(F.count("*").alias("n"))
-    return A.greedy_partition(groups, (0.2, 0.3, 0.5))
+    """Segments as countries: their nations (25, dealt by size) and their regions (5, all assignments tried)."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    level = lambda name, key: c.groupBy(F.concat(F.lit(f"{name} "), "c_mktsegment").alias("country"), F.col(key).cast("string").alias("grp")).agg(F.count("*").alias("n"))
+    return A.greedy_partition(level("nation", "c_nationkey").unionByName(level("region", "n_regionkey")))
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, CASE WHEN y = 1 THEN 'positive' WHEN p >= 0.3 THEN 'hard' ELSE 'easy' END AS st, md5('strata|' || s1 || '|' || cand) AS h FROM pairs),
@@ -833,11 +855,30 @@ def top_agreement(spark, d):
     return got.select("s1", "cand", F.round("c_top_name", 6).alias("c_top_name"), F.round("c_top_addr", 6).alias("c_top_addr"), "c_top_house")
 
 
-@query()
+_KEPT = PAIRS + ", kept AS (SELECT * FROM pairs WHERE p >= 0.01)"
+_RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY {1} DESC NULLS LAST, s1, cand)"
+
+
+@query(f"""WITH {_KEPT}, {ATTRS}, w AS (SELECT *, {_RANKED.format("s1", "p")} AS c_rank_s1, {_RANKED.format("cand", "p")} AS c_rank_cand FROM kept),
+c AS (SELECT s1, cand, p, y, c_rank_s1, max(p) OVER a AS c_pmax_s1, round(sum(p) OVER a, 6) AS c_psum_s1, count(*) FILTER (WHERE p >= 0.5) OVER a AS c_n05_s1, count(*) FILTER (WHERE p >= 0.2) OVER a AS c_n02_s1, count(*) OVER a AS c_ncand_s1,
+  c_rank_cand, count(*) OVER b AS c_nclaim, max(p) OVER b AS c_pmax_cand, round(sum(p) OVER b - p, 6) AS c_pother_cand, round(max(p) OVER a - p, 6) AS c_gap_s1,
+  round(CASE WHEN c_rank_cand = 1 THEN p - coalesce(max(CASE WHEN c_rank_cand = 2 THEN p END) OVER b, 0) ELSE p - max(p) OVER b END, 6) AS c_margin_cand FROM w WINDOW a AS (PARTITION BY s1), b AS (PARTITION BY cand)),
+t AS (SELECT m.s1, m.cand, CASE WHEN r.cand <> m.cand THEN round({JACC.format(a="x.name", b="z.name")}, 6) END AS c_top_name, CASE WHEN r.cand <> m.cand THEN round({JACC.format(a="x.addr", b="z.addr")}, 6) END AS c_top_addr,
+  CASE WHEN r.cand = m.cand THEN -2 WHEN x.house = z.house THEN 1 ELSE 0 END AS c_top_house FROM kept m JOIN (SELECT s1, cand FROM w WHERE c_rank_s1 = 1) r ON r.s1 = m.s1 JOIN attrs x ON x.cand = m.cand JOIN attrs z ON z.cand = r.cand),
+o AS (SELECT m.s1, m.cand, o.p AS po, {JACC.format(a="x.name", b="z.name")} AS ns, {JACC.format(a="x.addr", b="z.addr")} AS asim, CASE WHEN x.house = z.house THEN 1.0 ELSE 0.0 END AS h
+  FROM kept m JOIN attrs x ON x.cand = m.cand JOIN w o ON o.s1 = m.s1 AND o.c_rank_s1 <= 4 AND o.cand <> m.cand JOIN attrs z ON z.cand = o.cand),
+g AS (SELECT s1, cand, round(max(ns), 6) AS t_name_max, round(max(asim), 6) AS t_addr_max, round(sum(ns * po) / greatest(sum(po), 1e-6), 6) AS t_name_mean, round(sum(asim * po) / greatest(sum(po), 1e-6), 6) AS t_addr_mean,
+  round(sum(CASE WHEN ns >= 0.8 AND asim >= 0.8 THEN po ELSE 0 END), 6) AS t_support, max(h)::DOUBLE AS t_house_agree, count(*) AS t_n_others FROM o GROUP BY s1, cand),
+h AS (SELECT s1, cand, CASE WHEN (s1 + cand) % 3 > 0 THEN 1 - p END AS xenc FROM kept),
+k AS (SELECT s1, cand, xenc, {_RANKED.format("s1", "xenc")} AS rs, {_RANKED.format("cand", "xenc")} AS rc FROM h),
+x AS (SELECT s1, cand, round(xenc, 6) AS xenc, CASE WHEN xenc IS NOT NULL THEN rs END AS x_rank_s1, round(max(xenc) OVER (PARTITION BY s1) - xenc, 6) AS x_gap_s1, CASE WHEN xenc IS NOT NULL THEN rc END AS x_rank_cand,
+  round(CASE WHEN xenc IS NULL THEN NULL WHEN rc = 1 THEN xenc - max(CASE WHEN rc = 2 THEN xenc END) OVER (PARTITION BY cand) ELSE xenc - max(xenc) OVER (PARTITION BY cand) END, 6) AS x_margin_cand FROM k)
+SELECT * FROM c JOIN t USING (s1, cand) LEFT JOIN g USING (s1, cand) JOIN x USING (s1, cand)""")
 def context_composed(spark, d):
-    """All context columns at once; its parts have their own counterparts."""
-    channel = pairs(spark, d).where("(s1 + cand) % 3 > 0").select("s1", "cand", (1 - F.col("p")).alias("model"))
-    return C.build_context(pairs(spark, d), attrs(spark, d).drop("src"), S.jaccard, channel)
+    """All context columns at once, with one model score."""
+    channel = pairs(spark, d).where("(s1 + cand) % 3 > 0").select("s1", "cand", (1 - F.col("p")).alias("xenc"))
+    got = C.build_context(pairs(spark, d), attrs(spark, d).drop("src"), S.jaccard, channel)
+    return got.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if "rank" in c else F.col(c) for c, t in got.dtypes])
 
 
 def _places(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -887,7 +928,7 @@ def build_candidates(spark, d):
 @query()
 def rule_tuned(spark, d):
     """What the best of four rules chooses."""
-    x = pairs(spark, d).cache()
+    x = shared.written(pairs(spark, d), "pairs")
     fold = ids(spark, d).select("s1", models.group_fold(F.col("grp")).alias("fold"))
     return rules.apply(rules.tune(x, ids(spark, d), truth(spark, d), fold, rounds=4, depth=3), x)
 
@@ -896,3 +937,102 @@ def rule_tuned(spark, d):
 def grouped_calibration(spark, d):
     x = pairs(spark, d).withColumn("blank", F.col("cand") % 5 == 0)
     return models.calibrate_by_group(x.where("s1 % 2 = 0"), x, "blank").select("s1", "cand", "blank", F.round("q", 6).alias("q"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS country, CAST(c_nationkey AS VARCHAR) AS state, count(*) AS n FROM customer GROUP BY ALL),
+e AS (SELECT *, sum(n) OVER (PARTITION BY country)::DOUBLE / sum(n) OVER () AS share, md5('subset|' || country || '|' || state) AS h FROM s),
+k AS (SELECT * FROM e WHERE n <= 400 * share * 1.5),
+v AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY country ORDER BY h, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 400 * share AS val FROM k),
+t AS (SELECT *, coalesce(sum(CASE WHEN val THEN 0 ELSE n END) OVER (PARTITION BY country ORDER BY h, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 700 * share AS train FROM v)
+SELECT country, state, n, CASE WHEN val THEN 'val' ELSE 'train' END AS subset FROM t WHERE val OR train""")
+def state_subsets(spark, d):
+    """Whole nations of each segment for validation, then for training."""
+    s = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("country"), F.col("c_nationkey").cast("string").alias("state")).agg(F.count("*").alias("n"))
+    return E.state_subsets(s, {"val": 400, "train": 700})
+
+
+@query(f"""WITH {PAIRS} SELECT i.grp AS country, count(*) AS n_s1, round(avg(coalesce(k, 0)), 6) AS mean_matches, round(avg(CASE WHEN k IS NULL THEN 1 ELSE 0 END), 6) AS empty_rate FROM ids i LEFT JOIN (SELECT s1, count(*) AS k FROM pred GROUP BY s1) n ON n.s1 = i.s1 GROUP BY 1""")
+def country_report(spark, d):
+    return stages.country_report(ids(spark, d).withColumnRenamed("grp", "country"), predicted(spark, d))
+
+
+@query(f"""WITH {PAIRS} SELECT p.s1, p.cand, p.p, p.y, 'order ' || p.s1 || ' ' || o_orderpriority AS a, p_name || ' | ' || p_type AS b FROM pairs p JOIN orders ON o_orderkey = p.s1 JOIN part ON p_partkey = p.cand WHERE p >= 0.02 AND p < 0.98""")
+def pair_band(spark, d):
+    left = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.lit("order"), "o_orderkey", "o_orderpriority").alias("text"))
+    right = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", "p_name", "p_type").alias("text"))
+    return models.pair_band(pairs(spark, d), left, right, 0.02, 0.98)
+
+
+_LOGIT = "ln(greatest(least({0}, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) / (1 - greatest(least({0}, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE)))"
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT s1, cand, p, CASE WHEN cand % 5 > 0 THEN round(p * p, 6) END AS p2, cand % 7 = 0 AS blank, (s1 % 90 - 45)::DOUBLE - p AS ml FROM pairs)
+SELECT s1, cand, round({_LOGIT.format("p")}, 9) AS lf_logit, CASE WHEN blank THEN 1.0 ELSE 0.0 END::DOUBLE AS lf_blank, round(greatest(least(ml, 20), -20) / 4, 9) AS lf_model, round(CASE WHEN blank THEN greatest(least(ml, 20), -20) / 4 ELSE 0 END, 9) AS lf_both,
+round(CASE WHEN p2 IS NULL THEN p ELSE 0.75::DOUBLE * p2 + 0.25::DOUBLE * p END, 9) AS blended, CASE WHEN blank THEN p ELSE p2 END AS switched FROM x""")
+def fusion_features(spark, d):
+    """What logistic fusion sees, a blend and a switch of two scores; the model's logit is the difference of two outputs."""
+    x = pairs(spark, d).select("s1", "cand", "p", F.when(F.col("cand") % 5 > 0, F.round(F.col("p") * F.col("p"), 6)).alias("p2"), (F.col("cand") % 7 == 0).alias("blank"))
+    yes = models.match_logit(F.col("p"), (F.col("s1") % 90 - 45).cast("double"))
+    got = models.logit_features(F.col("p"), F.col("blank"), yes)
+    return x.select("s1", "cand", *[F.round(c, 9).alias(k) for k, c in got.items()], F.round(models.blended(F.col("p2"), F.col("p")), 9).alias("blended"), models.switched(F.col("blank"), F.col("p"), F.col("p2")).alias("switched"))
+
+
+@query("""SELECT doc_id, coalesce(trim(text), '') = '' AS blank_a, coalesce(trim(source), '') = '' AS blank_b, coalesce(regexp_extract(text, '([0-9]+)', 1), '') <> '' AND regexp_extract(source || n_chars, '([0-9]+)', 1) <> '' AND regexp_extract(text, '([0-9]+)', 1) <> regexp_extract(source || n_chars, '([0-9]+)', 1) AS conflict,
+trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key, doc_id || ' | ' || lang || ' | ' || source AS text FROM documents""")
+def address_flags(spark, d):
+    """Blank sides, numbers that differ, text signatures and model texts."""
+    x = table(spark, d, "documents").withColumn("other", F.concat("source", "n_chars"))
+    texts = io.records_text(x.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("addr"), F.col("source").alias("state")))
+    flags = x.select("doc_id", *[c.alias(f"blank_{k}") for k, c in A.blank_flags(F.col("text"), F.col("source")).items()], A.first_number_conflict(F.col("text"), F.col("other")).alias("conflict"), T.text_key(F.col("text")).alias("key"))
+    return flags.join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT p_name AS name_sorted, count(*) AS n_s1_same_name FROM part GROUP BY 1)
+SELECT q.s1, q.cand, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y, n_s1_same_name FROM pairs q JOIN part ON p_partkey = q.cand JOIN n ON n.name_sorted = p_name LEFT JOIN truth t ON t.s1 = q.s1 AND t.cand = q.cand""")
+def labelled_pairs(spark, d):
+    """Pairs with labels from the truth, and how many records share the candidate's name."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.col("p_name").alias("name_sorted"))
+    rows = X.with_labels(pairs(spark, d).select("s1", "cand"), truth(spark, d).withColumnRenamed("cand", "match"))
+    return rows.join(part, "cand").join(X.same_name_counts(part), "name_sorted").select("s1", "cand", "y", "n_s1_same_name")
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT coalesce(i.s1, q.s1) AS s1, string_agg(CAST(cand AS VARCHAR), ',' ORDER BY CAST(cand AS VARCHAR)) AS matched FROM ids i LEFT JOIN pred q ON q.s1 = i.s1 GROUP BY 1) SELECT CAST(s1 AS VARCHAR) AS s1, coalesce(matched, '') AS matched FROM m""")
+def list_files(spark, d):
+    """Match lists written as a file, read again, as long rows and as sets."""
+    path = shared.table_path(spark, "lists")
+    io.write_lists(D.match_lists(ids(spark, d), predicted(spark, d)), path)
+    read = io.read_lists(spark, path)
+    long = io.load_truth(read.select("s1", F.array_join("matched", ",").alias("m")), "s1", "m")
+    return io.truth_sets(long).select("s1", F.array_join("matches", ",").alias("matched"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source = (SELECT min(source) FROM documents) AND doc_id IN (SELECT item_id FROM benchmark)")
+def pushed_scan(spark, d):
+    """Two columns of one source's records, for ids of a list."""
+    least = table(spark, d, "documents").agg(F.min("source").alias("s")).first().s
+    rows = io.scan_records(spark, f"{d}/documents.parquet", ["doc_id", "lang"], least, "source")
+    return io.restricted(rows, table(spark, d, "benchmark").select("item_id"), "doc_id")
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT s1, cand, p AS sim_name, 0.5::DOUBLE AS sim_dense FROM pairs WHERE cand % 3 > 0), b AS (SELECT s1, cand, round(1 - p, 6) AS sim_dense, s1 % 10 AS rk_dense_f FROM pairs WHERE cand % 2 = 0)
+SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.cand, b.cand) AS cand, a.sim_name, b.sim_dense, b.rk_dense_f FROM a FULL JOIN b ON a.s1 = b.s1 AND a.cand = b.cand""")
+def merge_dense(spark, d):
+    x = pairs(spark, d)
+    cands = x.where("cand % 3 > 0").select("s1", "cand", F.col("p").alias("sim_name"), F.lit(0.5).alias("sim_dense"))
+    return B.merge_dense(cands, x.where("cand % 2 = 0").select("s1", "cand", F.round(1 - F.col("p"), 6).alias("sim_dense"), (F.col("s1") % 10).alias("rk_dense_f")))
+
+
+@query()
+def stage2_flow(spark, d):
+    """Both model stages from end to end over one third of the orders for each of training, tuning and prediction."""
+    with shared.Scratch(spark) as tmp:
+        x = tmp.written(pairs(spark, d).withColumns({"f1": F.round((F.col("s1") * 31 + F.col("cand") * 17) % 101 / 101.0, 6), "f2": F.col("p") * F.col("p")}), "pairs")
+        rows = [x.where(F.col("s1") % 3 == k) for k in range(3)]
+        own = ids(spark, d).where("s1 % 3 = 1").select("s1")
+        true = truth(spark, d).where("s1 % 3 = 1")
+        one = stages.fit_stage1(rows[0].withColumnRenamed("p", "p0"), rows[1].withColumnRenamed("p", "p0"), ("p0", "f1"), own, true, rounds=6, depth=3)
+        scored = [tmp.written(stages.score_stage1(one, r.withColumnRenamed("p", "p0")), "scored") for r in rows]
+        names = attrs(spark, d).drop("src")
+        fold = own.withColumn("fold", models.group_fold(F.col("s1")))
+        two = stages.fit_stage2(scored[0], scored[1], ("p0", "f1"), names, S.jaccard, own, true, fold, seeds=(1, 2, 3), rounds=4, depth=3)
+        return shared.written(stages.predict_stage2(two, scored[2], names, S.jaccard), "chosen")

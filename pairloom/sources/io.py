@@ -35,10 +35,10 @@ def load_truth(wide: DataFrame, key: str = "source1_entity_id", lists: str = "ma
     return wide.select(F.col(key).alias("s1"), F.explode_outer(parts).alias("match")).withColumn("match", F.trim("match"))
 
 
-def scan_records(spark: SparkSession, path: str, columns: list[str], country: str | None = None) -> DataFrame:
-    """A Parquet scan with column pruning and a pushed filter on country."""
+def scan_records(spark: SparkSession, path: str, columns: list[str], country: str | None = None, by: str = "country") -> DataFrame:
+    """A Parquet scan with column pruning and a pushed filter on country (or another column)."""
     df = spark.read.parquet(path)
-    return (df if country is None else df.where(F.col("country") == country)).select(*columns)
+    return (df if country is None else df.where(F.col(by) == country)).select(*columns)
 
 
 def union_sources(parts: dict[int, DataFrame]) -> DataFrame:
