@@ -71,8 +71,10 @@ def _pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """
     k = _CLASS[data]
     now, before = k[1:], k[:-1]
-    cut = ((before == 0) & (now != 0)) | ((before == 1) & (now == 2)) | ((before == 2) & (now == 1))
-    return np.union1d(np.flatnonzero(cut) + 1, off)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1 : len(data)] = ((before == 0) & (now != 0)) | ((before == 1) & (now == 2)) | ((before == 2) & (now == 1))
+    cut[off] = True
+    return np.flatnonzero(cut)
 
 
 class _Encoder:
