@@ -1,4 +1,8 @@
-"""Audits and smaller operators: address diagnostics, blends, folds, calibration tables, invariants, reassignment."""
+"""Audits and smaller operators: address diagnostics, blends, folds, calibration tables, invariants, reassignment, partitions.
+
+Null texts count as empty. Ties break by the smaller key unless an operator says otherwise. Empty tables give empty results, or
+one row of zeros where counts are asked. Names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 

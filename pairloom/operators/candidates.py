@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..sources.shared import Scratch, written
+from ..sources.shared import Scratch, checked, written
 from . import blocking as B
 
 REVERSE = {"name_addr": B.REVERSE_K}
@@ -61,7 +61,7 @@ def _candidates(s1: DataFrame, pool: DataFrame, wanted: DataFrame | None, progre
     for view, k in B.FORWARD_K.items():
         progress(view)
         rows, options = view_rows(pool, view), B.VIEWS[view]
-        idf = B.checked(tmp.written(country_weights(rows, options.min_df, options.max_df), "idf"), B.BROADCAST_GRAMS)
+        idf = checked(tmp.written(country_weights(rows, options.min_df, options.max_df), "idf"), B.BROADCAST_GRAMS)
         q, c = (tmp.written(vectors(t, idf), "vectors") for t in (view_rows(s1, view), rows))
         asked = q if wanted is None else q.join(wanted.select(F.col("s1").alias("id")).distinct(), "id", "left_semi")
         known = within(c.where("key <> '?'"))

@@ -1,4 +1,9 @@
-"""From scores to sets: ownership, thresholds, gates, and expected-F0.5 selection. Ties break by score desc, s1, cand."""
+"""From scores to sets: ownership, thresholds, gates, and expected-F0.5 selection. Ties break by score desc, s1, cand.
+
+Null scores own nothing that a score claims, reach no threshold and take no part in expectations. Repeated pairs count
+as often as they stand, but own once. Empty tables choose nothing. Other columns pass through; names that begin with
+two underscores are reserved.
+"""
 
 from __future__ import annotations
 
@@ -22,15 +27,15 @@ def gated(pairs: DataFrame, gate: DataFrame, g: float) -> DataFrame:
     return pairs.join(gate.where(F.col("gate") >= g).select("s1"), "s1", "left_semi")
 
 
-def s1_table(pairs: DataFrame) -> DataFrame:
-    """One row for each s1: best three scores, sum, counts, and how many candidates a rival has a better claim to."""
+def s1_table(pairs: DataFrame, tops: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each s1: best three scores, sum, counts, how many candidates a rival has a better claim to, and the best candidate's columns tops as g_top_<name>."""
     rival = W.partitionBy("cand").orderBy(F.desc("p"), "s1")
     own = W.partitionBy("s1").orderBy(F.desc("p"), "cand")
-    df = pairs.withColumn("o", F.row_number().over(rival)).withColumn("r", F.row_number().over(own))
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("p")))
+    df = pairs.withColumn("__o", F.row_number().over(rival)).withColumn("__r", F.row_number().over(own))
+    at = lambda k: F.max(F.when(F.col("__r") == k, F.col("p")))
     return df.groupBy("s1").agg(
         at(1).alias("g_p1"), at(2).alias("g_p2"), at(3).alias("g_p3"), F.round(F.sum("p"), 6).alias("g_sum"), F.count_if(F.col("p") >= 0.5).alias("g_n05"),
-        F.count_if(F.col("p") >= 0.2).alias("g_n02"), F.count("*").alias("g_n"), F.count_if(F.col("o") > 1).alias("g_lost"),
+        F.count_if(F.col("p") >= 0.2).alias("g_n02"), F.count("*").alias("g_n"), F.count_if(F.col("__o") > 1).alias("g_lost"), *[F.max(F.when(F.col("__r") == 1, F.col(c))).alias(f"g_top_{c}") for c in tops],
     )
 
 

@@ -1,4 +1,8 @@
-"""Evaluation, audit and statistics. Predictions and truth are pair tables (s1, cand); ids lists every s1 that counts."""
+"""Evaluation, audit and statistics. Predictions and truth are pair tables (s1, cand); ids lists every s1 that counts.
+
+Repeated pairs and ids count once. Pairs of an s1 that ids lacks do not count; pairs with a null key match nothing. Without ids, means are
+null and counts 0. Names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 
@@ -105,10 +109,10 @@ def threshold_sweep(ids: DataFrame, scored: DataFrame, truth: DataFrame, grid: S
     return df.groupBy("t").agg(F.round(F.avg(f05(total("tp"), F.col("n_true"), total("n"))), 6).alias("macro_f05"))
 
 
-def score_bins(pairs: DataFrame, edges: Sequence[float] = (0.01, 0.05, 0.2, 0.5, 0.9)) -> DataFrame:
-    """bin, n, mean score and match rate; bin k holds scores from the k-th edge to the next."""
+def score_bins(pairs: DataFrame, edges: Sequence[float] = (0.01, 0.05, 0.2, 0.5, 0.9), by: tuple[str, ...] = ()) -> DataFrame:
+    """bin, n, mean score and match rate, apart for each value of the columns by; bin k holds scores from the k-th edge to the next. Null scores have a null bin."""
     b = sum((F.col("p") >= e).cast("long") for e in edges)
-    return pairs.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("match_rate"))
+    return pairs.groupBy(b.alias("bin"), *by).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("match_rate"))
 
 
 def log_loss(pairs: DataFrame) -> DataFrame:
@@ -118,12 +122,16 @@ def log_loss(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.round(F.avg(loss), 6).alias("log_loss"), F.round(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")), 6).alias("accuracy"))
 
 
-def submission_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row over two list tables (s1, matched): changed lists, added and removed ids, lists that became empty or filled."""
+def submission_diff(old: DataFrame, new: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row over two list tables (s1, matched): changed lists, added and removed ids, lists that became empty or filled.
+
+    With groups (s1, country) one row for each country. Null lists are empty; an s1 that one table lacks does not count.
+    """
     ids = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "")
     both = old.select("s1", ids(F.col("matched")).alias("o")).join(new.select("s1", ids(F.col("matched")).alias("n")), "s1")
     size = lambda c: F.size(c).cast("long")
-    return both.agg(
+    rows = both.groupBy() if groups is None else both.join(groups.select("s1", "country").distinct(), "s1").groupBy("country")
+    return rows.agg(
         F.count_if((F.size(F.array_except("o", "n")) > 0) | (F.size(F.array_except("n", "o")) > 0)).alias("changed"), F.sum(size(F.array_except("n", "o"))).alias("added"),
         F.sum(size(F.array_except("o", "n"))).alias("removed"), F.count_if((F.size("o") > 0) & (F.size("n") == 0)).alias("emptied"), F.count_if((F.size("o") == 0) & (F.size("n") > 0)).alias("filled"),
     )

@@ -1,4 +1,8 @@
-"""The pair features: one select over rows that hold both sides (a_ and b_ prefixed normalised columns)."""
+"""The pair features: one select over rows that hold both sides (a_ and b_ prefixed normalised columns).
+
+A feature is null where a side is null or its ratio is undefined; empty strings have empty token sets. Rows stay as they are: repeated
+pairs give repeated rows, an empty table no rows.
+"""
 
 from __future__ import annotations
 

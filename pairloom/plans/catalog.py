@@ -315,9 +315,9 @@ def gated(spark, d):
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS o FROM pairs)
 SELECT s1, max(CASE WHEN r = 1 THEN p END) AS g_p1, max(CASE WHEN r = 2 THEN p END) AS g_p2, max(CASE WHEN r = 3 THEN p END) AS g_p3, round(sum(p), 6) AS g_sum, count(*) FILTER (WHERE p >= 0.5) AS g_n05,
-count(*) FILTER (WHERE p >= 0.2) AS g_n02, count(*) AS g_n, count(*) FILTER (WHERE o > 1) AS g_lost FROM r GROUP BY s1""")
+count(*) FILTER (WHERE p >= 0.2) AS g_n02, count(*) AS g_n, count(*) FILTER (WHERE o > 1) AS g_lost, max(CASE WHEN r = 1 THEN y END) AS g_top_y, max(CASE WHEN r = 1 THEN cand END) AS g_top_cand FROM r GROUP BY s1""")
 def s1_gate_table(spark, d):
-    return D.s1_table(pairs(spark, d))
+    return D.s1_table(pairs(spark, d), ("y", "cand"))
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT *, row_number() OVER w AS k, sum(p) OVER (PARTITION BY s1 ORDER BY p DESC, cand ROWS UNBOUNDED PRECEDING) AS run, sum(p) OVER (PARTITION BY s1) AS total,
@@ -400,9 +400,9 @@ def oracle_interventions(spark, d):
     return E.interventions(ids(spark, d), predicted(spark, d), truth(spark, d), pairs(spark, d).where("p >= 0.2"))
 
 
-@query(f"""WITH {PAIRS} SELECT (p >= 0.01)::BIGINT + (p >= 0.05)::BIGINT + (p >= 0.2)::BIGINT + (p >= 0.5)::BIGINT + (p >= 0.9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS match_rate FROM pairs GROUP BY 1""")
+@query(f"""WITH {PAIRS} SELECT (p >= 0.01)::BIGINT + (p >= 0.05)::BIGINT + (p >= 0.2)::BIGINT + (p >= 0.5)::BIGINT + (p >= 0.9)::BIGINT AS bin, cand % 10 = 0 AS blank, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS match_rate FROM pairs GROUP BY 1, 2""")
 def score_bins(spark, d):
-    return E.score_bins(pairs(spark, d))
+    return E.score_bins(pairs(spark, d).withColumn("blank", F.col("cand") % 10 == 0), by=("blank",))
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT y, p, greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS q FROM pairs)
@@ -413,10 +413,10 @@ def log_loss(spark, d):
 
 @query(f"""WITH {PAIRS}, a AS (SELECT i.s1, coalesce(list(cand) FILTER (WHERE cand IS NOT NULL), []) AS o FROM ids i LEFT JOIN pred q ON q.s1 = i.s1 GROUP BY i.s1),
 b AS (SELECT i.s1, coalesce(list(cand) FILTER (WHERE cand IS NOT NULL), []) AS n FROM ids i LEFT JOIN (SELECT * FROM owned WHERE p >= 0.8) q ON q.s1 = i.s1 GROUP BY i.s1),
-x AS (SELECT len(list_filter(n, lambda v: NOT list_contains(o, v))) AS plus, len(list_filter(o, lambda v: NOT list_contains(n, v))) AS minus, len(o) AS lo, len(n) AS ln FROM a JOIN b USING (s1))
-SELECT count(*) FILTER (WHERE plus > 0 OR minus > 0) AS changed, sum(plus)::BIGINT AS added, sum(minus)::BIGINT AS removed, count(*) FILTER (WHERE lo > 0 AND ln = 0) AS emptied, count(*) FILTER (WHERE lo = 0 AND ln > 0) AS filled FROM x""")
+x AS (SELECT grp AS country, len(list_filter(n, lambda v: NOT list_contains(o, v))) AS plus, len(list_filter(o, lambda v: NOT list_contains(n, v))) AS minus, len(o) AS lo, len(n) AS ln FROM a JOIN b USING (s1) JOIN ids USING (s1))
+SELECT country, count(*) FILTER (WHERE plus > 0 OR minus > 0) AS changed, sum(plus)::BIGINT AS added, sum(minus)::BIGINT AS removed, count(*) FILTER (WHERE lo > 0 AND ln = 0) AS emptied, count(*) FILTER (WHERE lo = 0 AND ln > 0) AS filled FROM x GROUP BY country""")
 def submission_diff(spark, d):
-    return E.submission_diff(D.match_lists(ids(spark, d), predicted(spark, d)), D.match_lists(ids(spark, d), predicted(spark, d, 0.8)))
+    return E.submission_diff(D.match_lists(ids(spark, d), predicted(spark, d)), D.match_lists(ids(spark, d), predicted(spark, d, 0.8)), ids(spark, d).withColumnRenamed("grp", "country"))
 
 
 @query("""SELECT lower(split_part(d.text, ' ', 1)) AS key, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_positive FROM documents d JOIN labels USING (doc_id) GROUP BY 1 HAVING sum(quality) > 0 AND sum(quality) < count(*)""")
@@ -1036,3 +1036,18 @@ def stage2_flow(spark, d):
         fold = own.withColumn("fold", models.group_fold(F.col("s1")))
         two = stages.fit_stage2(scored[0], scored[1], ("p0", "f1"), names, S.jaccard, own, true, fold, seeds=(1, 2, 3), rounds=4, depth=3)
         return shared.written(stages.predict_stage2(two, scored[2], names, S.jaccard), "chosen")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
+s AS (SELECT a.id AS q, b.id AS c, round(list_inner_product(a.vec, b.vec), 6) AS sim FROM v a, v b WHERE a.label < 5 AND b.label >= 5),
+f AS (SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, q, c) AS rk FROM s) WHERE rk <= 10),
+r AS (SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sim DESC, c, q) AS rk FROM s) WHERE rk <= 3),
+t AS (SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, q, c) AS rk FROM s) WHERE rk <= 25 AND sim >= 0.2), x AS (SELECT f.q IS NOT NULL AS f, r.q IS NOT NULL AS r FROM t LEFT JOIN f ON f.q = t.q AND f.c = t.c LEFT JOIN r ON r.q = t.q AND r.c = t.c)
+SELECT leg, found, total, round(found::DOUBLE / total, 6) AS recall FROM (SELECT 'union' AS leg, count(*) FILTER (WHERE f OR r) AS found, count(*) AS total FROM x
+UNION ALL SELECT 'rk_dense_f', count(*) FILTER (WHERE f), count(*) FROM x UNION ALL SELECT 'rk_dense_r', count(*) FILTER (WHERE r), count(*) FROM x)""")
+def dense_recall(spark, d):
+    """How many of the best 25 of each query, at a similarity of 0.2 or more, the dense legs find."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    a, b = v.where("label < 5").drop("label"), v.where("label >= 5").drop("label")
+    true = B.dense_topk(a, b, 25).where("sim >= 0.2").select(F.col("q").alias("s1"), F.col("c").alias("cand"))
+    return E.blocking_recall(true, B.dense_pairs(B.dense_topk(a, b, 10), B.dense_topk(b, a, 3)), ["rk_dense_f", "rk_dense_r"])

@@ -75,6 +75,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def unchanged(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """file_digests of a path, which must equal a manifest (path, length, sha256) of an earlier run; any difference raises ValueError."""
+    now = file_digests(spark, path)
+    columns = ["path", "length", "sha256"]
+    odd = now.select(*columns).exceptAll(manifest.select(*columns)).union(manifest.select(*columns).exceptAll(now.select(*columns))).select("path").first()
+    if odd:
+        raise ValueError(f"{odd.path} is not what it was")
+    return now
+
+
 def validated_join(left: DataFrame, right: DataFrame, on: list[str], kind: str = "m:1", how: str = "inner") -> DataFrame:
     """A join whose key must be unique on the right (m:1), or on both sides (1:1)."""
     for side, df in (("right", right), ("left", left)):

@@ -106,6 +106,11 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how:
     return left.join(right, [*on, "__part"], how).drop("__part")
 
 
+def checked(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table, to be broadcast if it is counted to have at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def only(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """rows whose key is in ids (one written column of it): filtered before any shuffle if ids are counted to be at most `most`, else all rows, as a join will drop them."""
     return rows.join(F.broadcast(ids), key, "left_semi") if ids.count() <= most else rows

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
 from pairloom.operators import audit, blocking, candidates, context, decision, evaluate, features, learn, models, rules, stages
-from pairloom.plans import catalog
+from pairloom.plans import catalog, runner
 from pairloom.sources import io
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -625,9 +626,31 @@ def test_sources(spark, tmp_path):
     (tmp_path / "s1.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\ne1\tA "quoted\t\tus\ne2\t\tx\t\n')
     assert [tuple(r) for r in io.load_source(spark, f"file://{tmp_path}/s1.tsv").orderBy("entity_id").collect()] == [("e1", 'A "quoted', "", "us"), ("e2", "", "x", "")]
     got = io.file_digests(spark, f"file://{tmp_path}/s1.tsv").first()
+    manifest = spark.createDataFrame([tuple(got)], "path string, length long, sha256 string")
+    assert io.unchanged(spark, f"file://{tmp_path}/s1.tsv", manifest).count() == 1
     assert got.sha256 == hashlib.sha256((tmp_path / "s1.tsv").read_bytes()).hexdigest() and got.length == (tmp_path / "s1.tsv").stat().st_size
 
 
+    (tmp_path / "s1.tsv").write_text("changed")
+    with pytest.raises(ValueError, match="s1.tsv"):
+        io.unchanged(spark, f"file://{tmp_path}/s1.tsv", manifest)
+
+
+def test_stages_go_on_where_a_run_ended(spark, tmp_path):
+    built, folder = [], f"file://{tmp_path}"
+    steps = {"prep": lambda t: spark.range(6), "cand": lambda t: t["prep"].where("id % 2 = 0"), "decide": lambda t: t["cand"].join(t["prep"], "id").where("id > 0")}
+    assert set(runner.run_stages(spark, folder, steps, "cand", built.append)) == {"prep", "cand"}
+    assert sorted(r.id for r in runner.run_stages(spark, folder, steps, progress=built.append)["decide"].collect()) == [2, 4]
+    assert built == ["prep", "cand", "decide"]
+    with pytest.raises(KeyError):
+        runner.run_stages(spark, folder, steps, "none")
+
+
+def test_folds_by_checksum(spark):
+    rows = spark.range(50).select("id", models.group_fold(F.col("id"), 3).alias("f")).collect()
+    assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
+
+
 def test_fusion_learns_the_flag(spark):
     rows = [(k, k % 2 == 0, int(k % 2 == 0 and k % 10 != 0)) for k in range(200)]
     df = spark.createDataFrame(rows, "k int, blank boolean, y int").select("y", *[c.alias(n) for n, c in models.logit_features(F.lit(0.5), F.col("blank")).items()])
