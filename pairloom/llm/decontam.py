@@ -114,6 +114,20 @@ def _sound(hits: DataFrame, by: list[str]) -> DataFrame:
     return pair.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("k", "vi").alias("ni"), F.count_distinct("k", "vd").alias("nd")).where("n = ni and n = nd").select(*by)
 
 
+def text_key() -> list[Column]:
+    """What a text is known by: two independent 64-bit digests and its length."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.length("text").alias("size")]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of docs whose text holds no passage of the benchmark, whatever their other columns; null texts stay."""
+    names = [f"__pairloom_{c}" for c in ("h1", "h2", "size")]
+    with common.Scratch(docs.sparkSession) as tmp:
+        found = _found(docs.select(F.lit(0).alias("doc_id"), "text"), benchmark, tmp, broadcast_windows)
+        leaks = common.written(found.select("doc.h1", "doc.h2", "doc.size").distinct().toDF(*names), "leaks")
+    return docs.withColumns(dict(zip(names, text_key()))).join(leaks, names, "left_anti").select(*docs.columns)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Pairs: doc_id, item_id, n_windows (of the item, found in the document), n_literal, coverage (share of the item's windows)."""
     with common.Scratch(docs.sparkSession) as tmp:
@@ -123,8 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int =
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, tmp: common.Scratch, broadcast_windows: int) -> DataFrame:
-    """The pairs with doc, the row's doc_id and a digest of its text, in place of doc_id."""
-    docs = docs.where("text is not null").select(F.struct("doc_id", F.xxhash64("text").alias("tag"), F.length("text").alias("size")).alias("doc"), "text")
+    """The pairs with doc, the row's doc_id and text_key(), in place of doc_id."""
+    docs = docs.where("text is not null").select(F.struct("doc_id", *text_key()).alias("doc"), "text")
     index = tmp.written(windows(benchmark.where("item_id is not null").select("item_id", "text"), "item_id"), "bench")
     size = index.agg(F.count("*").alias("n"), F.coalesce(F.min("n"), F.lit(1)).alias("least")).first()
     keys = index.select("h").distinct()

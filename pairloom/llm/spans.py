@@ -11,17 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 CHUNK = 64
 #: Characters of a text that windows are cut from together.
 PAGE = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often the body's lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _longs(*values: Column) -> Column:
     return F.array(*values).cast("array<bigint>")
 
