@@ -31,10 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    # rows go by their own number: a null doc_id hides nothing, and a clean row stays whatever shares its doc_id
-    rows = common.numbered(docs)
-    leaks = decontam.contaminated(rows.select(F.col("__pairloom_rid").alias("doc_id"), "text"), common.read_table(spark, sf_dir, "benchmark"))
-    return rows.join(leaks.select(F.col("doc_id").alias("__pairloom_rid")).distinct(), "__pairloom_rid", "left_anti").select(*docs.columns)
+    return decontam.clean(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
