@@ -48,7 +48,7 @@ def _number(key: str, modulus: int) -> Column:
 
 def samples(spark: SparkSession, first: int = 0, end: int = TRAIN_SAMPLES) -> DataFrame:
     """Labelled samples (text, random) of the numbers first to end: for each a random string in one of four alphabets, and
-    an identifier of two to five PARTS in one of four styles.
+    an identifier of two to five PARTS in one of four styles; for every fourth a run of one character, as rules and fillers are.
 
     All of them follow from their number by digests, so every run trains on the same ones.
     """
@@ -61,7 +61,10 @@ def samples(spark: SparkSession, first: int = 0, end: int = TRAIN_SAMPLES) -> Da
     chosen = F.slice(F.array(*[F.element_at(words, (_number(str(k), len(PARTS)) + 1).cast("int")) for k in range(5)]), F.lit(1), (F.col("id") % 4 + 2).cast("int"))
     digits = F.when(F.col("id") % 3 == 0, _number("digits", 2_000).cast("string")).otherwise("")
     ident = F.element_at(F.array(F.array_join(chosen, "_"), F.array_join(F.transform(chosen, F.initcap), ""), F.array_join(chosen, "-"), F.upper(F.array_join(chosen, "_"))), (F.col("id") % 7 % 4 + 1).cast("int"))
-    return ids.select(rand.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(F.concat(ident, digits).alias("text"), F.lit(False).alias("random")))
+    char = F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1))
+    rule = F.repeat(char, (MIN_LENGTH + F.col("id") % 24).cast("int"))
+    plain = ids.select(F.concat(ident, digits).alias("text")).unionByName(ids.where("id % 4 = 0").select(rule.alias("text")))
+    return ids.select(rand.alias("text"), F.lit(True).alias("random")).unionByName(plain.withColumn("random", F.lit(False)))
 
 
 def _steps(text: Column) -> Column:
@@ -125,7 +128,8 @@ _A = ALPHABET
 _SAMPLES = f"""SELECT id, [h, b, substr(regexp_replace(b, '[+/=]', '', 'g'), 1, 32), upper(regexp_replace(b, '[+/=]', '', 'g'))][id % 4 + 1] AS text, TRUE AS random
   FROM (SELECT id, h, base64(unhex(h)) AS b FROM (SELECT id, sha256('r' || id) AS h FROM range({TRAIN_SAMPLES}) r(id)))
 UNION ALL SELECT id, [array_to_string(c, '_'), array_to_string(list_transform(c, lambda x: upper(x[1]) || x[2:]), ''), array_to_string(c, '-'), upper(array_to_string(c, '_'))][id % 7 % 4 + 1] || CASE WHEN id % 3 = 0 THEN CAST(CAST('0x' || substr(md5('digits|' || id), 1, 8) AS BIGINT) % 2000 AS VARCHAR) ELSE '' END, FALSE
-  FROM (SELECT id, list_transform(range(0, CAST(id % 4 + 2 AS BIGINT)), lambda k: string_split('{" ".join(PARTS)}', ' ')[CAST('0x' || substr(md5(k || '|' || id), 1, 8) AS BIGINT) % {len(PARTS)} + 1]) AS c FROM range({TRAIN_SAMPLES}) r(id))"""
+  FROM (SELECT id, list_transform(range(0, CAST(id % 4 + 2 AS BIGINT)), lambda k: string_split('{" ".join(PARTS)}', ' ')[CAST('0x' || substr(md5(k || '|' || id), 1, 8) AS BIGINT) % {len(PARTS)} + 1]) AS c FROM range({TRAIN_SAMPLES}) r(id))
+UNION ALL SELECT id, repeat(substr('{_A}', id % {len(_A)} + 1, 1), CAST({MIN_LENGTH} + id % 24 AS BIGINT)), FALSE FROM range({TRAIN_SAMPLES}) r(id) WHERE id % 4 = 0"""
 OP5_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 x AS (SELECT text, random, unnest(range(1, length(text))) AS i FROM ({_SAMPLES})),

@@ -281,6 +281,16 @@ def test_url_rules(spark):
     assert rows[13].verdict == "block" and rows[10].verdict == "allow" and rows[2].verdict == "allow"
 
 
+def test_url_long_pages_and_ties(spark):
+    """A page of 20,000 links, repeated pages, and a host that trust and distrust reach alike (which is allowed)."""
+    html = "".join(f'<a href="http://t{k}.info/">' for k in range(20_000))
+    pages = [(1, "http://example.net/en/a", html + '<a href="http://even.xyz/">'), (2, "http://even.xyz/", '<a href="http://bad.net/">'), (3, "http://bad.net/", ""), (3, "http://bad.net/", ""), (4, "http://t7.info/", None)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 5 and got[1].verdict == "allow" and got[3].verdict == "block" and got[4].verdict == "allow"
+    assert got[2].verdict == ("block" if got[2].distrust > got[2].trust else "allow")
+
+
 def test_url_odd_tables(spark):
     schema = "page_id long, url string, html string, host string, rule string, kind string"
     assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0

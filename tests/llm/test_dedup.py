@@ -49,6 +49,17 @@ def test_exact_odd_rows(odd, bound):
     assert sum(x[3] for x in got) == len({x[4] for x in got})  # one row of each class stays
 
 
+def test_one_text_in_every_block(spark):
+    """A third of all rows, in 40 partitions, is one text; its class has ended and is dealt into parts."""
+    rows = [(k, "the common text" if k % 3 == 0 else f"text {k % 70}") for k in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    old = set(folder.iterdir())
+    got = exact_rows(exact_dedup.exact_duplicates(docs, 1))
+    assert sorted(x[:3] + x[4:] for x in got) == sorted(brute_exact(rows))
+    assert [x.name.split("-")[1] for x in set(folder.iterdir()) - old] == ["classes"]
+
+
 def test_radix_classes_random():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 24))) for _ in range(400)]

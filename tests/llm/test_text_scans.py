@@ -93,9 +93,9 @@ def test_markov_model(spark):
     assert held.join(secrets.samples(spark), "text", "left_semi").where("random").count() == 0
     rate = {r.random: r.rate for r in held.groupBy("random").agg(F.avg(secrets.is_random(F.col("text"), model).cast("int")).alias("rate")).collect()}
     assert rate[True] > 0.97 and rate[False] < 0.01
-    docs = spark.createDataFrame([(1, "use kJ8sQ2mZx9LpW4vT7bYc1RdN0fHg please"), (2, "use getUserSessionHandlerFactory2024 please"), (3, "thonnththedonedanwhingtionreble1 please"), (4, "xK9vQz2LpW8rTj4m"), (5, "qXzvKjWpQmZrTyBvNcHx")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "use kJ8sQ2mZx9LpW4vT7bYc1RdN0fHg please"), (2, "use getUserSessionHandlerFactory2024 please"), (3, "thonnththedonedanwhingtionreble1 please"), (4, "xK9vQz2LpW8rTj4m"), (5, "qXzvKjWpQmZrTyBvNcHx"), (6, "-" * 40 + " " + "=" * 30 + " " + "x" * 25 + " " + "_" * 20)], "doc_id long, text string")
     got = {r.doc_id: [x.k for x in r.secrets] for r in secrets.find_secrets(docs, model).collect()}
-    assert got == {1: ["markov"], 2: [], 3: [], 4: ["markov"], 5: ["markov"]}
+    assert got == {1: ["markov"], 2: [], 3: [], 4: ["markov"], 5: ["markov"], 6: []}
 
 
 def test_markov_model_on_documents(spark):
@@ -136,7 +136,13 @@ def test_scans_of_odd_rows(odd, none, spark):
     assert pii.find_pii(odd).count() == 12 and secrets.find_secrets(odd, model).count() == 12
     assert {x.k for r in pii.find_pii(odd.where("doc_id = 8")).collect() for x in r.pii} == {"email", "phone", "card"}
     assert pii.find_pii(none).count() == 0 and secrets.find_secrets(none, model).count() == 0
-    assert license_scan.scan(odd, ["doc_id"]).count() == 12 and license_scan.scan(none, ["doc_id"]).count() == 0
+    assert license_scan.scan(none, ["doc_id"]).count() == 0
+    got = {r.doc_id: r for r in license_scan.scan(odd, ["doc_id"]).collect()}
+    assert license_scan.scan(odd, ["doc_id"]).count() == 12
+    for k, n in ((3, 0), (4, 0), (5, 0), (9, 1), (6, 30_001)):
+        assert (got[k].n_words, got[k].n_base, got[k].first_word, got[k].labels, got[k].score, got[k].blocks) == (n, 0, None, "", 0.0, [])
+    found = {r.doc_id: r.secrets for r in secrets.find_secrets(odd, model).collect()}
+    assert all(found[k] == [] for k in (1, 2, 3, 4, 5, 6, 9)) and all(r.pii == [] for r in pii.find_pii(odd.where("doc_id in (1, 3, 4, 5, 6, 9)")).collect())
 
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
