@@ -13,10 +13,11 @@ the candidates: two sets at similarity 0.8 share no band with probability (1 - 0
    the sketch comparison and are confirmed on their full sets (LIMIT percent of the union).
 3. Connected components of the confirmed links, by contraction over written tables.
 4. Buckets that still hold two components or more are compared in full: the sets outside the bucket's
-   largest component with one another and with that component's, in tiles of at most TILE sets and
-   about TILE_BYTES of text a side. Pairs across components whose sketches agree enough (CLOSE of T
-   coordinates, five standard deviations under 0.8) are confirmed there and then on their full sets. A
-   tile emits a forest of confirmed links, never its pairs. So no link that joins components is
+   largest component with one another and with that component's, in tiles of at most TILE sets a
+   side. A first pass over the tiles' sketches leaves the sets that agree enough (CLOSE of T
+   coordinates, five standard deviations under 0.8) with one of another component in their tile; only these
+   take their texts there, where such pairs are confirmed on their full sets, about TILE_BYTES of text at a time.
+   A tile emits sets, then a forest of confirmed links, never its pairs. So no link that joins components is
    lost to the choice of a bucket's first.
 
 A bucket, a bucket's first or a component may hold any share of all rows: what is joined on them is
@@ -46,7 +47,7 @@ BANDS = T // ROWS
 LIMIT = 80
 #: Coordinates that must agree before full sets are compared: 128 * 0.8 less five standard deviations.
 CLOSE = 79
-TILE, TILE_BYTES = 256, 8 << 20
+TILE, TILE_BYTES, SLICE_BYTES = 1_024, 2 << 20, 1 << 20
 LOCAL = "doc_id long, rid long, rep long, n long, k1 long, k2 long, size int, sketch binary, bands array<bigint>, body string"
 PAIR = "a long, b long"
 
@@ -139,7 +140,7 @@ def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _local(words: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.blocks(batches, limit=8 << 20):
+        for part in common.blocks(batches, limit=4 << 20):
             t = pa.Table.from_batches(part).combine_chunks()
             body, rid = t["body"].chunk(0), t["rid"].to_numpy()
             h, off = shingles(body, words)
@@ -177,23 +178,36 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(x) or not len(y):
+        return 0
+    return int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+
+
 def _confirmed(words: int):
-    """Pairs whose full sets are similar; the set of an a whose pairs adjoin is made once."""
+    """Of rows (a, part, side, b, body) that adjoin by a and part, a's own body (side 0) first, the pairs whose full sets are similar.
+
+    Bodies are taken in slices of about SLICE_BYTES; of a only its set is kept.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                b = batch.slice(s, 512)
-                a = b.column("a").to_numpy()
-                fresh = np.r_[True, a[1:] != a[:-1]]
-                at = np.cumsum(fresh) - 1
-                (ha, oa), (hb, ob) = shingles(b.column("ta").take(pa.array(np.flatnonzero(fresh))), words), shingles(b.column("tb"), words)
-                ok = np.zeros(b.num_rows, bool)
-                for k in range(b.num_rows):
-                    x, y = ha[oa[at[k]] : oa[at[k] + 1]], hb[ob[k] : ob[k + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[k] = 100 * both >= LIMIT * (len(x) + len(y) - both)
-                yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            size = np.diff(common.column_bytes(batch.column("body"))[1]) + 64
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES)) + 1 if batch.num_rows else []
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                t = batch.slice(start, stop - start)
+                h, off = shingles(t.column("body"), words)
+                a, b, side, ok = *(t.column(c).to_numpy() for c in ("a", "b", "side")), np.zeros(t.num_rows, bool)
+                for k in range(t.num_rows):
+                    x = h[off[k] : off[k + 1]]
+                    if side[k] == 0:
+                        centre, own = a[k], x
+                    elif a[k] == centre:
+                        both = _shared(own, x)
+                        ok[k] = 100 * both >= LIMIT * (len(own) + len(x) - both)
+                yield pa.record_batch([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return step
 
@@ -201,17 +215,22 @@ def _confirmed(words: int):
 def confirm(pairs: DataFrame, reps: DataFrame, words: int, tmp: common.Scratch) -> DataFrame:
     """Of distinct candidate pairs (a, b) of representatives those that are similar: by sketch, then on their full sets.
 
-    a may stand in any number of pairs, b in BANDS at most.
+    a may stand in any number of pairs, b in BANDS at most. A hot a's pairs are dealt into parts, to each of which its text goes once.
     """
     side = lambda t, c, v: t.select(F.col("rid").alias(c), *(F.col(x).alias(y + c) for x, y in v))
-    by_sketch = (("sketch", "s"), ("n", "n"))
-    close = common.hot_join(pairs, side(reps, "a", by_sketch), ["a"], "b").join(side(reps, "b", by_sketch), "b")
+    by_sketch, ends = (("sketch", "s"), ("n", "n")), lambda t: tmp.written(t.select(F.col("a").alias("rid")).union(t.select("b")).distinct(), "ids")
+    sketched = common.only(reps.select("rid", "sketch", "n"), ends(pairs), "rid")
+    close = common.hot_join(pairs, side(sketched, "a", by_sketch), ["a"], "b").join(side(sketched, "b", by_sketch), "b")
     close = tmp.written(close.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_agreeing, PAIR), "close")
-    ids = tmp.written(close.select(F.col("a").alias("rid")).union(close.select("b")).distinct(), "ids")
-    texts = common.only(reps.select("rid", "body"), ids, "rid")
-    with_b = close.join(side(texts, "b", (("body", "t"),)), "b")
-    full = common.hot_join(with_b, side(texts, "a", (("body", "t"),)), ["a"], "b", counts=close.groupBy("a").agg(F.count("*").alias("__n")), total=close.count())
-    return full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(words), PAIR)
+    hot = common.hot_keys(close.groupBy("a").agg(F.count("*").alias("__n")), ["a"], close.count())
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = close.withColumn("__parts", F.lit(1)) if hot is None else close.join(F.broadcast(hot), "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
+    ours = dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b")).distinct()
+    asked = tmp.written(ours.unionByName(dealt.select("a", "part", F.lit(1).alias("side"), "b")), "asked")
+    texts = common.only(reps.select(F.col("rid").alias("b"), "body"), ends(close).withColumnRenamed("rid", "b"), "b")
+    rows = asked.join(texts.hint("merge"), "b").select("a", "part", "side", "b", "body")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(_confirmed(words), PAIR)
 
 
 def components(links: DataFrame, tmp: common.Scratch) -> DataFrame:
@@ -243,87 +262,114 @@ def components(links: DataFrame, tmp: common.Scratch) -> DataFrame:
     return labels
 
 
-def _tile_links(rows: list, words: int) -> list[tuple[int, int]]:
-    """Of one tile, links between components that full sets confirm; no more than join what the tile holds (a forest).
+def _tile_pairs(t: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """Of one tile (side 0 is the left, 1 the right, 2 both) each left set with the right ones of other components whose sizes and sketches allow a link.
 
-    A pair is compared only in the bucket of the first band that the two share, and only while nothing
-    in this tile has joined their components yet.
+    A pair is met only in the bucket of the first band that the two share.
     """
-    t = pa.Table.from_batches(rows).combine_chunks()
     sk = common.column_bytes(t["sketch"].chunk(0))[0].reshape(-1, T)
     bands = t["bands"].chunk(0).flatten().to_numpy().reshape(-1, BANDS)
-    rid, n, side, band = (t[c].to_numpy() for c in ("rid", "n", "side", "band"))
-    _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
-    left, right, pairs, out = np.flatnonzero(side != 1), np.flatnonzero(side != 0), [], []
+    rid, n, side, band, comp = (t[c].to_numpy() for c in ("rid", "n", "side", "band", "comp"))
+    left, right, pairs = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
     for k in left:
         near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= LIMIT * np.maximum(n[right], n[k]))]
         near = near[rid[near] > rid[k]] if side[k] == 2 else near
         near = near[(sk[near] == sk[k]).sum(axis=1) >= CLOSE]
         near = near[(bands[near] == bands[k]).argmax(axis=1) == band[k]]
         if len(near):
-            pairs.append((k, near))
-    if not pairs:
-        return out
-    used = np.unique(np.concatenate([np.r_[k, near] for k, near in pairs]))
-    h, off = shingles(t["body"].chunk(0).take(pa.array(used)), words)  # only of sets that may be similar to another
-    at = np.zeros(len(rid), np.int64)
-    at[used] = np.arange(len(used))
-    for k, near in pairs:
-        near = near[comp[near] != comp[k]]
-        if not len(near):
+            pairs.append((int(k), near))
+    return pairs
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of batches in which the rows of a tile adjoin."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
             continue
-        own, size = h[off[at[k]] : off[at[k] + 1]], off[at[near] + 1] - off[at[near]]
-        others = np.concatenate([h[off[m] : off[m + 1]] for m in at[near]])
-        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others, np.cumsum(size) - size, dtype=np.int64)
-        for m in near[100 * both >= LIMIT * (len(own) + size - both)]:
-            if comp[m] != comp[k]:
-                out.append((int(rid[k]), int(rid[m])))
-                comp[comp == comp[m]] = comp[k]
+        tile, start = b.column("tile").to_numpy(), 0
+        for c in np.flatnonzero(np.r_[last is not None and tile[0] != last, tile[1:] != tile[:-1]]).tolist():
+            if c > start:
+                held.append(b.slice(start, c - start))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, start = [], c
+        held.append(b.slice(start))
+        last = tile[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+SPOT = "tile long, rid long, comp long, n long, band int, side int, sketch binary, bands array<bigint>, size int"
+
+
+def _agreeing_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile the rows that agree with one of another component."""
+    for t in _runs(batches):
+        pairs = _tile_pairs(t)
+        if pairs:
+            yield from t.take(pa.array(np.unique(np.concatenate([np.r_[k, near] for k, near in pairs])))).to_batches()
+
+
+def _tile_links(t: pa.Table, words: int) -> list[tuple[int, int]]:
+    """Of one tile with bodies, links between components that full sets confirm; no more than join what the tile holds (a forest).
+
+    Left sets meet their partners in slices of about TILE_BYTES of text, so that two slices' shingles are held at once.
+    """
+    pairs, rid, out = _tile_pairs(t), t["rid"].to_numpy(), []
+    _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+    body, size = t["body"].chunk(0), t["size"].to_numpy().astype(np.int64)
+
+    def slices(rows: np.ndarray) -> list[np.ndarray]:
+        return [x for x in np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // TILE_BYTES)) + 1) if len(x)]
+
+    def sets(rows: np.ndarray) -> dict[int, np.ndarray]:
+        h, off = shingles(body.take(pa.array(rows)), words)
+        return {int(r): h[off[k] : off[k + 1]] for k, r in enumerate(rows)}
+
+    partners = dict(pairs)
+    for some in slices(np.array(sorted(partners), np.int64)):
+        own = sets(some)
+        for others in slices(np.unique(np.concatenate([partners[int(k)] for k in some]))):
+            right = sets(others)
+            for k in some.tolist():
+                for m in partners[k].tolist():
+                    if m not in right or comp[m] == comp[k]:
+                        continue
+                    both = _shared(own[k], right[m])
+                    if 100 * both >= LIMIT * (len(own[k]) + len(right[m]) - both):
+                        out.append((int(rid[k]), int(rid[m])))
+                        comp[comp == comp[m]] = comp[k]
     return out
 
 
 def _across(words: int):
-    """Of tiles (rows adjoin by tile; side 0 is the left, 1 the right, 2 both) their links."""
-
-    def links(held: list) -> pa.RecordBatch:
-        got = _tile_links(held, words)
-        return pa.record_batch([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], names=["a", "b"])
+    """Of tiles with bodies their links."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            tile, start = b.column("tile").to_numpy(), 0
-            for c in np.flatnonzero(np.r_[tile[:1] != last, tile[1:] != tile[:-1]] if last is not None else np.r_[tile[:1] != tile[:1], tile[1:] != tile[:-1]]):
-                if c > start:
-                    held.append(b.slice(start, c - start))
-                yield links(held)
-                held, start = [], int(c)
-            if b.num_rows:
-                held.append(b.slice(start))
-                last = tile[-1]
-        if held:
-            yield links(held)
+        for t in _runs(batches):
+            got = _tile_links(t, words)
+            yield pa.record_batch([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], names=["a", "b"])
 
     return step
 
 
-def across_components(labelled: DataFrame, reps: DataFrame, words: int, tmp: common.Scratch, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame | None:
-    """Confirmed links (a, b) between the components of each bucket; labelled has key, band, rid, comp, size. None if no bucket holds two.
+def across_components(labelled: DataFrame, reps: DataFrame, words: int, tmp: common.Scratch, tile: int = TILE) -> DataFrame | None:
+    """Confirmed links (a, b) between the components of each bucket; labelled has key, band, rid, comp. None if no bucket holds two.
 
     The sets outside a bucket's largest component meet one another and that component's sets. Both sides are dealt
-    into parts of at most `tile` sets and about tile_bytes of text; two parts are one tile, so a large
-    bucket spreads over many tasks, what a task holds is bounded, and the largest component is only repeated
-    for each part of the rest. Only confirmed links leave a tile, fewer than it has rows.
+    into parts of at most `tile` sets; two parts are one tile, so a large bucket spreads over many tasks, what a task
+    holds is bounded, and the largest component is only repeated for each part of the rest. What is repeated are sketches;
+    texts follow for the few sets that have a partner. Only confirmed links leave a tile, fewer than it has rows.
     """
-    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
-    parts = lambda c, s: F.greatest(F.ceil(c / tile), F.ceil(s / tile_bytes), F.lit(1)).cast("int")
-    open_ = per.groupBy("key").agg(F.max(F.struct("c", "comp", "s")).alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("x.c < c")
-    open_ = open_.select("key", F.col("x.comp").alias("main"), parts(F.col("x.c"), F.col("x.s")).alias("of_main"), parts(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("of_rest"), F.col("c").alias("__n"))
-    open_ = tmp.written(open_, "open")
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    parts = lambda c: F.ceil(c / tile).cast("int")
+    open_ = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("c")).where("x.c < c")
+    open_ = tmp.written(open_.select("key", F.col("x.comp").alias("main"), parts(F.col("x.c")).alias("of_main"), parts(F.col("c") - F.col("x.c")).alias("of_rest"), F.col("c").alias("__n")), "open")
     if open_.isEmpty():
         return None
     # sets of open buckets; the rest of a hot key's rows leaves at once
-    rows = common.hot_join(labelled, open_.drop("__n"), ["key"], "rid", counts=open_.select("key", "__n"), total=labelled.count())
+    rows = tmp.written(common.hot_join(labelled, open_.drop("__n"), ["key"], "rid", counts=open_.select("key", "__n"), total=labelled.count()), "rows")
+    ids = tmp.written(rows.select("rid").distinct(), "ids")
     is_main = F.col("comp") == F.col("main")
     own = F.pmod(F.xxhash64("rid"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -333,11 +379,13 @@ def across_components(labelled: DataFrame, reps: DataFrame, words: int, tmp: com
         F.transform(upto(F.col("of_main")), lambda j: spot("main", own, j, F.lit(0))),
     )
     spots = F.when(is_main, F.transform(upto(F.col("of_rest")), lambda i: spot("main", i, own, F.lit(1)))).otherwise(rest)
+    names = [f.split()[0] for f in SPOT.split(", ")]
     tiles = rows.select("key", "band", "rid", "comp", F.explode(spots).alias("x")).select("band", "rid", "comp", "x.side", F.xxhash64("key", "x.kind", "x.i", "x.j").alias("tile"))
-    tiles = tmp.written(tiles, "tiles")
-    ids = tmp.written(tiles.select("rid").distinct(), "ids")
-    whole = tiles.join(common.only(reps.select("rid", "n", "sketch", "bands", "body"), ids, "rid"), "rid")
-    return whole.repartition("tile").sortWithinPartitions("tile").mapInArrow(_across(words), PAIR)
+    tiles = tiles.join(common.only(reps.select("rid", "n", "sketch", "bands", "size"), ids, "rid"), "rid").select(*names)
+    by_tile = lambda t: t.repartition("tile").sortWithinPartitions("tile")
+    near = tmp.written(by_tile(tiles).mapInArrow(_agreeing_in_tiles, SPOT), "near")
+    ids = tmp.written(near.select("rid").distinct(), "ids")
+    return by_tile(near.join(common.only(reps.select("rid", "body"), ids, "rid"), "rid")).mapInArrow(_across(words), PAIR)
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -358,16 +406,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE, rid: str
         reps, keys = sets.where("sketch is not null"), ["n", "k1", "k2"]
         firsts = reps.groupBy(*keys).agg(F.min("rid").alias("first"))
         same = tmp.written(common.hot_join(reps.select("rid", *keys), firsts, keys, "rid").select("rid", "first"), "same")
-        alone = reps.select("rid", "size", "bands").join(same.where("rid = first").select("rid"), "rid", "left_semi")
-        bands = tmp.written(alone.select("rid", "size", F.posexplode("bands").alias("band", "key")), "bands")
+        again = tmp.written(same.where("rid <> first").select("rid"), "again")  # sets that another block has too
+        alone = reps.select("rid", "bands").join(common.checked(again), "rid", "left_anti")
+        bands = tmp.written(alone.select("rid", F.posexplode("bands").alias("band", "key")), "bands")
         buckets = tmp.written(bands.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("__n")).where("__n > 1"), "buckets")
         shared = common.hot_join(bands, buckets.drop("__n"), ["key"], "rid", counts=buckets.select("key", "__n"), total=bands.count())
-        shared = tmp.written(shared.select("key", "band", "rid", "size", "a"), "shared")
+        shared = tmp.written(shared.select("key", "band", "rid", "a"), "shared")
         tmp.drop("bands", "buckets")
         stars = tmp.written(shared.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
         links = tmp.written(confirm(stars, reps, words, tmp), "stars")
         comp = tmp.written(components(links, tmp), "components")
-        labelled = shared.select("key", "band", "rid", "size").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "band", "rid", "size", F.coalesce("root", "rid").alias("comp"))
+        labelled = shared.select("key", "band", "rid").join(common.checked(comp.withColumnRenamed("v", "rid")), "rid", "left").select("key", "band", "rid", F.coalesce("root", "rid").alias("comp"))
         labelled = tmp.written(labelled, "labelled")
         tmp.drop("shared", "pairs", "close", "ids")
         found = across_components(labelled, reps, words, tmp, tile)
