@@ -389,12 +389,18 @@ def across_components(labelled: DataFrame, reps: DataFrame, words: int, tmp: com
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id; same columns. Rows are known by their number, so any may repeat."""
+    """docs with one row of each near-duplicate group: that of the smallest doc_id; same columns. Rows are known by their number, so any may repeat.
+
+    The numbers of the rows that go are sent to the rows if they are counted to be few (common.checked); else both sides are shuffled.
+    """
     rows = common.numbered(docs)
     found = near_duplicates(rows, words, rid="__pairloom_rid")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("k")
-    kept = found.groupBy("comp").agg(best).select(F.col("k.rid").alias("__pairloom_rid"))
-    return rows.join(kept, "__pairloom_rid", "left_semi").select(*docs.columns)
+    with common.Scratch(docs.sparkSession) as tmp:
+        kept = tmp.written(found.groupBy("comp").agg(best, F.count("*").alias("__n")).where("__n > 1").select("comp", "__n", F.col("k.rid").alias("keep")), "kept")
+        gone = common.hot_join(found.select("comp", "rid"), kept.drop("__n"), ["comp"], "rid", counts=kept.select("comp", "__n"), total=found.count())
+        gone = common.written(gone.where("rid <> keep").select(F.col("rid").alias("__pairloom_rid")), "gone")
+    return rows.join(common.checked(gone), "__pairloom_rid", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, tile: int = TILE, rid: str | None = None) -> DataFrame:
