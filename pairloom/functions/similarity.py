@@ -223,22 +223,40 @@ def _jaro_winkler(a: str, b: str) -> float:
 SCORERS = {"ratio": _ratios, "partial_ratio": _each(_partial), "token_sort_ratio": _token_sorts, "token_set_ratio": _token_sets, "weighted_ratio": _weighted, "jaro_winkler": _each(_jaro_winkler)}
 
 
+#: Scores that a Python worker remembers, of each scorer: so many pairs, then it forgets them all.
+MEMO_PAIRS = 50_000
+_memo: dict[str, dict] = {}
+
+
+def _batch(kind: str, x: pa.Array, y: pa.Array) -> pa.Array:
+    """Scores of two string arrays: different pairs are computed once, and not again while the worker remembers them."""
+    a, b = x.dictionary_encode(), y.dictionary_encode()
+    left, right = (c.indices.fill_null(-1).to_numpy().astype(np.int64) for c in (a, b))
+    wide = max(1, len(b.dictionary))
+    null = (left < 0) | (right < 0)
+    codes, at = np.unique(np.where(null, -1, left * wide + right), return_inverse=True)
+    names, others = a.dictionary.to_pylist(), b.dictionary.to_pylist()
+    pairs = [(names[c // wide], others[c % wide]) if c >= 0 else None for c in codes.tolist()]
+    held = _memo.setdefault(kind, {})
+    if len(held) > MEMO_PAIRS:
+        held.clear()
+    new = [p for p in pairs if p is not None and p not in held]
+    got = dict(zip(new, SCORERS[kind]([p for p, _ in new], [p for _, p in new]).tolist())) if new else {}
+    out = np.array([0.0 if p is None else got[p] if p in got else held[p] for p in pairs], np.float64)
+    held.update(got)
+    return pa.array(out[at], pa.float64(), mask=null)
+
+
 def scored_all(scores: dict[str, tuple[str, Column, Column]]) -> Column:
     """A struct of several of SCORERS, each over its own two string columns, by one pass of Arrow batches to Python.
 
-    Equal pairs of a batch are computed once; a score is null where either string is.
+    A score is null where either string is.
     """
     names, kinds = list(scores), [kind for kind, _, _ in scores.values()]
 
-    def one(kind: str, x: pa.Array, y: pa.Array) -> pa.Array:
-        pairs = list(zip(x.to_pylist(), y.to_pylist()))
-        fresh = list(dict.fromkeys(p for p in pairs if None not in p))
-        got = dict(zip(fresh, SCORERS[kind]([a for a, _ in fresh], [b for _, b in fresh]).tolist())) if fresh else {}
-        return pa.array([got.get(p) for p in pairs], pa.float64())
-
     @F.arrow_udf(", ".join(f"`{name}` double" for name in names))
     def of(*columns: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([one(kind, columns[2 * k], columns[2 * k + 1]) for k, kind in enumerate(kinds)], names=names)
+        return pa.StructArray.from_arrays([_batch(kind, columns[2 * k], columns[2 * k + 1]) for k, kind in enumerate(kinds)], names=names)
 
     return of(*(c for _, a, b in scores.values() for c in (a, b)))
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -656,3 +657,40 @@ def test_fusion_learns_the_flag(spark):
     df = spark.createDataFrame(rows, "k int, blank boolean, y int").select("y", *[c.alias(n) for n, c in models.logit_features(F.lit(0.5), F.col("blank")).items()])
     model = models.fit_fusion(df, ("lf_logit", "lf_blank"))
     assert model.transform(models.with_vector(df, ("lf_logit", "lf_blank"))).where("prediction = lf_blank").count() == 200
+
+
+def _same(got, want):
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns) and len(got) == len(want)
+    got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    for c in cols:
+        assert not ((got[c] != want[c]) & ~(got[c].isna() & want[c].isna())).any(), c
+
+
+def test_pair_features_compare_equal_parts_once(spark, data, tmp_path, monkeypatch):
+    own = duckdb.connect()
+    own.sql(f"COPY (SELECT p_partkey + 1000 * k AS p_partkey, * EXCLUDE (p_partkey) FROM '{data}/part.parquet', (SELECT unnest(range(5)) AS k) WHERE p_partkey < 60) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    own.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    compared, plain = [], catalog.X.pair_features
+
+    def counted(rows, *keys):
+        compared.append(rows.count())
+        return plain(rows, *keys)
+
+    monkeypatch.setattr(catalog.X, "pair_features", counted)
+    monkeypatch.setattr(catalog, "KEYS_A_RUN", 3)
+    got = catalog.pair_features(spark, str(tmp_path)).toPandas()
+    _same(got, own.sql(catalog.ORACLE["pair_features"]).df())
+    assert compared[0] <= len(got) / 2
+
+
+def test_scores_of_pairs_are_remembered(monkeypatch):
+    calls = []
+    monkeypatch.setitem(S.SCORERS, "ratio", lambda xs, ys: calls.extend(zip(xs, ys)) or np.array([float(len(x) + len(y)) for x, y in zip(xs, ys)]))
+    monkeypatch.setattr(S, "_memo", {})
+    batch = pa.array(["a", "a", None, "", "bc"]), pa.array(["b", "b", "b", None, ""])
+    assert S._batch("ratio", *batch).to_pylist() == S._batch("ratio", *batch).to_pylist() == [2.0, 2.0, None, None, 2.0]
+    assert sorted(calls) == [("a", "b"), ("bc", "")]
+    monkeypatch.setattr(S, "MEMO_PAIRS", 1)
+    assert S._batch("ratio", *batch).to_pylist() == [2.0, 2.0, None, None, 2.0]
+    assert S._batch("ratio", batch[0][:0], batch[1][:0]).to_pylist() == []
