@@ -57,16 +57,24 @@ def empty_state(a: Column, b: Column) -> Column:
     return (a == "").cast("int") + 2 * (b == "").cast("int")
 
 
-def house_features(a: Column, b: Column, b_nums: Column) -> dict[str, Column]:
-    """Equality, absence, prefix or suffix, difference (both under ten digits), and whether b's numbers hold a's."""
+def short_number(x: Column) -> Column:
+    """The number of a string of up to nine digits, else null."""
+    return F.when(x.rlike("^[0-9]{1,9}$"), x.cast("long"))
+
+
+def house_features(a: Column, b: Column, b_nums: Column, numbers: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Equality, absence, prefix or suffix, difference (both under ten digits), and whether b's numbers hold a's.
+
+    numbers: short_number() of a and b, where the caller has them already; else they are read from the strings, for every pair anew.
+    """
     both = (a != "") & (b != "")
-    digits = lambda x: F.when(x.rlike("^[0-9]{1,9}$"), x.cast("long"))
+    na, nb = numbers or (short_number(a), short_number(b))
     part = F.startswith(a, b) | F.startswith(b, a) | F.endswith(a, b) | F.endswith(b, a)
     return {
         "h_eq": (both & (a == b)).cast("int"),
         "h_absent": (a == "").cast("int") + (b == "").cast("int"),
         "h_pref": (both & (a != b) & part).cast("int"),
-        "h_diff": F.abs(digits(a) - digits(b)),
+        "h_diff": F.abs(na - nb),
         "h_in_nums": ((a != "") & F.array_contains(token_set(b_nums), a)).cast("int"),
     }
 

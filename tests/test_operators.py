@@ -694,3 +694,19 @@ def test_scores_of_pairs_are_remembered(monkeypatch):
     monkeypatch.setattr(S, "MEMO_PAIRS", 1)
     assert S._batch("ratio", *batch).to_pylist() == [2.0, 2.0, None, None, 2.0]
     assert S._batch("ratio", batch[0][:0], batch[1][:0]).to_pylist() == []
+
+
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_number_agreement_deals_pairs_to_tasks(spark, tmp_path, monkeypatch, few):
+    own = duckdb.connect()
+    own.sql("CREATE TABLE supplier AS SELECT CAST(range AS BIGINT) AS s_suppkey, CAST(CASE WHEN range < 50 THEN 1 ELSE range % 3 END AS INT) AS s_nationkey FROM range(60)")
+    own.sql("CREATE TABLE customer AS SELECT CAST(range AS BIGINT) AS c_custkey, CAST(CASE WHEN range < 900 THEN 1 WHEN range = 901 THEN NULL ELSE range % 3 END AS INT) AS c_nationkey FROM range(1000)")
+    for t in ("supplier", "customer"):
+        own.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(catalog, "COMBINATIONS_A_TASK", 2_000)
+    monkeypatch.setattr(catalog, "BROADCAST_SUPPLIERS", few)
+    got = catalog.number_agreement(spark, str(tmp_path))
+    if few:
+        sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) > 20 and max(sizes) < 0.1 * sum(sizes)  # one nation has nearly all pairs
+    _same(got.toPandas(), own.sql(catalog.ORACLE["number_agreement"]).df())
