@@ -16,11 +16,13 @@ from pairloom.llm import common, decontam, minhash, mixing, quality, token_outpu
 def _quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """The model of the labelled rows of documents that are not held out; every call fits the same."""
     labels = common.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.train(common.read_table(spark, sf_dir, "documents"), labels.where(~quality.held_out()))
+    docs = spark.read.option(common.VECTORED, "false").parquet(f"{sf_dir}/documents.parquet")
+    return quality.train(docs, labels.where(~quality.held_out()))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; the first stage, so rows of large row groups are dealt out here."""
+    docs = common.spread(docs)
     return quality.score(docs, _quality_model(spark, sf_dir), name="__pairloom_score").where(f"__pairloom_score >= {quality.THRESHOLD}").select(*docs.columns)
 
 

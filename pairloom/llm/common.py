@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import Scratch, checked, delete, hot_join, hot_keys, numbered, only, shared_dir, table_path, written  # noqa: F401
+from ..sources.shared import VECTORED, Scratch, checked, delete, hot_join, hot_keys, numbered, only, shared_dir, spread, table_path, written  # noqa: F401
 
 #: One or more ASCII white-space characters, as Java and RE2 both read it.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"

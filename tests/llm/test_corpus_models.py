@@ -368,6 +368,27 @@ def test_decontamination_stage_judges_rows(spark):
     assert {tuple(r) for r in got.collect()} == set(rows[2:])
 
 
+def test_pipeline_deals_out_a_large_row_group(spark, data, tmp_path, monkeypatch):
+    """A file of one row group is read by one task, whatever its splits; the first stage deals its rows out and loses none."""
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        rows = lambda df: sorted(map(repr, df.collect()))
+        tasks = lambda df: df.select(mixing.F.spark_partition_id().alias("p")).distinct().count()
+        assert docs.rdd.getNumPartitions() > 8 and tasks(docs) == 1
+        got = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+        assert tasks(got) > 4
+        assert spark.conf.get(common.VECTORED, None) is None
+        assert rows(common.spread(docs)) == rows(docs)
+        monkeypatch.setattr(common, "spread", lambda t: t)
+        assert rows(got) == rows(corpus_pipeline.quality_stage(spark, docs, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_pipeline_odd_rows(spark, odd, none, tmp_path):
     for name, rows in (("odd", odd), ("none", none)):
         docs = rows
